@@ -105,8 +105,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(cache) > 500_000:
             cache.clear()
         yield pa.RecordBatch.from_arrays(
-            [b.column("node"), b.column("root"), _longs(fps), _longs(shs), _longs(keys)],
-            names=["node", "root", "fp", "shingles", "keys"],
+            [b.column("batch"), b.column("node"), b.column("root"), _longs(fps), _longs(shs), _longs(keys)],
+            names=["batch", "node", "root", "fp", "shingles", "keys"],
         )
 
 
@@ -116,19 +116,19 @@ def _longs(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-FEATURES = "node bigint, root string, fp array<bigint>, shingles array<bigint>, keys array<bigint>"
+FEATURES = "batch int, node bigint, root string, fp array<bigint>, shingles array<bigint>, keys array<bigint>"
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """``node, root, fp, shingles, keys`` of the distinct texts of ``id, text``; ``node`` is the smallest id.
+    """``batch, node, root, fp, shingles, keys`` of each batch's distinct texts; ``node`` is the smallest id.
 
     Texts are one if both their words and their root agree, which decides everything
     here. Copies meet before anything costly is computed.
     """
     words = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
-    formed = with_roots(rows).withColumn("_w", F.sha2(words, 256))
-    first = formed.groupBy("root", "_w").agg(F.min(F.struct("id", "text")).alias("x"))
-    return first.select(F.col("x.id").alias("node"), "root", F.col("x.text").alias("text")).mapInArrow(_features, FEATURES)
+    formed = with_roots(rows.select("batch", "id", "text")).withColumn("_w", F.sha2(words, 256))
+    first = formed.groupBy("batch", "root", "_w").agg(F.min(F.struct("id", "text")).alias("x"))
+    return first.select("batch", F.col("x.id").alias("node"), "root", F.col("x.text").alias("text")).mapInArrow(_features, FEATURES)
 
 
 def _hamming(a: Column, b: Column) -> Column:
@@ -163,66 +163,66 @@ def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 class History:
-    """The index of all accepted texts. ``ingest`` takes one batch after another."""
+    """The index of all accepted texts. ``ingest`` takes one batch after another.
 
-    def __init__(self, spark: SparkSession, buckets: int = 32):
-        self.spark, self.buckets = spark, buckets
+    ``texts`` holds each batch's distinct texts with their fingerprints, written once
+    when the batch is prepared; ``blocks`` the block keys of accepted ones.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.spark = spark
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = scratch(spark, "history")
         self.blocks = "history_blocks_" + self.path.rsplit("-", 1)[1]
         self.started = False
 
+    def prepare(self, rows: DataFrame) -> None:
+        """``batch, id, text`` of one or more coming batches: distinct texts and fingerprints, once."""
+        rows = rows.where(F.col("text").isNotNull())
+        distinct_texts(rows).write.mode("append").parquet(f"{self.path}/texts")
+
+    def texts(self) -> DataFrame:
+        return self.spark.read.schema(FEATURES).parquet(f"{self.path}/texts")
+
+    def close(self) -> None:
+        """Forgets the table; its files stay in the shared folder with the results that use them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.blocks}")
+
     def _append(self, nodes: DataFrame) -> None:
-        keep = nodes.select("node", "root", "fp", "shingles")
-        keep.write.mode("append").parquet(f"{self.path}/nodes")
         (
             _keys(nodes).repartition(self.buckets, "key").write.mode("append").format("parquet")
             .option("path", f"{self.path}/blocks").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(self.blocks)
         )
         self.started = True
 
-    def close(self) -> None:
-        """Forgets the table; its files stay in the shared folder with the results that use them."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.blocks}")
-
-    def nodes(self) -> DataFrame:
-        return self.spark.read.schema("node bigint, root string, fp array<bigint>, shingles array<bigint>").parquet(f"{self.path}/nodes")
-
-    def accept_all(self, rows: DataFrame) -> None:
-        """``id, text`` into the index without any check."""
-        self._append(cut(distinct_texts(rows)))
+    def accept_all(self, batch: int) -> None:
+        """A prepared batch into the index without any check."""
+        self._append(self.texts().where(F.col("batch") == batch))
 
     def _known(self, new: DataFrame) -> DataFrame:
-        """``b`` = nodes of ``new`` that are alike to an accepted one.
+        """``node`` of ``new`` that are alike to an accepted one.
 
         First each block's earliest accepted node is tried, which settles the members
         of a family however large; only the rest is held against whole blocks.
         """
         index = self.spark.table(self.blocks)
         mine = _keys(new).withColumnRenamed("node", "b")
-        hits = mine.join(index, "key")
-        first = hits.groupBy("key", "b").agg(F.min("node").alias("a")).select("a", "b").distinct()
-        nodes = self.nodes()
-        settled = cut(_verified(first, nodes, new).select("b").distinct())
+        first = mine.join(index, "key").groupBy("key", "b").agg(F.min("node").alias("a")).select("a", "b").distinct()
+        texts = self.texts()
+        settled = cut(_verified(first, texts, new).select("b").distinct())
         rest = mine.join(settled, "b", "left_anti").join(index, "key").select(F.col("node").alias("a"), "b").distinct()
-        return settled.unionByName(cut(_verified(rest.join(first, ["a", "b"], "left_anti"), nodes, new).select("b").distinct()))
+        return settled.unionByName(_verified(rest, texts, new).select("b").distinct()).withColumnRenamed("b", "node")
 
-    def ingest(self, rows: DataFrame) -> DataFrame:
-        """``id`` of the rows of a batch that repeat an accepted text; the others join the index.
+    def ingest(self, batch: int) -> DataFrame:
+        """``node`` of the texts of a prepared batch that are new, in order of id; they join the index.
 
-        ``rows`` has unique ``id`` (the order of arrival) and ``text``; null texts are
-        neither accepted nor reported. Works for an empty index and an empty batch.
+        A batch may be empty, and so may the index.
         """
-        rows = rows.where(F.col("text").isNotNull()).select("id", "text")
-        new = cut(distinct_texts(rows))
-        if self.started:
-            known = self._known(new)
-            left = cut(new.join(known.select(F.col("b").alias("node")), "node", "left_anti"))
-        else:
-            left = new
+        new = self.texts().where(F.col("batch") == batch)
+        left = cut(new.join(self._known(new), "node", "left_anti")) if self.started else new
         taken = self._resolve(left)
-        fresh = left.join(taken, "node", "left_semi")
-        self._append(fresh)
-        return rows.select("id").join(taken.select(F.col("node").alias("id")), "id", "left_anti")
+        self._append(left.join(taken, "node", "left_semi"))
+        return taken
 
     def _resolve(self, left: DataFrame, rounds: int = 3) -> DataFrame:
         """``node`` accepted among themselves in order of arrival.
@@ -236,31 +236,28 @@ class History:
         undecided = left
         for _ in range(rounds):
             keys = _keys(undecided)
-            sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+            sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where(F.col("n") > 1)
             load = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum("n").alias("keys")).first()
-            if not load["keys"] or load["pairs"] <= 4 * load["keys"]:
+            if not load["keys"] or load["pairs"] <= 8 * load["keys"]:
                 break
-            shared = keys.join(sizes.where(F.col("n") > 1), "key")
-            later = shared.where(F.col("node") > F.col("first"))
+            later = keys.join(sizes, "key").where(F.col("node") > F.col("first"))
             leaders = cut(undecided.select("node").join(later.select("node").distinct(), "node", "left_anti"))
             pairs = later.select(F.col("first").alias("a"), F.col("node").alias("b")).join(leaders.select(F.col("node").alias("a")), "a", "left_semi").distinct()
             out = _verified(pairs, undecided, undecided).select(F.col("b").alias("node")).distinct()
             done.append(leaders)
-            # A leader that was compared with all that follow it in its blocks is finished;
-            # what it settled leaves with it.
+            # A leader was compared with all that follow it in its blocks: it is finished,
+            # and what it settled leaves with it.
             undecided = cut(undecided.join(leaders, "node", "left_anti").join(out, "node", "left_anti"))
         keys = _keys(undecided)
         pairs = keys.withColumnRenamed("node", "a").join(keys.withColumnRenamed("node", "b"), "key").where(F.col("a") < F.col("b"))
         links = cut(_verified(pairs.select("a", "b").distinct(), undecided, undecided))
-        out = links.select(F.col("b").alias("node")).limit(0)
+        taken = undecided.select("node")
         while links.head(1):
             heads = links.select("a").join(links.select(F.col("b").alias("a")), "a", "left_anti").distinct()
-            gone = cut(links.join(heads, "a", "left_semi").select(F.col("b").alias("node")).distinct())
-            out = out.unionByName(gone)
-            dead = gone.select(F.col("node").alias("a"))
-            alive = links.join(heads, "a", "left_anti").join(dead, "a", "left_anti")
-            links = cut(alive.join(gone.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"))
-        taken = undecided.select("node").join(out, "node", "left_anti")
+            gone = links.join(heads, "a", "left_semi").select("b").distinct()
+            taken = taken.join(gone.withColumnRenamed("b", "node"), "node", "left_anti")
+            rest = links.join(heads, "a", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
+            links = cut(rest.join(gone, "b", "left_anti").select("a", "b"))
         for d in done:
             taken = taken.unionByName(d)
         return cut(taken)

@@ -14,23 +14,22 @@ MODEL = "emb-base-v2"
 DIM = 128
 
 
-def _arrivals(spark, d) -> DataFrame:
-    """``id, text, batch`` of paragraphs, redeliveries resolved; no batch counts as history."""
-    return tables.deliveries(tables.table(spark, d, "paragraphs")).select("id", "text", F.coalesce("batch", F.lit(0)).alias("batch"))
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = stored(_arrivals(spark, d).where(F.col("text").isNotNull()), "arrivals")
+    """Redeliveries are resolved first; rows without a batch belong to the history."""
+    rows = tables.deliveries(tables.table(spark, d, "paragraphs")).where(F.col("text").isNotNull())
+    rows = rows.select("id", "text", F.greatest(F.coalesce("batch", F.lit(0)), F.lit(0)).alias("batch"))
     # The table of batches is a fixed, short calendar.
-    later = sorted(r[0] for r in rows.select("batch").distinct().collect() if r[0] > 0)
+    calendar = sorted(r[0] for r in tables.table(spark, d, "batches").select("batch").distinct().collect())
     index = history.History(spark)
-    index.accept_all(rows.where(F.col("batch") <= 0))
-    found = spark.createDataFrame([], "paragraph_id bigint")
-    for b in later:
-        new = index.ingest(rows.where(F.col("batch") == b))
-        found = found.unionByName(new.select(F.col("id").alias("paragraph_id")))
+    index.prepare(rows)
+    index.accept_all(0)
+    accepted = index.texts().where(F.col("batch") == 0).select("node")
+    for b in calendar:
+        if b > 0:
+            accepted = accepted.unionByName(index.ingest(b))
     index.close()
-    return found
+    later = rows.where(F.col("batch") > 0).select(F.col("id").alias("paragraph_id"))
+    return later.join(accepted.withColumnRenamed("node", "paragraph_id"), "paragraph_id", "left_anti")
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
