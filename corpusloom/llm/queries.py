@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import SPACE_RE2 as WS
 from ..session import stored
 from ..sources import tables
-from . import containers, history, mixing, pieces, pii, records, tokens
+from ..functions import vectors as V
+from . import clusters, containers, history, mixing, neighbours, pieces, pii, records, tokens
 
 MODEL = "emb-base-v2"
 DIM = 128
@@ -42,6 +43,41 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return out.where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select(F.col("id").alias("chunk_id"))
 
 
+def _vectors(spark, d, kind: str) -> DataFrame:
+    """``key, vec`` of the current model's usable vectors of a kind, the latest written of each ``fp``."""
+    v = tables.table(spark, d, "vectors").where((F.col("model") == MODEL) & (F.col("kind") == kind) & F.col("fp").isNotNull())
+    fit = v.where(V.usable(F.col("vec"), DIM))
+    return fit.groupBy(F.col("fp").alias("key")).agg(F.max(F.struct("written_at", "vec")).alias("x")).select("key", "x.vec")
+
+
+def _p3_items(spark, d) -> DataFrame:
+    c = tables.table(spark, d, "clusters").where(F.col("cluster_id").isNotNull() & V.usable(F.col("centroid"), DIM))
+    c = c.groupBy(F.col("cluster_id").alias("key")).agg(F.max(F.struct("created_at", "centroid")).alias("x"))
+    return _vectors(spark, d, "chunk").unionByName(c.select("key", F.col("x.centroid").alias("vec")))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(stored(_p3_items(spark, d), "items"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = p3_neighbours(spark, d)
+    return near.select(F.least("key", "other").alias("a_key"), F.greatest("key", "other").alias("b_key")).distinct()
+
+
+def _p5(spark, d) -> DataFrame:
+    return clusters.confirm(stored(clusters.assign(_vectors(spark, d, "paragraph")), "clusters"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _p5(spark, d).where(F.col("key") != F.col("cluster"))
+    return found.select(F.col("cluster").alias("first_fp"), F.col("key").alias("member_fp"))
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.describe(_p5(spark, d), DIM)
+
+
 def _texts(spark, d) -> DataFrame:
     return tables.deliveries(tables.table(spark, d, "paragraphs"))
 
@@ -86,7 +122,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(tables.table(spark, d, "documents"), lexicon)
 
 
-ALL = (p1_found, p2_found, p2_pieces, p4_found, p4_groups, p6_containers, p6_summary, p7_selection, p7_shares, p8_found, p8_redacted)
+ALL = (p1_found, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_groups, p5_found, p5_clusters, p6_containers, p6_summary, p7_selection, p7_shares, p8_found, p8_redacted)
 
 
 def queries() -> dict:
