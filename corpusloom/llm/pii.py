@@ -59,6 +59,7 @@ PAPERS = (
     "driver's license", "driver's licence", "licence number", "license number", "tax id", "tax number", "tax no", "taxpayer", "insurance no", "insurance number",
     "identity card", "identity no", "identity number", "id card", "id number", "personal id", "ausweis", "reisepass", "versicherungsnummer", "versicherungs-nr",
     "steuer-id", "steuernummer", "steuer-nr", "identifikationsnummer", "führerschein", "pasaporte", "documento", "dni", "nie", "nif", "seguridad social", "carné", "permiso de conducir",
+    "health card", "health insurance", "nhs", "afiliación", "cédula", "personnummer", "krankenversicher", "sozialversicher", "rentenversicher", "residence permit", "permit no",
 )
 #: Words that announce some other number.
 OTHER_NUMBERS = (
@@ -105,10 +106,13 @@ _RUN = re.compile(rf"(?i)\b(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def normalise(text: str) -> Normal:
-    """Look-alikes to Latin, invisible characters out, runs of five or more spelled digits to digits."""
+def normalise(text: str, spelled: bool = True) -> Normal:
+    """Look-alikes to Latin, invisible characters out, runs of five or more spelled digits to digits.
+
+    ``spelled`` false says that the text is known to hold no such run.
+    """
     out, back = text, None
-    if _ODD.search(text):
+    if not text.isascii() and _ODD.search(text):
         chars: list[str] = []
         back = []
         for i, ch in enumerate(text):
@@ -128,7 +132,7 @@ def normalise(text: str) -> Normal:
             chars.append(new)
             back.append(i)
         out = "".join(chars)
-    if _RUN.search(out):
+    if spelled and _RUN.search(out):
         parts, places, at = [], [], 0
         for m in _RUN.finditer(out):
             parts.append(out[at : m.start()])
@@ -172,7 +176,7 @@ def _email_patterns():
     tail = rf"{label}(?:{dot}{label})*?{dot}[^\W\d_]{{2,24}}(?:{dot}(?:com|org|net|edu|example|mail|corp|[a-z]{{2}})\b)*"
     host = re.compile(rf"(?i){at}(?P<host>{label}(?:{dot}{label})*)")
     word_host = re.compile(rf"(?i){_S}at{_S}(?P<host>{label}(?:{spelled_dot}{label})+)")
-    before = re.compile(rf"(?i)(?:^|(?<=[^\w.+'-]))({local})$")
+    before = re.compile(rf"(?i)(?:^|(?<=[^\w.+'-]))({local})\Z")
     return host, word_host, before, tail
 
 
@@ -180,33 +184,67 @@ _HOST, _WORD_HOST, _LOCAL, _ = _email_patterns()
 
 _PHONE = re.compile(
     r"""(?x)(?<![\w@.,/-])(?:
-      (?:\+|00(?=[1-9]))[ ]?(?:\d[\d]{0,2})(?:[\s./-]{0,2}\(?\d{1,5}\)?){2,6}         # country code
-    | \(\d{2,5}\)[\s.-]{0,2}\d{2,4}(?:[\s.-]\d{2,4}){1,3}                              # bracketed area
-    | (?:1[\s.-])?\d{3}([.-])\d{3}\1\d{4}                                              # 212-555-0100
-    | 0\d{2,4}[\s/-]\d{3,8}(?:[\s-]\d{2,4}){0,2}                                        # leading zero
-    | 0\d(?:[.\s-]\d{2}){4}                                                             # pairs
+      (?:\+|00(?=[1-9]))[ ]?(?:\d[\d]{0,2})(?:[ \n./-]{0,2}\(?\d{1,5}\)?){2,6}         # country code
+    | \(\d{2,5}\)[ \n.-]{0,2}\d{2,4}(?:[ \n.-]\d{2,4}){1,3}                              # bracketed area
+    | (?:1[ .-])?\d{3}([.-])\d{3}\1\d{4}                                              # 212-555-0100
+    | 0\d{2,4}[ \n/-]\d{3,8}(?:[ \n-]\d{2,4}){0,2}                                        # leading zero
+    | 0\d(?:[. \n-]\d{2}){4}                                                             # pairs
     | [2-9]\d{2}[2-9]\d{6}                                                              # ten digits
+    | 0\d{9,11}                                                                        # leading zero, unbroken
     )(?![\w@]|[.,/-]\d)"""
 )
-_OTHER = re.compile(rf"(?i)(?:\b(?:{'|'.join(OTHER_NUMBERS)})s?\.?|\#){_S}?(?:no\.?|nr\.?|number|id|:|\#)?{_S}?$")
+#: Where a phone can be at all: first a cheap look for long runs of digits and marks.
+_DIGITS = re.compile(r"[+(\d][\d\s().+/-]{6,}")
+_OTHER = re.compile(rf"(?i)(?:\b(?:{'|'.join(OTHER_NUMBERS)})s?\.?|\#){_S}?(?:no\.?|nr\.?|number|id|:|\#)?{_S}?\Z")
 
 _PAPER_TAIL = re.compile(
-    rf"""(?ix)[\w-]{{0,20}}?(?:{_S}?(?:number|no\.?|nr\.?|num\.?|núm\.?|n[º°]\.?|code|card|id|\#|:|-nr\.?|-id|-nummer|is|lautet|es)){{0,3}}{_S}?[:\#]?{_S}?(?-i:
+    rf"""(?ix)[\w-]{{0,20}}?\.?(?:{_S}?(?:number|no\.?|nr\.?|num\.?|núm\.?|n[º°]\.?|code|card|id|\#|:|-nr\.?|-id|-nummer|is|lautet|es)){{0,3}}{_S}?[:\#]?{_S}?(?-i:
     (?P<id>\d{{3}}[- ]\d{{2}}[- ]\d{{4}} | \d{{6}}-\d{{4}} | \d{{4}}\.\d{{3}}\.\d{{3}}-[\dA-Z] | \d{{2}}\.\d{{3}}\.\d{{3}}-[\dA-Z]
       | \d{{2}}(?:\s\d{{3}}){{3}} | [A-Za-z]{{2}}(?:\s\d{{2}}){{3}}\s[A-Za-z] | [A-Za-z]{{1,5}}-?\d{{6,7}}(?:[A-Za-z]\d|[A-Za-z]{{0,2}}) | \d{{8}}[A-Za-z]
       | \d{{3}}\s\d{{3}}\s\d{{3}} | \d{{9,11}} | \d{{3}}\s\d{{2}}\s\d{{4}}))(?![\w]|[.-]\d)""".replace("\\s", _S)
 )
 
 _UNIT = r"(?:(?:unit|flat|apt|apartment|suite|ste|room|floor|no)\.?" + _S + r"?#?" + _S + r"?\d{1,5}[a-z]?,?" + _S + r"|\#" + _S + r"?\d{1,5},?" + _S + r")"
-_EN_TAIL = re.compile(rf"(?P<unit>(?i:{_UNIT}))?(?<![\w.,/-])(?P<no>\d{{1,5}}[A-Za-z]?),?{_S}(?P<name>(?:(?:[A-ZÀ-Þ][\w'’]*\.?|\d+(?:st|nd|rd|th)){_S}){{1,4}})$")
+_EN_TAIL = re.compile(rf"(?P<unit>(?i:{_UNIT}))?(?<![\w.,/-])(?P<no>\d{{1,5}}[A-Za-z]?),?{_S}(?P<name>(?:(?:[A-ZÀ-Þ][\w'’]*\.?|\d+(?:st|nd|rd|th)){_S}){{1,4}})\Z")
 _EN_KIND = re.compile(rf"(?i)\b(?:{'|'.join(STREETS)})\b")
-_DE = re.compile(rf"(?P<name>(?:\b(?:Alte[rn]?|Neue[rn]?|Große|Kleine|Obere|Untere|Am|An{_S}der|Im|Zum|Zur|[A-ZÄÖÜ][\wäöüß]+er|ALTE|NEUE|[A-ZÄÖÜ]+ER){_S})?\b[A-ZÄÖÜ][\wäöüß]*(?:-[A-Za-zÄÖÜäöüß]+)?)$")
+_DE = re.compile(rf"(?P<name>(?:\b(?:Alte[rn]?|Neue[rn]?|Große|Kleine|Obere|Untere|Am|An{_S}der|Im|Zum|Zur|[A-ZÄÖÜ][\wäöüß]+er|ALTE|NEUE|[A-ZÄÖÜ]+ER){_S})?\b[A-ZÄÖÜ][\wäöüß]*(?:-[A-Za-zÄÖÜäöüß]*)?)\Z")
+_DE_APART = re.compile(rf"(?:\b(?:Alte|Neue|Große|Kleine|ALTE|NEUE){_S})?\b[A-ZÄÖÜ][\wäöüß-]+{_S}\Z")
+_DE_ER = re.compile(rf"\b(?:[A-ZÄÖÜ][a-zäöüß]+er|[A-ZÄÖÜ]+ER){_S}\Z")
 _DE_KIND = re.compile(rf"(?i)(?:straße|strasse|str\.|gasse|weg|platz|allee|damm|ufer|steig)(?P<no>{_S}\d{{1,4}}(?:{_S}?[a-z]\b)?(?![\d.:/-]))")
 _ES = re.compile(
     rf"(?:\b(?i:calle|plaza|avenida|avda\.|paseo|camino|ronda|carrera|pza\.|travesía)|\b(?i:c/)){_S}?(?P<name>(?:(?:[A-ZÀ-Þ][\wÀ-ÿ]*|de|del|la|las|los|el|y){_S}){{1,6}}?),?{_S}?(?i:n\.?º{_S}?|núm\.?{_S}?)?\d{{1,4}}\b"
 )
 
 
+#: Digits that a number has after these beginnings, prefix included.
+_LENGTHS = (("+44", 12), ("0044", 14), ("+1", 11), ("+33", 11), ("0033", 13), ("+61", 11), ("+34", 11), ("+49", 13))
+
+
+def _whole_number(found: str) -> int:
+    """Where a phone number ends, if more digits follow that belong to something else."""
+    most = next((n for p, n in _LENGTHS if found.startswith(p)), 11 if found[0] in "(0" else 15)
+    seen = 0
+    for i, c in enumerate(found):
+        if c.isdigit():
+            seen += 1
+            if seen == most and not found[i + 1 : i + 2].isdigit():
+                return i + 1
+        elif c == "\n" and seen >= 10:
+            return i
+    return len(found)
+
+
+def _crowded(hits) -> bool:
+    """Five words for digits, one close behind the other."""
+    run, last = 0, -99
+    for a, b in hits:
+        run = run + 1 if a - last <= 6 else 1
+        if run >= 5:
+            return True
+        last = b
+    return False
+
+
 class Finder:
     """Finds spans in one text. Built once for each task from the lexicon."""
 
@@ -217,10 +255,10 @@ class Finder:
         whole = "|".join(sorted(map(re.escape, lexicon.family), key=len, reverse=True)) or r"(?!)"
         lead = rf"(?:\b(?:{_alternatives(PARTICLES)}){_S})?(?:\b(?:al-|el-|[od]['’]))?"
         initial = r"[^\W\d_]\."
-        self._lead = re.compile(rf"(?i){lead}$")
+        self._lead = re.compile(rf"(?i){lead}\Z")
         self._rest = re.compile(rf"(?i)(?:(?:{stems})(?:{ends})|(?:{whole}))(?![\w@])")
-        self._left = re.compile(rf"(?i)(?<![\w@.+-])(?:{given}|{initial})(?:{_S}{initial})*{_S}$")
-        self._title = re.compile(rf"(?i)(?<![\w@.+-])(?:{'|'.join(TITLES)})\.?{_S}$")
+        self._left = re.compile(rf"(?i)(?<![\w@.+-])(?:{given}|{initial})(?:{_S}{initial})*{_S}\Z")
+        self._title = re.compile(rf"(?i)(?<![\w@.+-])(?:{'|'.join(TITLES)})\.?{_S}\Z")
         self._right = re.compile(rf"(?i)(?:,{_S}?(?:{given}|{initial})|{_S}(?:{given}))(?![\w@+]|[-.]\w)")
         # A given name before a family name that the directory has no part of.
         any_family = rf"(?:{initial}{_S})*(?:(?:{_alternatives(PARTICLES)}){_S}(?:al-|[od]['’])?|(?:al-|[od]['’]))[^\W\d_][\w'’-]+"
@@ -230,7 +268,8 @@ class Finder:
         for what, keys in (
             ("@", ("@", "(at)", "[at]", "{at}", "( at )", "[ at ]", "(arroba)", "[arroba]")),
             ("dot", (" at ", " at\n", "\nat ")),
-            ("paper", PAPERS),
+            ("paper", (*PAPERS, *(p.replace(" ", "\n") for p in PAPERS))),
+            ("digit", tuple(SPELLED)),
             ("de", ("straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "damm", "ufer", "steig")),
             ("es", ("calle", "plaza", "avenida", "avda.", "paseo", "camino", "ronda", "carrera", "pza.", "c/", "travesía")),
             ("en", tuple(f"{b}{k}" for k in STREETS for b in (" ", "\n"))),
@@ -249,15 +288,12 @@ class Finder:
         """All mentions in order; none for null or empty text. Spans of one kind do not overlap."""
         if not text:
             return []
-        normal = normalise(text)
+        normal = normalise(text, spelled=False)
+        low, hits = self._scan(normal.text)
+        if _crowded(hits.get("digit", ())):
+            normal = normalise(text)
+            low, hits = self._scan(normal.text)
         t = normal.text
-        low = t.lower()
-        if len(low) != len(t):  # a few letters grow when lowered; keep places
-            low = "".join(c if len(c.lower()) > 1 else c.lower() for c in t)
-        hits: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for end, (n, whats) in self._auto.iter(low):
-            for w in whats:
-                hits[w].append((end - n + 1, end + 1))
         found: list[Span] = []
         found += self._emails(t, low, hits)
         taken = [(s.start, s.end) for s in found]
@@ -272,6 +308,17 @@ class Finder:
             found = [Span(s.kind, *normal.source(s.start, s.end)) for s in found]
         return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
 
+    def _scan(self, t: str) -> tuple[str, dict[str, list[tuple[int, int]]]]:
+        """The lowered text and where its keywords lie."""
+        low = t.lower()
+        if len(low) != len(t):  # a few letters grow when lowered; keep places
+            low = "".join(c if len(c.lower()) > 1 else c.lower() for c in t)
+        hits: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for end, (n, whats) in self._auto.iter(low):
+            for w in whats:
+                hits[w].append((end - n + 1, end + 1))
+        return low, hits
+
     def _emails(self, t: str, low: str, hits) -> list[Span]:
         out, last = [], -1
         tries = [(a, _HOST) for a, _ in hits.get("@", ())] + [(a, _WORD_HOST) for a, _ in hits.get("dot", ())]
@@ -320,14 +367,18 @@ class Finder:
     @staticmethod
     def _phones(t: str, taken: list[tuple[int, int]]) -> list[Span]:
         out, i = [], 0
-        for m in _PHONE.finditer(t):
+        runs = (m for r in _DIGITS.finditer(t) for m in _PHONE.finditer(t, r.start(), min(len(t), r.end() + 3)))
+        for m in runs:
             s, e = m.span()
+            if out and s < out[-1].end:
+                continue
             while i < len(taken) and taken[i][1] <= s:
                 i += 1
             if i < len(taken) and taken[i][0] < e:
                 continue
-            digits = sum(c.isdigit() for c in m.group())
-            if not 7 <= digits <= 15 or m.group().count("\n") > 1 or _OTHER.search(t, max(0, s - 24), s):
+            e = s + _whole_number(m.group())
+            digits = sum(c.isdigit() for c in t[s:e])
+            if not 7 <= digits <= 15 or t.count("\n", s, e) > 1 or _OTHER.search(t, max(0, s - 24), s):
                 continue
             out.append(Span("phone", s, e))
         return out
@@ -354,9 +405,11 @@ class Finder:
             if m and (m.group("name")[-1] not in " \n"):
                 spans.append((m.start("name"), k.end()))
             elif t[a].isupper():
-                m = re.search(rf"(?:\b(?:Alte|Neue|Große|Kleine|ALTE|NEUE){_S})?\b[A-ZÄÖÜ][\wäöüß-]+{_S}$", t[max(0, a - 50) : a])
+                m = _DE_APART.search(t, max(0, a - 50), a)
                 if m:
-                    spans.append((max(0, a - 50) + m.start(), k.end()))
+                    spans.append((m.start(), k.end()))
+            elif m := _DE_ER.search(t, max(0, a - 50), a):
+                spans.append((m.start(), k.end()))
         for a, _ in hits.get("es", ()):
             if a and (t[a - 1].isalnum()):
                 continue
@@ -375,7 +428,7 @@ class Finder:
     def _names(self, t: str, hits, mails: list[tuple[int, int]]) -> list[Span]:
         spans: dict[int, int] = {}
         anchored: list[tuple[int, int]] = []
-        seen = -1
+        seen = turned = -1
         for a, _ in hits.get("stem", ()):
             if a < seen or (a and (t[a - 1].isalnum() or t[a - 1] in "_@")):
                 continue
@@ -388,13 +441,15 @@ class Finder:
             if s and (t[s - 1].isalnum() or t[s - 1] in "_@.+-") and s == a:
                 continue
             back = max(0, s - 40)
-            if left := self._left.search(t, back, s):
-                # The nearest given name or initial; "A. Given" is found from the initial.
+            left = self._left.search(t, back, s)
+            if left and left.start() < turned:  # that given name belongs to the family name before it
+                left = None
+            if left:
                 spans[left.start()] = e
             elif self._title.search(t, back, s):
                 spans[s] = e
             elif right := self._right.match(t, e):
-                spans[s] = right.end()
+                spans[s] = turned = right.end()
             else:
                 continue
             anchored.append((min(s, left.start() if left else s), spans.get(left.start() if left else s, e)))

@@ -39,8 +39,7 @@ def found(spark, rows, batches):
     df = spark.createDataFrame(rows, "batch int, id bigint, text string")
     index = history.History(spark, 4)
     index.prepare(df)
-    index.accept_all(0)
-    accepted = {r[0] for r in index.texts().where("batch = 0").select("node").collect()}
+    accepted = {r[0] for r in index.accept_all(0).collect()}
     for b in batches:
         accepted |= {r[0] for r in index.ingest(b).collect()}
     index.close()
