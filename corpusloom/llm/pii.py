@@ -184,10 +184,10 @@ _HOST, _WORD_HOST, _LOCAL, _ = _email_patterns()
 
 _PHONE = re.compile(
     r"""(?x)(?<![\w@.,/-])(?:
-      (?:\+|00(?=[1-9]))[ ]?(?:\d[\d]{0,2})(?:[ \n./-]{0,2}\(?\d{1,5}\)?){2,6}         # country code
+      (?:\+[ ]?\d{1,3}|00[1-9]\d?(?=[ \n.-])|00[1-9]\d\d(?=[ .-]))(?:(?:[ \n/-]|\.(?=\d)){0,2}\(?\d{1,8}\)?){2,6}  # country code
     | \(\d{2,5}\)[ \n.-]{0,2}\d{2,4}(?:[ \n.-]\d{2,4}){1,3}                              # bracketed area
     | (?:1[ .-])?\d{3}([.-])\d{3}\1\d{4}                                              # 212-555-0100
-    | 0\d{2,4}[ \n/-]\d{3,8}(?:[ \n-]\d{2,4}){0,2}                                        # leading zero
+    | 0[1-9]\d{1,3}[ \n/-]\d{3,8}(?:[ \n-]\d{2,4}){0,2}                                   # leading zero; 00 begins a post code
     | 0\d(?:[. \n-]\d{2}){4}                                                             # pairs
     | [2-9]\d{2}[2-9]\d{6}                                                              # ten digits
     | 0\d{9,11}                                                                        # leading zero, unbroken
@@ -245,6 +245,13 @@ def _crowded(hits) -> bool:
     return False
 
 
+#: What may follow a street: a unit, then a town if it has a post code.
+_AFTER = re.compile(
+    rf"(?:,{_S}?(?:(?i:apt|flat|unit|suite|apartment){_S}?#?{_S}?\d{{1,5}}[a-z]?|\#{_S}?\d{{1,5}}|\d{{1,2}}\.?[ºª](?:{_S}[A-Z])?|(?i:bajo|piso{_S}\d{{1,2}}))\b)?"
+    rf"(?:,{_S}?(?:\d{{4,5}}{_S}[^\W\d_][\w'-]+|[^\W\d_][\w'-]+(?:{_S}[^\W\d_][\w'-]+)?{_S}(?:\d{{5}}|[A-Z]{{1,2}}\d{{1,2}}{_S}\d[A-Z]{{2}}))\b)?"
+)
+
+
 class Finder:
     """Finds spans in one text. Built once for each task from the lexicon."""
 
@@ -421,6 +428,10 @@ class Finder:
                 i += 1
             if s < last or (i < len(blocked) and blocked[i][0] <= s):
                 continue
+            stop = blocked[i][0] if i < len(blocked) else len(t)
+            more = _AFTER.match(t, e)
+            if more and more.end() <= stop:
+                e = more.end()
             out.append(Span("address", s, e))
             last = e
         return out

@@ -27,7 +27,8 @@ CASES = [
     ("Versicherungsnummer 38123439U, DNI 06 032 450 032", [("id_number", "38123439U"), ("id_number", "06 032 450 032")]),
     ("at Flat 25, 62 Weaver's Way, Mirefield", [("address", "Flat 25, 62 Weaver's Way")]),
     ("in der Alte Ziegelei-straße 98 b; Lindhaingasse 54", [("address", "Alte Ziegelei-straße 98 b"), ("address", "Lindhaingasse 54")]),
-    ("vive en Calle de los Tejares 94, 2.º B", [("address", "Calle de los Tejares 94")]),
+    ("vive en Calle de los Tejares 94, 2.º B", [("address", "Calle de los Tejares 94, 2.º B")]),
+    ("to 1579 Marsh Ave, Apt 1, Morvemouth 00579 and 209 Osier Rd., Tollen Ridge XQ3 9KM, or 7 Ninth Lane, Velmouth", [("address", "1579 Marsh Ave, Apt 1, Morvemouth 00579"), ("address", "209 Osier Rd., Tollen Ridge XQ3 9KM"), ("address", "7 Ninth Lane")]),
     ("Room 84, South Wing; 12 lanes on the main street; The Row 5", []),
     ("hi, it's dagny al-albrivaja here", [("name", "dagny al-albrivaja")]),
     ("Mrs. van Korbzusson met D. Velktquist", [("name", "van Korbzusson"), ("name", "D. Velktquist")]),
