@@ -64,7 +64,7 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.concatenate([books[m][codes[:, m]] for m in range(SUBSPACES)], 1)
 
 
-def nearest(items: DataFrame, key: str = "key", k: int = 5, probes: float = 0.35, lists: int | None = None) -> DataFrame:
+def nearest(items: DataFrame, key: str = "key", k: int = 5, probes: float = 0.05, lists: int | None = None) -> DataFrame:
     """``key, other, rank, cosine``: the ``k`` most similar others of each item.
 
     ``items`` has unique keys and usable vectors ``vec`` of one length, a multiple of 32.
