@@ -23,8 +23,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     calendar = sorted(r[0] for r in tables.table(spark, d, "batches").select("batch").distinct().collect())
     index = history.History(spark)
     index.prepare(rows)
-    index.accept_all(0)
-    accepted = index.texts().where(F.col("batch") == 0).select("node")
+    accepted = index.accept_all(0)
     for b in calendar:
         if b > 0:
             accepted = accepted.unionByName(index.ingest(b))
@@ -65,17 +64,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("key", "other").alias("a_key"), F.greatest("key", "other").alias("b_key")).distinct()
 
 
-def _p5(spark, d) -> DataFrame:
-    return clusters.confirm(stored(clusters.assign(_vectors(spark, d, "paragraph")), "clusters"))
+def _p5(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = clusters.units(_vectors(spark, d, "paragraph"))
+    return clusters.confirm(stored(clusters.assign(rows), "clusters"), rows), rows
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = _p5(spark, d).where(F.col("key") != F.col("cluster"))
+    found = _p5(spark, d)[0].where(F.col("key") != F.col("cluster"))
     return found.select(F.col("cluster").alias("first_fp"), F.col("key").alias("member_fp"))
 
 
 def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.describe(_p5(spark, d), DIM)
+    found, rows = _p5(spark, d)
+    return clusters.describe(stored(found.join(rows, "key"), "members"), DIM)
 
 
 def _texts(spark, d) -> DataFrame:

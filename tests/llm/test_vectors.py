@@ -9,6 +9,11 @@ def frame(spark, x, keys=None):
     return spark.createDataFrame([(k, v.tolist(), 0) for k, v in zip(keys, x)], "key string, vec array<float>, cell int")
 
 
+def found(spark, x):
+    rows = clusters.units(frame(spark, x))
+    return clusters.confirm(clusters.assign(rows).cache(), rows), rows
+
+
 def blobs(rng, sizes, dim=32, noise=0.04):
     parts = []
     for s in sizes:
@@ -43,7 +48,7 @@ def test_clusters_equal_components(spark, small_cells):
     rng = np.random.default_rng(1)
     x = np.vstack([blobs(rng, [260, 40, 25, 10, 5, 3, 2, 2]), rng.normal(size=(350, 32)).astype(np.float32)])
     x *= rng.uniform(0.5, 3, size=(len(x), 1)).astype(np.float32)
-    got = {r["key"]: r["cluster"] for r in clusters.confirm(clusters.assign(frame(spark, x))).collect()}
+    got = {r["key"]: r["cluster"] for r in found(spark, x)[0].collect()}
     label = components(x, 0.75)
     want = {f"k{i:05d}": f"k{c:05d}" for i, c in label.items() if sum(v == c for v in label.values()) > 1}
     assert got == want
@@ -51,9 +56,9 @@ def test_clusters_equal_components(spark, small_cells):
 
 def test_clusters_of_nothing_and_of_one_direction(spark, small_cells):
     x = np.ones((400, 32), np.float32)
-    assert clusters.assign(frame(spark, x[:0])).count() == 0
-    assert clusters.assign(frame(spark, x[:1])).count() == 0
-    got = clusters.assign(frame(spark, x)).collect()
+    assert found(spark, x[:0])[0].count() == 0
+    assert found(spark, x[:1])[0].count() == 0
+    got = found(spark, x)[0].collect()
     assert len(got) == 400 and {r["cluster"] for r in got} == {"k00000"}
 
 
@@ -61,14 +66,15 @@ def test_chains_are_not_confirmed(spark):
     angle = np.radians([0, 35, 70, 200, 205])
     x = np.zeros((5, 32), np.float32)
     x[:, 0], x[:, 1] = np.cos(angle), np.sin(angle)
-    got = clusters.confirm(clusters.assign(frame(spark, x)))
+    got = found(spark, x)[0]
     assert {r["key"] for r in got.collect()} == {"k00003", "k00004"}
 
 
 def test_describe(spark):
     rng = np.random.default_rng(2)
     x = blobs(rng, [30, 7])
-    rows = {r["cluster"]: r for r in clusters.describe(clusters.assign(frame(spark, x)), 32).collect()}
+    got, vecs = found(spark, x)
+    rows = {r["cluster"]: r for r in clusters.describe(got.join(vecs, "key"), 32).collect()}
     assert {c: r["size"] for c, r in rows.items()} == {"k00000": 30, "k00030": 7}
     u = x[:30] / np.linalg.norm(x[:30], axis=1, keepdims=True)
     centre = u.mean(0) / np.linalg.norm(u.mean(0))
