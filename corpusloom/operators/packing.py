@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -51,21 +51,22 @@ def assign_chunks(paragraphs: DataFrame, target_words: int = 180, block: int = 2
     first = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("_blocks"))
     long_files = first.where(F.col("_blocks") > 1).select(F.col("source").alias("_s"))
 
-    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-        for pdf in batches:
-            for k, part in pdf.groupby(["source", "_block"], sort=False, dropna=False):
-                if key is not None and not _same(k, key):
-                    yield _table(key, held)
-                    held = []
-                key = k
-                held.append(part["words"].fillna(0).to_numpy(np.int64))
-        if key is not None:
-            yield _table(key, held)
 
-    def _table(key, held):
-        flow = _flows(np.concatenate(held), target_words)
-        return pd.DataFrame({"source": [key[0]], "_block": [key[1]], "flow": [flow.tolist()]})
+        def flush():
+            flow = pa.array([_flows(np.array(held, np.int64), target_words).tolist()], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), flow], names=["source", "_block", "flow"])
+
+        for b in batches:
+            for k, w in zip(zip(b.column("source").to_pylist(), b.column("_block").to_pylist()), b.column("words").to_pylist()):
+                if k != key:
+                    if key is not None:
+                        yield flush()
+                    key, held = k, []
+                held.append(w or 0)
+        if key is not None:
+            yield flush()
 
     need = rows.join(long_files, F.col("source").eqNullSafe(F.col("_s")), "left_semi")
     flows = (
@@ -73,7 +74,7 @@ def assign_chunks(paragraphs: DataFrame, target_words: int = 180, block: int = 2
         .repartition("source", "_block")
         .sortWithinPartitions("source", "_block", "position", *tie)
         .select("source", "_block", "words")
-        .mapInPandas(tables, "source string, _block long, flow array<long>")
+        .mapInArrow(tables, "source string, _block long, flow array<long>")
     )
     # Chained in the JVM over one small table for each block of a long file.
     chain = F.aggregate(
@@ -96,26 +97,24 @@ def assign_chunks(paragraphs: DataFrame, target_words: int = 180, block: int = 2
     fed = fed.withColumn("_inflow", F.coalesce("_inflow", F.lit(0).cast("long")))
     fed = fed.repartition("source", "_block").sortWithinPartitions("source", "_block", "position", *tie)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, starts = None, 0, 0
-        for pdf in batches:
-            out = np.empty(len(pdf), np.int64)
-            words = pdf["words"].fillna(0).to_numpy(np.int64).tolist()
-            sources, blocks = pdf["source"].tolist(), pdf["_block"].tolist()
-            inflow = pdf["_inflow"].tolist()
-            for i, w in enumerate(words):
-                k = (sources[i], blocks[i])
-                if k != key:
-                    key, state, starts = k, inflow[i], 0
+        for b in batches:
+            out = np.empty(b.num_rows, np.int64)
+            cols = [b.column(c).to_pylist() for c in ("source", "_block", "words", "_inflow")]
+            for i, (source, block_no, w, inflow) in enumerate(zip(*cols)):
+                w = w or 0
+                if (source, block_no) != key:
+                    key, state, starts = (source, block_no), inflow, 0
                 if state > 0 and state + w > target_words:
                     state, starts = w, starts + 1
                 else:
                     state += w
                 out[i] = starts
-            yield pdf.assign(_starts=out)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "_starts"])
 
     schema = StructType([*fed.schema.fields, StructField("_starts", LongType())])
-    packed = fed.mapInPandas(pack, schema)
+    packed = fed.mapInArrow(pack, schema)
     ends = packed.groupBy("source", "_block").agg(F.max("_starts").alias("_last"))
     before = ends.select(
         F.col("source").alias("_s"),
@@ -130,10 +129,6 @@ def assign_chunks(paragraphs: DataFrame, target_words: int = 180, block: int = 2
     )
 
 
-def _same(a, b) -> bool:
-    return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
-
-
 def chunk_rows(paragraphs: DataFrame, target_words: int = 180, min_words: int = 20, block: int = 20_000) -> DataFrame:
     """``source, chunk, paragraph_ids, text, fp, words``, chunks under ``min_words`` dropped.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +37,13 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
         )
         if not found:
             return spark.createDataFrame([], "source string, text string")
-        raw = spark.read.format("binaryFile").load([Path(p).as_uri() for p in found])
-        base = local.as_uri() + "/"
+        # Listed paths are exact: what the lister would read as a pattern is escaped.
+        raw = spark.read.format("binaryFile").load(["file://" + re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in found])
+        base = f"{local}/"
     ending = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    # Spark shows local paths as file:/a, URIs as file:///a.
-    bare = lambda p: F.regexp_replace(p, "^file:/+", "/")
-    plain = lambda p: F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))
-    name = plain(F.substring(bare(F.col("path")), F.length(bare(F.lit(base))) + 1, 1 << 20))
+    # Spark shows a local path as file:/a/b.
+    bare = F.regexp_replace("path", "^file:/+", "/")
+    name = F.substring(bare, len(base) + 1, 1 << 20)
     text = F.col("content").cast("string")
     return (
         raw.where(ending.isin(*SUFFIXES))

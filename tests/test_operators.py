@@ -79,7 +79,7 @@ def test_tier0(spark, corpus):
     lists = {r["message"]: r for r in found.with_lists().where("signal = 'boilerplate'").collect()}
     assert [r["sources"] for r in lists.values()] == [["a.md", "b.md", "c.md"]]
     text = report_lines(corpus, found)
-    assert text[0].startswith("4 files, 8 paragraphs") and "5 of 8 paragraphs" in text[-1]
+    assert text[0].startswith("4 files, 9 paragraphs") and "5 of 9 paragraphs" in text[-1]
     low = fd.downgrade(found.rows, F.col("severity") == "high", "info", "later")
     assert low.where("severity = 'high'").count() == 0 and low.count() == found.rows.count()
 

@@ -49,11 +49,11 @@ def test_folder_reading(spark, tmp_path):
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
     (tmp_path / "skip.csv").write_text("no")
     (tmp_path / ".hidden" / "h.md").write_text("five")
-    (tmp_path / "_draft" / "d d+.txt").write_text("six")
+    (tmp_path / "_draft" / "d d+[1]%20.txt").write_text("six")
     docs = read_folder(spark, str(tmp_path))
     rows = [(r["id"], r["source"], r["text"]) for r in read_paragraphs(docs).orderBy("id").collect()]
     assert rows == [
-        (0, ".hidden/h.md", "five"), (1, "UP.MD", "four"), (2, "_draft/d d+.txt", "six"), (3, "a/b.md", "one"),
+        (0, ".hidden/h.md", "five"), (1, "UP.MD", "four"), (2, "_draft/d d+[1]%20.txt", "six"), (3, "a/b.md", "one"),
         (4, "a/b.md", "two"), (5, "a-b.md", "three"),
     ]
     with pytest.raises(FileNotFoundError):
