@@ -98,7 +98,7 @@ def test_neighbours_recall(spark, monkeypatch, shard):
     rng = np.random.default_rng(4)
     x = np.vstack([blobs(rng, [300, 60, 40], dim=64, noise=0.1), rng.normal(size=(400, 64)).astype(np.float32)])
     got = {}
-    for r in neighbours.nearest(frame(spark, x)).collect():
+    for r in neighbours.nearest(frame(spark, x), probes=0.5).collect():
         got.setdefault(r["key"], []).append((r["rank"], r["other"], r["cosine"]))
     assert all(sorted(a for a, _, _ in v) == [1, 2, 3, 4, 5] for v in got.values()) and len(got) == len(x)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
