@@ -134,4 +134,13 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"""SELECT DISTINCT id AS chunk_id FROM chunks WHERE text IS NOT NULL
             AND len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '')) > 400""",
+        # Members of a cluster all have the same neighbours: the cluster itself.
+        "p5_found": f"""WITH v AS (SELECT fp, list_transform(any_value(vec), lambda x: x::DOUBLE) AS v FROM vectors
+              WHERE model = '{MODEL}' AND kind = 'paragraph' AND fp IS NOT NULL AND len(vec) = {DIM}
+              AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY fp),
+            n AS (SELECT fp, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v),
+            e AS (SELECT a.fp AS a, b.fp AS b FROM n a JOIN n b ON list_dot_product(a.v, b.v) >= 0.75),
+            g AS (SELECT a, string_agg(b, ',' ORDER BY b) AS members, min(b) AS first_fp, count(*) AS n FROM e GROUP BY a),
+            c AS (SELECT members FROM g GROUP BY members, n HAVING n >= 2 AND count(*) = n)
+            SELECT first_fp, a AS member_fp FROM g WHERE members IN (SELECT members FROM c) AND a <> first_fp""",
     }
