@@ -174,19 +174,25 @@ class History:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = scratch(spark, "history")
         self.blocks = "history_blocks_" + self.path.rsplit("-", 1)[1]
+        self.tables = "history_texts_" + self.path.rsplit("-", 1)[1]
         self.started = False
 
     def prepare(self, rows: DataFrame) -> None:
         """``batch, id, text`` of one or more coming batches: distinct texts and fingerprints, once."""
         rows = rows.where(F.col("text").isNotNull())
-        distinct_texts(rows).write.mode("append").parquet(f"{self.path}/texts")
+        (
+            distinct_texts(rows).repartition(self.buckets, "node").write.mode("append").format("parquet")
+            .option("path", f"{self.path}/texts").partitionBy("batch").bucketBy(self.buckets, "node").saveAsTable(self.tables)
+        )
 
     def texts(self) -> DataFrame:
-        return self.spark.read.schema(FEATURES).parquet(f"{self.path}/texts")
+        """All prepared texts, bucketed by ``node``: looking some up moves only their ids."""
+        return self.spark.table(self.tables)
 
     def close(self) -> None:
         """Forgets the table; its files stay in the shared folder with the results that use them."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.blocks}")
+        for name in (self.blocks, self.tables):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def _append(self, nodes: DataFrame) -> None:
         (
@@ -195,9 +201,10 @@ class History:
         )
         self.started = True
 
-    def accept_all(self, batch: int) -> None:
-        """A prepared batch into the index without any check."""
+    def accept_all(self, batch: int) -> DataFrame:
+        """``node`` of the texts of a prepared batch, which join the index without any check."""
         self._append(self.texts().where(F.col("batch") == batch))
+        return cut(self.texts().where(F.col("batch") == batch).select("node"))
 
     def _known(self, new: DataFrame) -> DataFrame:
         """``node`` of ``new`` that are alike to an accepted one.
