@@ -26,9 +26,9 @@ from . import partition
 
 SUBSPACES, CODEWORDS = 32, 256
 #: Rows of a shard at most, and queries that meet them in one task at most.
-SHARD, QUERIES = 16_384, 32_768
+SHARD, QUERIES = 32_768, 32_768
 #: Candidates kept by asymmetric distance for each query and shard.
-CANDIDATES = 96
+CANDIDATES = 256
 
 
 def codebooks(residuals: np.ndarray, rounds: int = 6, seed: int = 7) -> np.ndarray:

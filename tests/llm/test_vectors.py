@@ -91,7 +91,7 @@ def test_bisect_splits_what_is_not_compact():
     assert partition.bisect(x[:0], 5) == ([], [])
 
 
-@pytest.mark.parametrize("shard", [150, 16_384])
+@pytest.mark.parametrize("shard", [150, 32_768])
 def test_neighbours_recall(spark, monkeypatch, shard):
     monkeypatch.setattr(neighbours, "SHARD", shard)
     monkeypatch.setattr(neighbours, "QUERIES", 300)
