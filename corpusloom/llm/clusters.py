@@ -10,7 +10,11 @@ vectors are one. ``confirm`` checks at the end that any two members are within t
 A cell too large for one task is cut into slices, and every slice also holds the same
 few leaders of the cell: members of a dominant cluster meet through them. Whatever
 no leader settles is partitioned again, at last with every slice held against every
-other, so that a crowded cell loses nothing.
+other.
+
+Cells and slices miss pairs that share none. ``_across`` closes what is left, exactly:
+groups found so far are balls, all other rows points, and every two of them are held
+against each other. Balls are few, so this costs the square of the rows in no group.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ CELL, LEADERS, CELLS = 4096, 64, 2048
 AIM = 250
 #: Cells of the nearest centres that a vector goes to.
 REACH = 4
+#: Balls and points in a block of the closing comparison.
+UNITS = 32_768
 
 
 def leaves_of(x: np.ndarray, limit: float) -> np.ndarray:
@@ -240,6 +246,122 @@ def _merge(links: DataFrame) -> DataFrame:
     return state.groupBy("key").agg(F.min("low").alias("label"))
 
 
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins ``a[i]`` and ``b[i]`` in ``root``, in place: each points to the smallest it is joined with."""
+    while True:
+        p, q = root[a], root[b]
+        apart = p != q
+        if not apart.any():
+            return
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _across(merged: DataFrame, rows: DataFrame, limit: float) -> DataFrame | None:
+    """``key, label``: links of labels (a row in no group is its own) between which any pair is within ``limit``. Exact.
+
+    The rows of a group well inside the limit around its centre are a ball with the
+    radius of the farthest; any other row is a point. A pair within the limit needs two
+    points within it, or centres no further apart than the limit's angle and both radii;
+    for such balls, which are few, the rows themselves are compared. No task holds more
+    than two blocks. None if there is no link.
+    """
+    kind = dict(rows.dtypes)["key"]
+    one = rows.select("vec").head(1)
+    if not one:
+        return None
+    angle = math.acos(limit)
+    labelled = rows.join(_small(merged), "key", "left")
+    centre = stored(_centres(labelled.where("label is not null").withColumnRenamed("label", "cluster"), len(one[0]["vec"])), "centres")
+    centre = centre.select(F.col("cluster").alias("label"), "centroid")
+    cos = V.dot(F.col("vec"), F.col("centroid"))
+    near = labelled.join(_small(centre, 10_000), "label", "left").select("key", F.coalesce("label", "key").alias("label"), cos.alias("cos"))
+    ball = F.coalesce(F.col("cos") >= math.cos(angle * 0.7), F.lit(False))
+    placed = stored(near.withColumn("ball", ball).withColumn("unit", F.when(F.col("ball"), F.col("label")).otherwise(F.col("key"))), "placed")
+    balls = placed.where("ball").groupBy("label").agg(F.acos(F.least(F.min("cos"), F.lit(1.0))).alias("r"), F.count(F.lit(1)).alias("n")).join(centre, "label")
+    points = rows.join(_small(placed.where("not ball").select("key", "label")), "key")
+    all_ = points.select(F.col("key").alias("unit"), "label", F.lit(-1.0).alias("r"), F.lit(1).cast("bigint").alias("n"), "vec").unionByName(
+        balls.select(F.col("label").alias("unit"), "label", "r", "n", F.transform("centroid", lambda x: x.cast("float")).alias("vec"))
+    )
+    count = placed.select(F.count_distinct("unit", "ball")).first()[0]
+    nb = max(math.ceil(count / UNITS), min(3, math.ceil(count / CELL)))
+    mine = F.pmod(F.xxhash64("unit", "r"), F.lit(nb)).cast("int")
+    other = F.transform(F.sequence(F.lit(0), F.lit(nb - 1)), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
+    spread = all_.withColumn("mine", mine).withColumn("t", F.explode(other)).select("unit", "label", "r", "n", "vec", "mine", "t.i", "t.j")
+
+    def meet(t: pa.Table) -> pa.Table:
+        x, r, n, mine = V.matrix(t.column("vec")), t.column("r").to_numpy(), t.column("n").to_numpy(), t.column("mine").to_numpy()
+        names, label = np.unique(np.array(t.column("label").to_pylist()), return_inverse=True)
+        root, host, guest = np.arange(len(names)), [], []
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        for left_ball in (False, True):
+            left = np.nonzero((mine == i) & ((r >= 0) == left_ball))[0]
+            for right_ball in (False, True):
+                right = np.nonzero((mine == j) & ((r >= 0) == right_ball))[0]
+                if not len(right) or i == j and left_ball > right_ball:
+                    continue
+                y = x[right]
+                for at in range(0, len(left), 512):
+                    rows_ = left[at : at + 512]
+                    s = x[rows_] @ y.T
+                    if left_ball or right_ball:
+                        wide = np.maximum(r[rows_], 0)[:, None] + np.maximum(r[right], 0)[None] + angle + 1e-3
+                        p, q = np.nonzero(s >= np.cos(np.minimum(wide, math.pi)) - 1e-6)
+                    else:
+                        p, q = np.nonzero(s >= limit)
+                    p, q = rows_[p], right[q]
+                    if not (left_ball or right_ball):
+                        _join(root, label[p], label[q])
+                        continue
+                    apart = label[p] != label[q]
+                    p, q = p[apart], q[apart]
+                    # The host is a ball, of two the larger.
+                    swap = (r[q] >= 0) & ((r[p] < 0) | (n[q] > n[p]) | ((n[q] == n[p]) & (q > p)))
+                    host.append(np.where(swap, q, p))
+                    guest.append(np.where(swap, p, q))
+        moved = np.nonzero(root != np.arange(len(root)))[0]
+        pairs = np.unique(np.stack([np.concatenate(host), np.concatenate(guest)]), axis=1) if host else np.zeros((2, 0), int)
+        unit, at = t.column("unit"), t.column("label").type
+        a = pa.concat_arrays([pa.array(names[root[moved]].tolist(), at), unit.take(pa.array(pairs[0])).combine_chunks()])
+        b = pa.concat_arrays([pa.array(names[moved].tolist(), at), unit.take(pa.array(pairs[1])).combine_chunks()])
+        link = pa.array([True] * len(moved) + [False] * pairs.shape[1], pa.bool_())
+        return pa.table({"link": link, "a": a, "b": b, "ball": pa.array([False] * len(moved) + (r[pairs[1]] >= 0).tolist(), pa.bool_())})
+
+    met = stored(spread.groupBy("i", "j").applyInArrow(meet, f"link boolean, a {kind}, b {kind}, ball boolean"), "met")
+    links = met.where("link").select("a", "b")
+    doubt = met.where("not link").select(F.col("a").alias("host"), F.col("b").alias("unit"), "ball").distinct()
+    if doubt.head(1):
+        guests = placed.join(doubt, ["unit", "ball"]).select("host", "key", "label", F.lit(False).alias("home"))
+        homes = placed.where("ball").join(doubt.select(F.col("host").alias("label")).distinct(), "label").select(F.col("label").alias("host"), "key", "label", F.lit(True).alias("home"))
+        held = stored(homes.unionByName(guests), "held")
+        blocks = lambda home: F.ceil(F.sum((F.col("home") == home).cast("int")) / CELL).cast("int")
+        nb_ = held.groupBy("host").agg(blocks(True).alias("ni"), blocks(False).alias("nj"))
+        cut_ = rows.join(_small(held), "key").join(nb_, "host")
+        own = F.pmod(F.xxhash64("key"), F.when(F.col("home"), F.col("ni")).otherwise(F.col("nj"))).cast("int")
+        against = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("nj")).otherwise(F.col("ni")) - 1))
+        cut_ = cut_.withColumn("own", own).withColumn("against", against)
+        i, j = (F.when(F.col("home") == h, F.col("own")).otherwise(F.col("against")) for h in (True, False))
+
+        def compare(t: pa.Table) -> pa.Table:
+            x, home = V.matrix(t.column("vec")), np.array(t.column("home").to_pylist(), bool)
+            y, hit = x[home], np.zeros(len(x), bool)
+            g = np.nonzero(~home)[0]
+            for at in range(0, len(g) if len(y) else 0, 1024):
+                hit[g[at : at + 1024]] = (x[g[at : at + 1024]] @ y.T >= limit).any(1)
+            b = t.column("label").filter(pa.array(hit)).unique()
+            return pa.table({"a": pa.array([t.column("host")[0].as_py()] * len(b), t.column("host").type), "b": b})
+
+        tasks = cut_.select("host", "label", "home", "vec", i.alias("i"), j.alias("j"))
+        links = links.unionByName(tasks.groupBy("host", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}"))
+    links = stored(links.distinct(), "across")
+    if not links.head(1):
+        return None
+    low = links.select(F.least("a", "b").alias("label"), F.greatest("a", "b").alias("key"))
+    return low.select("key", "label").unionByName(low.select(F.col("label").alias("key"), "label").distinct())
+
+
 def units(items: DataFrame, key: str = "key") -> DataFrame:
     """``key, vec`` with unit vectors, stored."""
     kind = dict(items.dtypes)[key]
@@ -259,7 +381,7 @@ def assign(rows: DataFrame, limit: float = 0.75) -> DataFrame:
     within the limit; where it equals the cluster's size the cluster is confirmed already.
 
     ``rows`` are ``units``: unique keys, vectors of unit length. Rows without any other
-    within the limit are in no cluster. No row and no link is dropped for reasons of size.
+    within the limit are in no cluster. No row is dropped for reasons of size, and no link between clusters: see ``_across``.
     """
     kind = dict(rows.dtypes)["key"]
     links, seen, rest, depth = [], [], rows, 0
@@ -269,9 +391,15 @@ def assign(rows: DataFrame, limit: float = 0.75) -> DataFrame:
         links.append(pairs.unionByName(pairs.select(F.col("label").alias("key"), "label").distinct()))
         seen.append(found.select("key", "seen"))
         rest, depth = stored(left, "crowded") if left is not None else None, depth + 1
-    merged = _merge(reduce(DataFrame.unionByName, links))
+    merged = cut(_merge(reduce(DataFrame.unionByName, links)))
+    across = _across(merged, rows, limit)
+    if across is not None:
+        wider = cut(_merge(across))
+        lone = wider.join(merged.select("key"), "key", "left_anti")
+        moved = merged.join(wider.select(F.col("key").alias("label"), F.col("label").alias("to")), "label", "left")
+        merged = moved.select("key", F.coalesce("to", "label").alias("label")).unionByName(lone)
     best = reduce(DataFrame.unionByName, seen).groupBy("key").agg(F.max("seen").alias("seen"))
-    return merged.join(best, "key").select("key", F.col("label").alias("cluster"), "seen")
+    return merged.join(best, "key", "left").select("key", F.col("label").alias("cluster"), F.coalesce("seen", F.lit(0)).alias("seen"))
 
 
 def confirm(assigned: DataFrame, rows: DataFrame, limit: float = 0.75) -> DataFrame:

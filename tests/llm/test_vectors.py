@@ -123,3 +123,59 @@ def test_codes_come_close():
     books = neighbours.codebooks(x)
     back = neighbours.decode(neighbours.encode(x, books), books)
     assert ((x - back) ** 2).sum() / (x**2).sum() < 0.2
+
+
+def exact(x, limit=0.75):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups = {}
+    for i, c in components(x, limit).items():
+        groups.setdefault(c, []).append(i)
+    return {f"k{i:05d}": f"k{min(g):05d}" for g in groups.values() if len(g) > 1 and (u[g] @ u[g].T).min() >= limit for i in g}
+
+
+def beside(rng, v, cos):
+    """A vector at the cosine ``cos`` to the unit vector ``v``."""
+    w = rng.normal(size=len(v))
+    w -= (w @ v) * v
+    return cos * v + np.sqrt(1 - cos * cos) * w / np.linalg.norm(w)
+
+
+def outsider(rng, x, r, low=0.77, high=0.8):
+    """A vector within the limit of row ``r`` of the unit vectors ``x`` and of no other."""
+    for _ in range(10_000):
+        q = beside(rng, x[r], rng.uniform(low, high))
+        if (x @ q >= 0.74).sum() == 1:
+            return q
+    raise AssertionError
+
+
+@pytest.fixture
+def small_sample(monkeypatch):
+    real = partition.sample
+    monkeypatch.setattr(partition, "sample", lambda items, key: real(items, key, 200))
+
+
+def test_an_outsider_of_one_member_in_another_slice(spark, small_cells, small_sample):
+    rng = np.random.default_rng(11)
+    parts = []
+    for _ in range(6):
+        # Each family is three slices, and has one outsider near one member only.
+        c = rng.normal(size=64)
+        x = np.stack([beside(rng, c / np.linalg.norm(c), 0.94) for _ in range(300)])
+        parts += [x, outsider(rng, x, 7)[None]]
+    x = np.vstack(parts).astype(np.float32)
+    assert {r["key"]: r["cluster"] for r in found(spark, x)[0].collect()} == exact(x) == {}
+
+
+def test_groups_with_one_near_pair_across(spark):
+    """Rows of two found groups that only a comparison of their rows can join, in blocks."""
+    rng = np.random.default_rng(13)
+    a = np.stack([beside(rng, np.eye(64)[0], 0.94) for _ in range(50)])
+    q = outsider(rng, a, 7, 0.76, 0.77)
+    far = rng.normal(size=64)
+    x = np.vstack([a, q[None], [beside(rng, q, 0.995) for _ in range(3)], [beside(rng, far / np.linalg.norm(far), 0.95) for _ in range(5)]]).astype(np.float32)
+    rows = clusters.units(frame(spark, x))
+    parts = {f"k{i:05d}": "k00000" if i < 50 else "k00050" if i < 54 else "k00054" for i in range(len(x))}
+    merged = spark.createDataFrame(list(parts.items()), "key string, label string")
+    got = {(r["key"], r["label"]) for r in clusters._across(merged, rows, 0.75).collect()}
+    assert got == {("k00050", "k00000"), ("k00000", "k00000")}
