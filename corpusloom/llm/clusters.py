@@ -286,7 +286,7 @@ def _across(merged: DataFrame, rows: DataFrame, limit: float) -> DataFrame | Non
         balls.select(F.col("label").alias("unit"), "label", "r", "n", F.transform("centroid", lambda x: x.cast("float")).alias("vec"))
     )
     count = placed.select(F.count_distinct("unit", "ball")).first()[0]
-    nb = max(math.ceil(count / UNITS), min(3, math.ceil(count / CELL)))
+    nb = max(1, math.ceil(count / UNITS))
     mine = F.pmod(F.xxhash64("unit", "r"), F.lit(nb)).cast("int")
     other = F.transform(F.sequence(F.lit(0), F.lit(nb - 1)), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
     spread = all_.withColumn("mine", mine).withColumn("t", F.explode(other)).select("unit", "label", "r", "n", "vec", "mine", "t.i", "t.j")
@@ -335,6 +335,12 @@ def _across(merged: DataFrame, rows: DataFrame, limit: float) -> DataFrame | Non
     if doubt.head(1):
         guests = placed.join(doubt, ["unit", "ball"]).select("host", "key", "label", F.lit(False).alias("home"))
         homes = placed.where("ball").join(doubt.select(F.col("host").alias("label")).distinct(), "label").select(F.col("label").alias("host"), "key", "label", F.lit(True).alias("home"))
+        # Of the guests, those that the host's radius leaves within reach.
+        reach = balls.select(F.col("label").alias("host"), F.cos(F.least(F.col("r") + angle + 1e-3, F.lit(math.pi))).alias("least"), "centroid")
+        reach = _small(stored(reach.join(doubt.select("host").distinct(), "host"), "reach"), 10_000)
+        guests = rows.join(_small(stored(guests, "guests")), "key").join(reach, "host").where(cos >= F.col("least") - 1e-6).select("host", "key", "label", "home")
+        guests = stored(guests, "near-guests")
+        homes = homes.join(guests.select("host").distinct(), "host", "left_semi")
         held = stored(homes.unionByName(guests), "held")
         blocks = lambda home: F.ceil(F.sum((F.col("home") == home).cast("int")) / CELL).cast("int")
         nb_ = held.groupBy("host").agg(blocks(True).alias("ni"), blocks(False).alias("nj"))

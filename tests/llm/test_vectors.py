@@ -167,8 +167,20 @@ def test_an_outsider_of_one_member_in_another_slice(spark, small_cells, small_sa
     assert {r["key"]: r["cluster"] for r in found(spark, x)[0].collect()} == exact(x) == {}
 
 
-def test_groups_with_one_near_pair_across(spark):
+def test_links_between_rows_that_share_no_cell(spark, small_cells, small_sample, monkeypatch):
+    monkeypatch.setattr(clusters, "AIM", 10)
+    rng = np.random.default_rng(12)
+    lone = rng.normal(size=(1500, 64))
+    lone /= np.linalg.norm(lone, axis=1, keepdims=True)
+    x = np.vstack([lone, [beside(rng, v, 0.77) for v in lone[:400]]]).astype(np.float32)
+    got, want = {r["key"]: r["cluster"] for r in found(spark, x)[0].collect()}, exact(x)
+    assert len(want) == 800 and got == want
+
+
+def test_groups_with_one_near_pair_across(spark, monkeypatch):
     """Rows of two found groups that only a comparison of their rows can join, in blocks."""
+    monkeypatch.setattr(clusters, "CELL", 16)
+    monkeypatch.setattr(clusters, "UNITS", 2)
     rng = np.random.default_rng(13)
     a = np.stack([beside(rng, np.eye(64)[0], 0.94) for _ in range(50)])
     q = outsider(rng, a, 7, 0.76, 0.77)
