@@ -5,14 +5,14 @@ each distinct accepted text: its structural root, a fingerprint and its hashed w
 runs. ``blocks`` has the block keys of each node, bucketed by key, so that a lookup
 reads it where it lies and shuffles only the batch.
 
-The fingerprint is b-bit minwise: 128 lanes of 16 bits, in which two texts differ by
+The fingerprint is b-bit minwise: 240 lanes of 16 bits, in which two texts differ by
 about eight bits for each lane whose minimum differs. For table ``j`` the lanes are
-rotated by ``2j`` and four of them, 64 bits, are the block. A sign fingerprint of
-the usual 64 bits would leave texts with half their runs in common some 17 bits apart,
-beyond what any block table can serve; lanes keep the same tables and the same
-Hamming check but collide in a block with the fourth power of the overlap. With 64
-tables a pair at exactly one half is missed in under two per cent of cases, at 0.6 in
-fewer than one of ten thousand.
+rotated by ``j`` and three of them, 48 bits, are the block; no lane is in two tables. A
+sign fingerprint of the usual 64 bits would leave texts with half their runs in common
+some 17 bits apart, beyond what any block table can serve; lanes keep the same tables
+and the same Hamming check but collide in a block with the third power of the overlap.
+With 80 tables a pair at exactly one half is missed in (7/8)^80, one of some 40,000
+cases, at 0.6 in fewer than one of a hundred million; the Hamming bound adds less.
 
 Candidates from equal blocks pass a Hamming bound, then the word runs are compared in
 full. Accepting is sequential by definition (a text is only held against accepted
@@ -33,16 +33,16 @@ from pyspark.sql import functions as F
 from ..session import cut, scratch
 from .records import with_roots
 
-LANES, TABLES, PER_BLOCK = 128, 64, 4
+LANES, TABLES, PER_BLOCK = 240, 80, 3
 #: Words a text must have, and the run length, for nearness; the share of runs in common.
 LEAST_WORDS, RUN, SHARE = 20, 3, 0.5
-#: Bits that may differ: 512 are expected at one half in common, the spread is 45.
-MOST_BITS = 740
+#: Bits that may differ: 960 are expected at one half in common, the spread is 66.
+MOST_BITS = 1300
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(1, 1 << 63, LANES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, LANES, dtype=np.uint64)
-_AT = np.array([[(2 * j + o) % LANES for o in (0, 1, 43, 86)] for j in range(TABLES)])
+_AT = np.array([[j + o * TABLES for o in range(PER_BLOCK)] for j in range(TABLES)])
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -70,7 +70,7 @@ def runs(text: str, cache: dict[str, int] | None = None) -> tuple[int, np.ndarra
 
 
 def lanes(shingles: np.ndarray) -> np.ndarray:
-    """The fingerprint: 128 lanes of 16 bits."""
+    """The fingerprint: 240 lanes of 16 bits."""
     low = np.full(LANES, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(shingles), 4096):
@@ -83,7 +83,7 @@ def block_keys(fingerprint: np.ndarray) -> np.ndarray:
     """One key of 64 bits for each rotated table."""
     f = fingerprint[_AT].astype(np.uint64)
     with np.errstate(over="ignore"):
-        packed = (f[:, 0] << np.uint64(48)) | (f[:, 1] << np.uint64(32)) | (f[:, 2] << np.uint64(16)) | f[:, 3]
+        packed = (f[:, 0] << np.uint64(32)) | (f[:, 1] << np.uint64(16)) | f[:, 2]
         return _mix(packed + np.arange(TABLES, dtype=np.uint64) * _M1)
 
 

@@ -95,6 +95,17 @@ def test_fingerprints_estimate_overlap():
     assert len(set(map(tuple, history._AT))) == history.TABLES
 
 
+def test_pairs_at_one_half_share_a_block():
+    rng = np.random.default_rng(3)
+    missed = 0
+    for _ in range(5000):
+        x = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+        a, b = history.lanes(x[:60]), history.lanes(x[20:])
+        far = np.bitwise_count(a ^ b).sum() > history.MOST_BITS
+        missed += far or not (history.block_keys(a) == history.block_keys(b)).any()
+    assert missed <= 3  # expected 0.1
+
+
 NOTATIONS = [
     lambda p: "\n".join(f"{k}: {v}" for k, v in p),
     lambda p: "\n".join(f"- {k.upper()} : {v}" for k, v in p),
