@@ -181,3 +181,11 @@ def test_sampling_is_not_biased_by_size(spark):
     rows = mixing.draw(df, t, total_tokens=n * 0.3).collect()
     short = sum(r["tokens"] == 10 for r in rows)
     assert abs(sum(r["tokens"] for r in rows) - 0.3 * n) <= 200 and abs(short / len(rows) - 0.5) < 0.06
+
+
+def test_weights_raise_the_odds_of_inclusion(spark):
+    sizes = spark.createDataFrame([(i, "a", 10, 3.0 if i % 2 else 1.0) for i in range(2000)], "doc_id long, source string, tokens int, size double")
+    targets = spark.createDataFrame([("m", "a", 1.0, 1)], "mix string, source string, target_share double, max_repeats int")
+    got = [r["doc_id"] for r in mixing.draw(sizes, targets, total_tokens=4000.0, weight="size").collect()]
+    heavy = sum(i % 2 for i in got)
+    assert len(got) == 400 and 270 <= heavy <= 330  # three quarters expected
