@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -51,9 +52,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a written table."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path below the shared folder for a written table; ``sweep`` removes it, at the latest when the program ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    if not _SCRATCH:
+        atexit.register(_sweep_at_exit)
+    _SCRATCH.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes ``path`` and what lies below it, in whatever file system it is; nothing happens if it is gone."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the intermediate tables written so far, once the caller is done with the results that read them."""
+    for path in [p for p in _SCRATCH if p not in keep]:
+        remove(spark, path)
+        _SCRATCH.remove(path)
+
+
+def _sweep_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext._jsc is not None:
+            sweep(spark)
+    except Exception:  # the session has ended before; nothing can be reached through it
+        pass
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
