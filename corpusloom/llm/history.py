@@ -1,48 +1,68 @@
 """New batches held against everything accepted before.
 
-The index of a history is two tables in the shared folder. ``nodes`` has one row for
-each distinct accepted text: its structural root, a fingerprint and its hashed word
-runs. ``blocks`` has the block keys of each node, bucketed by key, so that a lookup
-reads it where it lies and shuffles only the batch.
-
-The fingerprint is b-bit minwise: 240 lanes of 16 bits, in which two texts differ by
-about eight bits for each lane whose minimum differs. For table ``j`` the lanes are
-rotated by ``j`` and three of them, 48 bits, are the block; no lane is in two tables. A
-sign fingerprint of the usual 64 bits would leave texts with half their runs in common
-some 17 bits apart, beyond what any block table can serve; lanes keep the same tables
-and the same Hamming check but collide in a block with the third power of the overlap.
-With 80 tables a pair at exactly one half is missed in (7/8)^80, one of some 40,000
-cases, at 0.6 in fewer than one of a hundred million; the Hamming bound adds less.
-
-Candidates from equal blocks pass a Hamming bound, then the word runs are compared in
-full. Accepting is sequential by definition (a text is only held against accepted
-ones), which rounds over the few verified links resolve.
+A history is a folder that outlives the session: ``History.create`` makes it,
+``History.open`` takes it up again, ``ingest`` adds one batch. It holds
+
+* ``texts``: one row for each accepted text, with root, fingerprint and text, bucketed by node;
+* ``blocks``: its block keys, bucketed by key. ``lead`` marks the earliest node of a key, so the
+  lead rows are one a key however large a family is; later nodes of a key lie apart;
+* ``runs``: the runs that are complete. A run that broke off is not read, and is written anew.
+
+The fingerprint is b-bit minwise. Of 240 lanes one bit each makes the signature for the
+Hamming check, and 13 bits each the blocks: for table ``j`` the lanes are rotated by ``j``
+and three of them, 39 bits, are the block; no lane is in two tables. A sign fingerprint
+of the usual 64 bits would leave texts with half their runs in common some 17 bits
+apart, beyond what any block table can serve; lanes keep the same tables and the same
+Hamming check but collide in a block with the third power of the overlap. With 80
+tables a pair at exactly one half is missed in (7/8)^80, one of some 40,000 cases, at
+0.6 in fewer than one of a hundred million; the Hamming bound adds less.
+
+A batch is read once and moves by itself. Its distinct keys go to the buckets of
+``blocks``, where each finds at most one lead node; nothing of the index is shuffled or
+sorted. Pairs pass the signatures first, and only texts of pairs that do are fetched and
+compared in full. What the lead nodes do not settle is held against the later nodes of
+its keys. A batch so small that its keys can be written into the query reads only the
+buckets they lie in; a larger one reads the key and node columns of the index once.
+
+Accepting is sequential by definition (a text is only held against accepted ones):
+rounds of leaders thin out families, then rounds over verified links decide the rest.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, scratch
+from ..session import remove, shared_dir
 from .records import with_roots
 
-LANES, TABLES, PER_BLOCK = 240, 80, 3
+VERSION = 2
+LANES, TABLES, PER_BLOCK, LANE_BITS = 240, 80, 3, 13
+BLOCK_BITS = PER_BLOCK * LANE_BITS
 #: Words a text must have, and the run length, for nearness; the share of runs in common.
 LEAST_WORDS, RUN, SHARE = 20, 3, 0.5
-#: Bits that may differ: 960 are expected at one half in common, the spread is 66.
-MOST_BITS = 1300
+#: Signature bits that may differ: 60 are expected at one half in common, the spread is 6.7.
+MOST_BITS = 100
+#: Nodes of one key that meet as single pairs; beyond it slices of so many meet in a task of their own.
+FEW, SLICE = 64, 1000
+#: Rows from which a key is crowded, so that its rows are not shuffled; keys that are broadcast for it at most.
+HOT, HOT_KEYS = 100_000, 10_000
+#: Values written into a query, so that it reads only their buckets.
+LITERALS = 2000
 
 _RNG = np.random.default_rng(20240229)
-_A = (_RNG.integers(1, 1 << 63, LANES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, LANES, dtype=np.uint64)
+_A = _RNG.integers(0, 1 << 31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, LANES, dtype=np.uint32)
 _AT = np.array([[j + o * TABLES for o in range(PER_BLOCK)] for j in range(TABLES)])
+_TABLE = np.arange(TABLES, dtype=np.uint64) << np.uint64(BLOCK_BITS)
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -54,7 +74,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def runs(text: str, cache: dict[str, int] | None = None) -> tuple[int, np.ndarray]:
-    """Number of words, and the sorted distinct hashes of all runs of three words."""
+    """Number of words, and the hashes of all runs of three words in their order."""
     cache = {} if cache is None else cache
     words = _WORD.findall(text.lower())
     h = np.empty(len(words), np.uint64)
@@ -66,205 +86,403 @@ def runs(text: str, cache: dict[str, int] | None = None) -> tuple[int, np.ndarra
     if len(h) < RUN:
         return len(words), np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        return len(words), np.unique(_mix(h[:-2] * _M1 + h[1:-1] * _M2 + _mix(h[2:])))
+        return len(words), _mix(h[:-2] * _M1 + h[1:-1] * _M2 + _mix(h[2:]))
 
 
 def lanes(shingles: np.ndarray) -> np.ndarray:
-    """The fingerprint: 240 lanes of 16 bits."""
-    low = np.full(LANES, np.iinfo(np.uint64).max, np.uint64)
+    """The smallest hash of each lane, mixed: 240 numbers of 64 bits."""
+    low = np.full(LANES, np.iinfo(np.uint32).max, np.uint32)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for i in range(0, len(shingles), 4096):
-            part = shingles[i : i + 4096, None] * _A + _B
-            np.minimum(low, (part ^ (part >> np.uint64(31))).min(0), out=low)
-        return (_mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
+        for i in range(0, len(x), 4096):
+            part = x[i : i + 4096, None] * _A
+            part += _B
+            part ^= part >> np.uint32(16)
+            np.minimum(low, part.min(0), out=low)
+        return _mix(low.astype(np.uint64) + np.arange(LANES, dtype=np.uint64) * _M1)
 
 
-def block_keys(fingerprint: np.ndarray) -> np.ndarray:
-    """One key of 64 bits for each rotated table."""
-    f = fingerprint[_AT].astype(np.uint64)
-    with np.errstate(over="ignore"):
-        packed = (f[:, 0] << np.uint64(32)) | (f[:, 1] << np.uint64(16)) | f[:, 2]
-        return _mix(packed + np.arange(TABLES, dtype=np.uint64) * _M1)
+def signature(mixed: np.ndarray) -> np.ndarray:
+    """One bit of each lane, in four numbers of 64 bits."""
+    bits = np.zeros(256, np.uint8)
+    bits[:LANES] = (mixed >> np.uint64(40)) & np.uint64(1)
+    return np.packbits(bits).view(np.int64)
+
+
+def block_keys(mixed: np.ndarray) -> np.ndarray:
+    """One key for each rotated table: the table's number, then 39 bits of lanes."""
+    f = (mixed & np.uint64((1 << LANE_BITS) - 1))[_AT]
+    return (_TABLE | (f[:, 0] << np.uint64(2 * LANE_BITS)) | (f[:, 1] << np.uint64(LANE_BITS)) | f[:, 2]).view(np.int64)
+
+
+def root_key(root: str) -> int:
+    """The root as one more block, in a table of its own."""
+    return (TABLES << BLOCK_BITS) | (xxhash.xxh64_intdigest(root) & ((1 << BLOCK_BITS) - 1))
+
+
+def near(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether of two texts' distinct runs at least half are in both."""
+    if not len(p) or not len(q) or len(p) > 2 * len(q) or len(q) > 2 * len(p):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both >= SHARE * (len(p) + len(q) - both)
+
+
+SIGNATURE = ("s0", "s1", "s2", "s3")
+FEATURES = "node bigint, root string, text string, s0 bigint, s1 bigint, s2 bigint, s3 bigint, keys array<bigint>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict[str, int] = {}
     for b in batches:
-        n, fps, shs, keys = [], [], [], []
-        for text in b.column("text").to_pylist():
+        sigs, keys = np.zeros((b.num_rows, 4), np.int64), []
+        fit = np.zeros(b.num_rows, bool)
+        for i, (text, root) in enumerate(zip(b.column("text").to_pylist(), b.column("root").to_pylist())):
             words, sh = runs(text, cache)
+            own = [np.array([root_key(root)], np.int64)]
             if words >= LEAST_WORDS:
-                fp = lanes(sh)
-                fps.append(fp.view(np.int64))
-                keys.append(block_keys(fp).view(np.int64))
-                shs.append(sh.view(np.int64))
-            else:
-                for x in (fps, keys, shs):
-                    x.append(np.empty(0, np.int64))
-            n.append(words)
+                mixed = lanes(sh)
+                sigs[i], fit[i] = signature(mixed), True
+                own.append(block_keys(mixed))
+            keys.append(np.concatenate(own))
         if len(cache) > 500_000:
             cache.clear()
+        offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+        flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+        # Texts too short to be near any other have no signature.
+        cols = [pa.array(np.ascontiguousarray(sigs[:, j]), mask=~fit) for j in range(4)]
         yield pa.RecordBatch.from_arrays(
-            [b.column("batch"), b.column("node"), b.column("root"), _longs(fps), _longs(shs), _longs(keys)],
-            names=["batch", "node", "root", "fp", "shingles", "keys"],
+            [b.column("node"), b.column("root"), b.column("text"), *cols, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+            names=["node", "root", "text", *SIGNATURE, "keys"],
         )
 
 
-def _longs(rows: list[np.ndarray]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-
-FEATURES = "batch int, node bigint, root string, fp array<bigint>, shingles array<bigint>, keys array<bigint>"
-
-
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """``batch, node, root, fp, shingles, keys`` of each batch's distinct texts; ``node`` is the smallest id.
+    """``node, root, text, s0..s3, keys`` of the distinct texts of ``id, text``; ``node`` is the smallest id.
 
     Texts are one if both their words and their root agree, which decides everything
     here. Copies meet before anything costly is computed.
     """
     words = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
-    formed = with_roots(rows.select("batch", "id", "text")).withColumn("_w", F.sha2(words, 256))
-    first = formed.groupBy("batch", "root", "_w").agg(F.min(F.struct("id", "text")).alias("x"))
-    return first.select("batch", F.col("x.id").alias("node"), "root", F.col("x.text").alias("text")).mapInArrow(_features, FEATURES)
-
-
-def _hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def _alike(p: str, q: str) -> Column:
-    """Equal roots, or near: the Hamming bound first, then the runs themselves."""
-    c = lambda x, n: F.col(f"{x}_{n}")
-    both = F.size(F.array_intersect(c(p, "shingles"), c(q, "shingles")))
-    either = F.size(c(p, "shingles")) + F.size(c(q, "shingles")) - both
-    near = (
-        (F.size(c(p, "fp")) > 0) & (F.size(c(q, "fp")) > 0)
-        & (F.size(c(p, "shingles")) <= 2 * F.size(c(q, "shingles"))) & (F.size(c(q, "shingles")) <= 2 * F.size(c(p, "shingles")))
-    )
-    return (c(p, "root") == c(q, "root")) | (near & (_hamming(c(p, "fp"), c(q, "fp")) <= MOST_BITS) & (both >= SHARE * either))
-
+    formed = with_roots(rows.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text")).withColumn("_w", F.sha2(words, 256))
+    first = formed.groupBy("root", "_w").agg(F.min(F.struct("id", "text")).alias("x"))
+    return first.select(F.col("x.id").alias("node"), "root", F.col("x.text").alias("text")).mapInArrow(_features, FEATURES)
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """``key, node``: the blocks, and the root as one more block."""
-    return nodes.select(F.explode(F.array_append("keys", F.xxhash64("root"))).alias("key"), "node")
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``a, b, a_text, b_text`` the pairs that are near by their texts."""
+    cache: dict[str, int] = {}
+    held: dict[int, np.ndarray] = {}
 
-def _as(nodes: DataFrame, name: str) -> DataFrame:
-    return nodes.select(*[F.col(c).alias(f"{name}_{c}") for c in ("node", "root", "fp", "shingles")])
-
+    def of(node, text):
+        if node not in held:
+            if len(held) > 4096:
+                held.clear()
+            held[node] = np.unique(runs(text, cache)[1])
+        return held[node]
 
-def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Of ``a, b`` the pairs whose texts are alike."""
-    full = pairs.join(_as(left, "a"), F.col("a") == F.col("a_node")).join(_as(right, "b"), F.col("b") == F.col("b_node"))
-    return full.where(_alike("a", "b")).select("a", "b")
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text")]
+        keep = [near(of(p, s), of(q, t)) for p, q, s, t in zip(*cols)]
+        if len(cache) > 500_000:
+            cache.clear()
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _meet(t: pa.Table, only_old: bool) -> pa.Table:
+    """Two slices of one crowded key: all links ``a, b, old`` of an earlier node, of the index or (if not ``only_old``) the batch, and one of the batch."""
+    node, old = t.column("node").to_numpy(), np.array(t.column("old").to_pylist(), bool)
+    mine, i, j = t.column("mine").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    bits = np.unpackbits(np.stack([t.column(s).to_numpy() for s in SIGNATURE], 1).astype(np.int64).view(np.uint8), axis=1).astype(np.float32)
+    texts, ones, held = t.column("text"), bits.sum(1), {}
+
+    def of(k):
+        if k not in held:
+            held[k] = np.unique(runs(texts[k].as_py())[1])
+        return held[k]
+
+    out: list[tuple[int, int, bool]] = []
+    left, right = np.nonzero(mine == i)[0], np.nonzero(mine == j)[0]
+    for at in range(0, len(left), 512):
+        l = left[at : at + 512]
+        apart = ones[l][:, None] + ones[right][None] - 2 * (bits[l] @ bits[right].T)
+        for p, q in zip(*np.nonzero(apart <= MOST_BITS)):
+            a, b = l[p], right[q]
+            if (i == j and a >= b) or (old[a] and old[b]) or (only_old and not (old[a] or old[b])):
+                continue
+            if old[b] or (not old[a] and node[b] < node[a]):
+                a, b = b, a
+            if near(of(a), of(b)):
+                out.append((int(node[a]), int(node[b]), bool(old[a])))
+    return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "old": pa.array([o[2] for o in out], pa.bool_())})
+
+
+class _Work:
+    """Tables of one ingest, deleted with it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.n = spark, path, 0
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 class History:
-    """The index of all accepted texts. ``ingest`` takes one batch after another.
+    """The index of all accepted texts, in a folder of its own.
 
-    ``texts`` holds each batch's distinct texts with their fingerprints, written once
-    when the batch is prepared; ``blocks`` the block keys of accepted ones.
+    ``ingest`` takes the rows ``id, text`` of one batch, which may be empty, and gives the
+    ``node`` of those that are new: the smallest id of each accepted text. Ids of later
+    batches are not among those of earlier ones, unless the text is the same too. Null ids
+    and null texts count as no row; other columns are not read.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.path = scratch(spark, "history")
-        self.blocks = "history_blocks_" + self.path.rsplit("-", 1)[1]
-        self.tables = "history_texts_" + self.path.rsplit("-", 1)[1]
-        self.started = False
-
-    def prepare(self, rows: DataFrame) -> None:
-        """``batch, id, text`` of one or more coming batches: distinct texts and fingerprints, once."""
-        rows = rows.where(F.col("text").isNotNull())
-        (
-            distinct_texts(rows).repartition(self.buckets, "node").write.mode("append").format("parquet")
-            .option("path", f"{self.path}/texts").partitionBy("batch").bucketBy(self.buckets, "node").saveAsTable(self.tables)
-        )
-
-    def texts(self) -> DataFrame:
-        """All prepared texts, bucketed by ``node``: looking some up moves only their ids."""
-        return self.spark.table(self.tables)
+    def __init__(self, spark: SparkSession, path: str, buckets: int, done: list[int]):
+        self.spark, self.path, self.buckets, self.done = spark, path, buckets, done
+        name = uuid.uuid4().hex[:12]
+        self._texts, self._blocks = f"history_texts_{name}", f"history_blocks_{name}"
+        made = [
+            (self._texts, "node BIGINT, root STRING, text STRING, s0 BIGINT, s1 BIGINT, s2 BIGINT, s3 BIGINT, run INT", "run", "node"),
+            (self._blocks, "key BIGINT, node BIGINT, run INT, lead BOOLEAN", "run, lead", "key"),
+        ]
+        for table, columns, parts, by in made:
+            where = f"{path}/{'texts' if table == self._texts else 'blocks'}"
+            spark.sql(
+                f"CREATE TABLE {table} ({columns}) USING PARQUET PARTITIONED BY ({parts}) CLUSTERED BY ({by}) SORTED BY ({by}) "
+                f"INTO {buckets} BUCKETS LOCATION '{where}'"
+            )
+            if done:
+                spark.sql(f"MSCK REPAIR TABLE {table}")
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, buckets: int | None = None) -> History:
+        """A new, empty index at ``path``. ``buckets`` is for good: as many as partitions suit the index when it is large."""
+        shared_dir(spark)
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/made")
+        return cls(spark, path, buckets, [])
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> History:
+        """The index at ``path``, of this session or any before."""
+        made = spark.read.parquet(f"{path}/made").first()
+        if made["version"] != VERSION:
+            raise ValueError(f"{path} is an index of version {made['version']}, not {VERSION}")
+        try:
+            done = sorted(r[0] for r in spark.read.schema("run int").parquet(f"{path}/runs").collect())  # one row a run
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            done = []
+        return cls(spark, path, made["buckets"], done)
 
     def close(self) -> None:
-        """Forgets the table; its files stay in the shared folder with the results that use them."""
-        for name in (self.blocks, self.tables):
+        """Forgets the session's tables; the index stays."""
+        for name in (self._blocks, self._texts):
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    def _append(self, nodes: DataFrame) -> None:
-        (
-            _keys(nodes).repartition(self.buckets, "key").write.mode("append").format("parquet")
-            .option("path", f"{self.path}/blocks").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(self.blocks)
-        )
-        self.started = True
+    def delete(self) -> None:
+        """Closes the index and deletes its files."""
+        self.close()
+        remove(self.spark, self.path)
 
-    def accept_all(self, batch: int) -> DataFrame:
-        """``node`` of the texts of a prepared batch, which join the index without any check."""
-        self._append(self.texts().where(F.col("batch") == batch))
-        return cut(self.texts().where(F.col("batch") == batch).select("node"))
+    def _read(self, table: str) -> DataFrame:
+        return self.spark.table(table).where(F.col("run").isin(self.done) if self.done else F.lit(False))
 
-    def _known(self, new: DataFrame) -> DataFrame:
-        """``node`` of ``new`` that are alike to an accepted one.
-
-        First each block's earliest accepted node is tried, which settles the members
-        of a family however large; only the rest is held against whole blocks.
-        """
-        index = self.spark.table(self.blocks)
-        mine = _keys(new).withColumnRenamed("node", "b")
-        first = mine.join(index, "key").groupBy("key", "b").agg(F.min("node").alias("a")).select("a", "b").distinct()
-        texts = self.texts()
-        settled = cut(_verified(first, texts, new).select("b").distinct())
-        rest = mine.join(settled, "b", "left_anti").join(index, "key").select(F.col("node").alias("a"), "b").distinct()
-        return settled.unionByName(_verified(rest, texts, new).select("b").distinct()).withColumnRenamed("b", "node")
-
-    def ingest(self, batch: int) -> DataFrame:
-        """``node`` of the texts of a prepared batch that are new, in order of id; they join the index.
-
-        A batch may be empty, and so may the index.
-        """
-        new = self.texts().where(F.col("batch") == batch)
-        left = cut(new.join(self._known(new), "node", "left_anti")) if self.started else new
-        taken = self._resolve(left)
-        self._append(left.join(taken, "node", "left_semi"))
-        return taken
-
-    def _resolve(self, left: DataFrame, rounds: int = 3) -> DataFrame:
-        """``node`` accepted among themselves in order of arrival.
-
-        Leading rounds thin out large families: a node that is first in all of its
-        blocks is accepted for certain, and what is alike to it is settled against it
-        alone. What then remains is compared within blocks and resolved along the
-        verified links, earliest first.
+    def texts(self) -> DataFrame:
+        """``node, root, text, s0..s3, run`` of everything accepted."""
+        return self._read(self._texts)
+
+    def blocks(self, lead: bool) -> DataFrame:
+        return self._read(self._blocks).where(F.col("lead") == lead).select("key", F.col("node").alias("a"))
+
+    def nodes(self, since: int = 0) -> DataFrame:
+        """``node`` of what was accepted from run ``since`` on."""
+        return self.texts().where(F.col("run") >= since).select("node")
+
+    def _near(self, table: DataFrame, column: str, wanted: DataFrame, by: str, n: int) -> DataFrame:
+        """``table`` by itself, or only the buckets of ``wanted`` where these, at most ``n``, are few enough to be named."""
+        if n > LITERALS:
+            return table
+        return table.where(F.col(column).isin([r[0] for r in wanted.select(by).distinct().collect()]))
+
+    def _commit(self, run: int, new: DataFrame, taken: DataFrame, blocks: DataFrame) -> DataFrame:
+        """Writes a run: texts of ``taken`` and ``blocks`` (``key, node, lead``), and only then the run's own row."""
+        view = f"history_run_{uuid.uuid4().hex[:12]}"
+        texts = new.drop("keys").join(taken, "node", "left_semi")
+        for table, df, part, by in ((self._texts, texts, f"run={run}", "node"), (self._blocks, blocks, f"run={run}, lead", "key")):
+            df.repartition(self.buckets, by).createOrReplaceTempView(view)
+            cols = "node, root, text, s0, s1, s2, s3" if table == self._texts else "key, node, lead"
+            self.spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({part}) SELECT {cols} FROM {view}")
+        self.spark.catalog.dropTempView(view)
+        self.spark.range(run, run + 1).select(F.col("id").cast("int").alias("run")).coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
+        self.done = [*self.done, run]
+        return self.texts().where(F.col("run") == run).select("node")
+
+    def _begin(self, rows: DataFrame) -> tuple[int, _Work, DataFrame]:
+        run = max(self.done, default=-1) + 1
+        work = _Work(self.spark, f"{self.path}/work-{run}")
+        remove(self.spark, work.path)
+        return run, work, work.store(distinct_texts(rows))
+
+    def accept_all(self, rows: DataFrame) -> DataFrame:
+        """``node`` of the rows' texts, which join the index without any check, as the history's first part does."""
+        if self.done:
+            raise ValueError("only an empty index takes rows without a check")
+        run, work, new = self._begin(rows)
+        mine = new.select(F.explode("keys").alias("key"), "node")
+        # Counted where the rows lie first, so a family is no hot key.
+        keyed = work.store(mine.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
+        later = self._known_of(mine, keyed.where(F.col("n") > 1)).where(F.col("node") != F.col("first")).select("key", "node", F.lit(False).alias("lead"))
+        out = self._commit(run, new, new.select("node"), keyed.select("key", F.col("first").alias("node"), F.lit(True).alias("lead")).unionByName(later))
+        remove(self.spark, work.path)
+        return out
+
+    def _known_of(self, mine: DataFrame, keyed: DataFrame) -> DataFrame:
+        """``mine`` joined with what is known of its keys (``n`` rows each). Rows of very crowded keys stay where they lie."""
+        hot = keyed.where(F.col("n") > HOT)
+        if len(hot.select("key").limit(HOT_KEYS + 1).collect()) not in range(1, HOT_KEYS + 1):
+            return mine.join(keyed, "key")
+        cold = mine.join(F.broadcast(hot.select("key")), "key", "left_anti").join(keyed.where(F.col("n") <= HOT), "key")
+        return cold.unionByName(mine.join(F.broadcast(hot), "key"))
+
+    def ingest(self, rows: DataFrame) -> DataFrame:
+        """``node`` of the batch's texts that are new, which join the index."""
+        run, work, new = self._begin(rows)
+        n = new.count()
+        mine = new.select(F.explode("keys").alias("key"), "node")
+        known = self._near(self.blocks(True), "key", mine, "key", n * (TABLES + 1))
+        own = mine.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
+        # The batch's keys are the built side and move to the buckets; the index streams past them.
+        fits = n * (TABLES + 1) / self.buckets <= 5_000_000
+        keyed = work.store((own.hint("shuffle_hash") if fits and n * (TABLES + 1) > LITERALS else own).join(known, "key", "left"))
+        touched = work.store(self._known_of(mine, keyed.where((F.col("n") > 1) | F.col("a").isNotNull())))
+
+        pairs = touched.select(F.coalesce("a", "first").alias("a"), F.col("node").alias("b"), F.col("a").isNotNull().alias("old")).where("old or a != b").distinct()
+        pairs = work.store(pairs)
+        leaders = new.select("node").join(pairs.select(F.col("b").alias("node")), "node", "left_anti")
+        leaders = work.store(leaders)
+        links = self._verified(work, pairs, new)
+        sure = links.where("old").select(F.col("b").alias("node")).unionByName(links.where("not old").join(leaders.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")))
+        open_ = work.store(new.select("node").join(leaders, "node", "left_anti").join(sure, "node", "left_anti"))
+        taken = leaders
+        if open_.head(1):
+            taken = work.store(leaders.unionByName(self._undecided(work, touched.join(open_, "node", "left_semi").select("key", "node", "a"), open_, new)))
+
+        clear = keyed.where((F.col("n") == 1) & F.col("a").isNull()).select("key", F.col("first").alias("node")).join(taken, "node", "left_semi")
+        kept = touched.join(taken, "node", "left_semi").select("key", "node", "a", "n")
+        lead = kept.where(F.col("a").isNull()).groupBy("key").agg(F.min("node").alias("node"))
+        tail = kept.join(lead.withColumn("lead", F.lit(True)), ["key", "node"], "left").select("key", "node", F.coalesce("lead", F.lit(False)).alias("lead"))
+        out = self._commit(run, new, taken, clear.select("key", "node", F.lit(True).alias("lead")).unionByName(tail))
+        remove(self.spark, work.path)
+        return out
+
+    def _verified(self, work: _Work, pairs: DataFrame, new: DataFrame) -> DataFrame:
+        """Of ``a, b, old`` the pairs that are alike: signatures first, then the texts of what is left."""
+        side = lambda df, p: df.select(F.col("node").alias(p), F.col("root").alias(f"{p}_root"), *[F.col(s).alias(f"{p}_{s}") for s in SIGNATURE])
+        apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SIGNATURE), F.lit(0))
+        same = F.col("a_root") == F.col("b_root")
+        left = pairs.join(side(new, "b"), "b")
+        # Short texts have no signature: the comparison is null, and only the root counts.
+        fit = lambda df: df.where(same | (apart <= MOST_BITS)).select("a", "b", "old", same.alias("same"))
+        n = pairs.count()
+        old = left.where("old")
+        hist = self._near(self.texts(), "node", old, "a", n)
+        close = fit(old.hint("shuffle_hash").join(side(hist, "a"), "a") if n <= HOT * self.buckets else old.join(side(hist, "a"), "a"))
+        close = work.store(close.unionByName(fit(left.where("not old").join(side(new, "a"), "a"))))
+        n = close.count()
+        ask = close.where("not same").join(new.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+        old = ask.where("old")
+        hist = self._near(self.texts(), "node", old, "a", n).select(F.col("node").alias("a"), F.col("text").alias("a_text"))
+        both = (old.hint("shuffle_hash") if n <= HOT * self.buckets else old).join(hist, "a")
+        both = both.unionByName(ask.where("not old").join(new.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a"))
+        checked = both.select("a", "b", "a_text", "b_text").mapInArrow(_compare, "a bigint, b bigint")
+        found = close.where("same").select("a", "b").unionByName(checked)
+        return work.store(close.select("a", "b", "old").join(found.distinct(), ["a", "b"]))
+
+    def _undecided(self, work: _Work, held: DataFrame, open_: DataFrame, new: DataFrame) -> DataFrame:
+        """``node`` accepted of ``open_``, whose keys are ``held`` (``key, node, a``).
+
+        Rounds of leaders first, while any key is crowded: a node that is first in all its
+        keys and has none in the index is accepted for certain, and what is alike to it is
+        settled against it alone. The rest is held against the later nodes of its keys in
+        the index and against one another. Keys of few nodes give single pairs, crowded
+        ones slices that are compared inside a task; nothing is left out for its size.
         """
         done: list[DataFrame] = []
-        undecided = left
-        for _ in range(rounds):
-            keys = _keys(undecided)
-            sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where(F.col("n") > 1)
-            load = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum("n").alias("keys")).first()
-            if not load["keys"] or load["pairs"] <= 8 * load["keys"]:
+        some = held.where(F.col("a").isNotNull()).select("key").distinct()
+        # Only keys of nodes still open are looked up among the later nodes of the index.
+        more = work.store(self.blocks(False).join(some.hint("shuffle_hash"), "key", "left_semi"))
+        if more.head(1):
+            gone = self._against(work, held, more, new).select(F.col("b").alias("node")).distinct()
+            open_, held = work.store(open_.join(gone, "node", "left_anti")), work.store(held.join(gone, "node", "left_anti"))
+        for _ in range(8):
+            sizes = work.store(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"))
+            if (sizes.agg(F.max("n")).first()[0] or 0) <= FEW:
+                break
+            later = self._known_of(held.select("key", "node"), sizes).where("node > first")
+            later = work.store(later.select(F.col("first").alias("a"), F.col("node").alias("b"), F.lit(False).alias("old")).distinct())
+            # First in all of its keys: accepted for certain, and compared here with all it shares a key with.
+            front = work.store(open_.join(later.select(F.col("b").alias("node")), "node", "left_anti"))
+            links = self._verified(work, later.join(front.select(F.col("node").alias("a")), "a", "left_semi"), new)
+            done.append(front)
+            gone = front.unionByName(links.select(F.col("b").alias("node")))
+            open_, held = work.store(open_.join(gone, "node", "left_anti")), work.store(held.join(gone, "node", "left_anti"))
+        links = work.store(self._against(work, held, None, new).select("a", "b").distinct())
+        crowded = held.where(F.shiftright("key", BLOCK_BITS) == TABLES).join(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW), "key", "left_semi")
+        same = work.store(crowded.select("node").distinct().join(new.select("node", "root"), "node"))
+        taken = open_
+        while True:
+            # Of one root the earliest that is left stands for the rest, so no pairs are made.
+            star = same.join(same.groupBy("root").agg(F.min("node").alias("a")), "root").where("a < node").select("a", F.col("node").alias("b"))
+            now = work.store(links.unionByName(star))
+            if not now.head(1):
                 break
-            later = keys.join(sizes, "key").where(F.col("node") > F.col("first"))
-            leaders = cut(undecided.select("node").join(later.select("node").distinct(), "node", "left_anti"))
-            pairs = later.select(F.col("first").alias("a"), F.col("node").alias("b")).join(leaders.select(F.col("node").alias("a")), "a", "left_semi").distinct()
-            out = _verified(pairs, undecided, undecided).select(F.col("b").alias("node")).distinct()
-            done.append(leaders)
-            # A leader was compared with all that follow it in its blocks: it is finished,
-            # and what it settled leaves with it.
-            undecided = cut(undecided.join(leaders, "node", "left_anti").join(out, "node", "left_anti"))
-        keys = _keys(undecided)
-        pairs = keys.withColumnRenamed("node", "a").join(keys.withColumnRenamed("node", "b"), "key").where(F.col("a") < F.col("b"))
-        links = cut(_verified(pairs.select("a", "b").distinct(), undecided, undecided))
-        taken = undecided.select("node")
-        while links.head(1):
-            heads = links.select("a").join(links.select(F.col("b").alias("a")), "a", "left_anti").distinct()
-            gone = links.join(heads, "a", "left_semi").select("b").distinct()
-            taken = taken.join(gone.withColumnRenamed("b", "node"), "node", "left_anti")
-            rest = links.join(heads, "a", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti")
-            links = cut(rest.join(gone, "b", "left_anti").select("a", "b"))
+            heads = now.select("a").join(now.select(F.col("b").alias("a")), "a", "left_anti").distinct()
+            gone = work.store(now.join(heads, "a", "left_semi").select(F.col("b").alias("node")).distinct())
+            taken, same = taken.join(gone, "node", "left_anti"), work.store(same.join(gone, "node", "left_anti"))
+            rest = links.join(heads, "a", "left_anti").join(gone.withColumnRenamed("node", "a"), "a", "left_anti")
+            links = work.store(rest.join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
         for d in done:
             taken = taken.unionByName(d)
-        return cut(taken)
+        return taken
+
+    def _against(self, work: _Work, held: DataFrame, more: DataFrame | None, new: DataFrame) -> DataFrame:
+        """Links ``a, b, old`` of the nodes of ``held`` with later index nodes of their keys, or (``more`` None) among themselves."""
+        mine = held.select("key", "node", F.lit(False).alias("old"))
+        if more is None:
+            both = mine
+        else:
+            mine = mine.join(more.select("key").distinct(), "key", "left_semi")
+            both = mine.unionByName(more.join(mine.select("key").distinct(), "key", "left_semi").select("key", F.col("a").alias("node"), F.lit(True).alias("old")))
+        both = work.store(both)
+        # ``who`` tells keys with the same nodes, which are compared once.
+        who = F.sum(F.xxhash64("node").cast("decimal(20,0)")).cast("string")
+        sizes = both.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("old")).cast("int")).alias("m"), who.alias("who")).where("n > 1 and m > 0")
+        sizes = work.store(sizes)
+        few = sizes.where(F.col("n") <= FEW).select("key")
+        right = both.where("not old").join(few, "key").select("key", F.col("node").alias("b"))
+        left = both.where("old") if more is not None else both
+        pairs = left.select("key", F.col("node").alias("a"), "old").join(right, "key").where("old or a < b").select("a", "b", "old").distinct()
+        links = self._verified(work, work.store(pairs), new)
+        crowded = sizes.where(F.col("n") > FEW).groupBy("n", "who").agg(F.min("key").alias("key"))
+        if not crowded.head(1):
+            return links
+        parts = F.ceil(F.col("n") / SLICE).cast("int")
+        rows = both.join(crowded.select("key", parts.alias("parts")), "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        twos = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
+        rows = rows.select("key", "node", "old", "mine", F.explode(twos).alias("t")).select("key", "node", "old", "mine", "t.i", "t.j")
+        what = ("node", *SIGNATURE, "text")
+        full = rows.where("not old").join(new.select(*what), "node").unionByName(rows.where("old").hint("shuffle_hash").join(self.texts().select(*what), "node"))
+        # Of equal roots, those of the index settle a node at once; the batch's own are for the caller.
+        only_old = more is not None
+        met = full.where(F.col("s0").isNotNull()).groupBy("key", "i", "j").applyInArrow(lambda t: _meet(t, only_old), "a bigint, b bigint, old boolean")
+        out = links.unionByName(met.distinct())
+        if only_old:
+            roots = both.join(crowded.select("key").where(F.shiftright("key", BLOCK_BITS) == TABLES), "key")
+            first = roots.where("old").select("node").hint("shuffle_hash").join(self.texts().select("node", "root"), "node").groupBy("root").agg(F.min("node").alias("a"))
+            mine = roots.where("not old").select("node").join(new.select("node", "root"), "node")
+            out = out.unionByName(mine.join(first, "root").select("a", F.col("node").alias("b"), F.lit(True).alias("old")))
+        return work.store(out)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE_RE2 as WS
-from ..session import stored
+from ..session import remove, scratch, stored
 from ..sources import tables
 from ..functions import vectors as V
 from . import clusters, containers, history, mixing, neighbours, pieces, pii, records, tokens
@@ -16,20 +16,22 @@ DIM = 128
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Redeliveries are resolved first; rows without a batch belong to the history."""
+    """Redeliveries are resolved first; rows without a batch belong to the history. Each batch is ingested by itself, as it arrives."""
     rows = tables.deliveries(tables.table(spark, d, "paragraphs")).where(F.col("text").isNotNull())
     rows = rows.select("id", "text", F.greatest(F.coalesce("batch", F.lit(0)), F.lit(0)).alias("batch"))
-    # The table of batches is a fixed, short calendar.
-    calendar = sorted(r[0] for r in tables.table(spark, d, "batches").select("batch").distinct().collect())
-    index = history.History(spark)
-    index.prepare(rows)
-    accepted = index.accept_all(0)
-    for b in calendar:
-        if b > 0:
-            accepted = accepted.unionByName(index.ingest(b))
-    index.close()
+    # One folder a batch, so that the arrival of one reads nothing of the others.
+    arrivals = scratch(spark, "arrivals")
+    rows.write.partitionBy("batch").parquet(arrivals)
+    rows = spark.read.schema(rows.schema).parquet(arrivals)
+    index = history.History.create(spark, scratch(spark, "history"))
+    for b in sorted(r[0] for r in rows.select("batch").distinct().collect()):  # one row a batch
+        batch = rows.where(F.col("batch") == b)
+        index.ingest(batch) if b > 0 else index.accept_all(batch)
     later = rows.where(F.col("batch") > 0).select(F.col("id").alias("paragraph_id"))
-    return later.join(accepted.withColumnRenamed("node", "paragraph_id"), "paragraph_id", "left_anti")
+    found = stored(later.join(index.nodes().withColumnRenamed("node", "paragraph_id"), "paragraph_id", "left_anti"), "p1")
+    index.delete()
+    remove(spark, arrivals)
+    return found
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:

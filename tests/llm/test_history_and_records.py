@@ -35,14 +35,16 @@ def brute(rows):
     return out
 
 
-def found(spark, rows, batches):
+def found(spark, rows, batches, path, buckets=4):
     df = spark.createDataFrame(rows, "batch int, id bigint, text string")
-    index = history.History(spark, 4)
-    index.prepare(df)
-    accepted = {r[0] for r in index.accept_all(0).collect()}
+    index = history.History.create(spark, str(path), buckets)
+    index.accept_all(df.where("batch = 0"))
     for b in batches:
-        accepted |= {r[0] for r in index.ingest(b).collect()}
-    index.close()
+        index.close()
+        index = history.History.open(spark, str(path))
+        index.ingest(df.where(f"batch = {b}"))
+    accepted = {r[0] for r in index.nodes().collect()}
+    index.delete()
     return {i for b, i, t in rows if b > 0 and t is not None} - accepted
 
 
@@ -50,7 +52,7 @@ def noisy(rng, text, share):
     return " ".join(w if rng.random() > share else rng.choice(["red", "blue", "stone"]) + str(rng.randint(0, 99)) for w in text.split())
 
 
-def test_history_equals_brute_force(spark):
+def test_history_equals_brute_force(spark, tmp_path):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, pool = [], []
@@ -65,22 +67,79 @@ def test_history_equals_brute_force(spark):
         pool.append(text)
         rows.append((rng.choice([0, 0, 1, 1, 2, 3]), i, text))
     rows += [(1, 900, None), (2, 901, ""), (2, 902, ""), (3, 903, "long " * 30_000)]
-    want, got = brute(rows), found(spark, rows, (1, 2, 3))
+    want, got = brute(rows), found(spark, rows, (1, 2, 3), tmp_path / 'h')
     assert len(want) > 100
     assert len(want ^ got) <= 1  # a pair at one half may be missed
 
 
-def test_a_family_of_a_third_within_one_batch(spark):
+def test_a_family_of_a_third_within_one_batch(spark, tmp_path):
     rng = random.Random(9)
     base = " ".join(f"b{i}" for i in range(60))
     rows = [(1, i, noisy(rng, base, 0.03)) for i in range(300)] + [(1, 1000 + i, " ".join(f"x{i}y{j}" for j in range(25))) for i in range(50)]
-    want, got = brute([(0, -1, "start"), *rows]), found(spark, [(0, -1, "start"), *rows], (1,))
+    want, got = brute([(0, -1, "start"), *rows]), found(spark, [(0, -1, "start"), *rows], (1,), tmp_path / 'h')
     # One miss changes what is accepted, and with it later verdicts at the border.
     assert len(want) > 280 and len(want ^ got) <= 10
 
 
-def test_empty_batch_and_empty_index(spark):
-    assert found(spark, [(1, 1, "a b"), (1, 2, "A  b!"), (3, 3, "c")], (1, 2, 3)) == {2}
+def test_empty_batch_and_empty_index(spark, tmp_path):
+    assert found(spark, [(1, 1, "a b"), (1, 2, "A  b!"), (3, 3, "c")], (1, 2, 3), tmp_path / "h") == {2}
+
+
+def test_crowded_keys_lose_no_link(spark, tmp_path, monkeypatch):
+    """Families whose members share keys without being near: the index's later nodes, and slices inside a batch."""
+    monkeypatch.setattr(history, "FEW", 4)
+    monkeypatch.setattr(history, "SLICE", 16)
+    monkeypatch.setattr(history, "HOT", 8)
+    rng = random.Random(12)
+    common = " ".join(f"c{i}" for i in range(26))
+    tail = lambda i: " ".join(f"t{i}x{j}" for j in range(30))
+    rows = [(0, i, f"{common} {tail(i)}") for i in range(60)]
+    rows += [(1, 100 + i, f"{common} {tail(rng.randrange(40, 120))} {i}") for i in range(80)]
+    rows += [(2, 300 + i, noisy(rng, f"{common} {tail(rng.randrange(150))}", 0.02)) for i in range(60)]
+    records_ = ["Name: Ada; Team: Red; Room: 4; Site: North", "Team: Red; Name: Ada; Site: North; Room: 4"]
+    rows += [(2, 400 + i, "; ".join(rng.sample(records_[0].split("; "), 4))) for i in range(20)]
+    want, got = brute(rows), found(spark, rows, (1, 2), tmp_path / "h")
+    assert len(want) > 60 and len(want ^ got) <= 1
+
+
+def test_a_small_batch_reads_few_buckets(spark, tmp_path):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choices([f"w{i}" for i in range(500)], k=30))
+    old = spark.createDataFrame([(i, text()) for i in range(50)], "id bigint, text string")
+    index = history.History.create(spark, str(tmp_path / "h"), 128)
+    index.accept_all(old)
+    plans = []
+    near = history.History._near
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(history.History, "_near", lambda *a: plans.append(near(*a)) or plans[-1])
+    index.ingest(spark.createDataFrame([(100, old.first()["text"])], "id bigint, text string"))
+    monkey.undo()
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that the plan tells
+    plans = [p.select("*") for p in plans]
+    chosen = [int(x) for p in plans for x in re.findall(r"SelectedBucketsCount: (\d+) out of 128", p._jdf.queryExecution().toString())]
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert min(chosen) == 1 and max(chosen) <= 81
+    assert index.nodes(1).count() == 0
+    index.delete()
+    assert not (tmp_path / "h").exists()
+
+
+def test_a_run_that_broke_off_is_written_anew(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "one two"), (2, "three four")], "id bigint, text string")
+    index = history.History.create(spark, str(tmp_path / "h"), 2)
+    index.accept_all(rows.where("id = 1"))
+    index.ingest(rows)
+    index.close()
+    import shutil
+
+    shutil.rmtree(tmp_path / "h" / "runs")
+    spark.range(1).selectExpr("cast(id as int) run").write.parquet(str(tmp_path / "h" / "runs"))
+    index = history.History.open(spark, str(tmp_path / "h"))
+    assert [r[0] for r in index.nodes().collect()] == [1]
+    assert [r[0] for r in index.ingest(rows).collect()] == [2]
+    with pytest.raises(ValueError):
+        index.accept_all(rows)
+    index.delete()
 
 
 def test_fingerprints_estimate_overlap():
@@ -101,7 +160,7 @@ def test_pairs_at_one_half_share_a_block():
     for _ in range(5000):
         x = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
         a, b = history.lanes(x[:60]), history.lanes(x[20:])
-        far = np.bitwise_count(a ^ b).sum() > history.MOST_BITS
+        far = np.bitwise_count((history.signature(a) ^ history.signature(b)).view(np.uint64)).sum() > history.MOST_BITS
         missed += far or not (history.block_keys(a) == history.block_keys(b)).any()
     assert missed <= 3  # expected 0.1
 
