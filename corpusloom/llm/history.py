@@ -189,8 +189,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _meet(t: pa.Table, only_old: bool) -> pa.Table:
-    """Two slices of one crowded key: all links ``a, b, old`` of an earlier node, of the index or (if not ``only_old``) the batch, and one of the batch."""
+def _meet(t: pa.Table, own: bool) -> pa.Table:
+    """Two slices of one crowded key: all links ``a, b, old`` of an earlier node, of the index or (if ``own``) the batch, and one of the batch."""
     node, old = t.column("node").to_numpy(), np.array(t.column("old").to_pylist(), bool)
     mine, i, j = t.column("mine").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
     bits = np.unpackbits(np.stack([t.column(s).to_numpy() for s in SIGNATURE], 1).astype(np.int64).view(np.uint8), axis=1).astype(np.float32)
@@ -208,7 +208,7 @@ def _meet(t: pa.Table, only_old: bool) -> pa.Table:
         apart = ones[l][:, None] + ones[right][None] - 2 * (bits[l] @ bits[right].T)
         for p, q in zip(*np.nonzero(apart <= MOST_BITS)):
             a, b = l[p], right[q]
-            if (i == j and a >= b) or (old[a] and old[b]) or (only_old and not (old[a] or old[b])):
+            if (i == j and a >= b) or (old[a] and old[b]) or (not own and not (old[a] or old[b])):
                 continue
             if old[b] or (not old[a] and node[b] < node[a]):
                 a, b = b, a
@@ -362,14 +362,16 @@ class History:
 
         pairs = touched.select(F.coalesce("a", "first").alias("a"), F.col("node").alias("b"), F.col("a").isNotNull().alias("old")).where("old or a != b").distinct()
         pairs = work.store(pairs)
+        # First in all of its keys, with none in the index: new for certain.
         leaders = new.select("node").join(pairs.select(F.col("b").alias("node")), "node", "left_anti")
-        leaders = work.store(leaders)
         links = self._verified(work, pairs, new)
-        sure = links.where("old").select(F.col("b").alias("node")).unionByName(links.where("not old").join(leaders.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")))
-        open_ = work.store(new.select("node").join(leaders, "node", "left_anti").join(sure, "node", "left_anti"))
-        taken = leaders
+        sure = links.where("old").select("b").unionByName(links.where("not old").join(leaders.select(F.col("node").alias("a")), "a", "left_semi").select("b"))
+        flag = lambda df, c, name: df.select(F.col(c).alias("node")).distinct().withColumn(name, F.lit(True))
+        state = new.select("node").join(flag(pairs, "b", "held"), "node", "left").join(flag(sure, "b", "gone"), "node", "left")
+        state = work.store(state.na.fill(False, ["held", "gone"]))
+        taken, open_ = state.where("not held").select("node"), state.where("held and not gone").select("node")
         if open_.head(1):
-            taken = work.store(leaders.unionByName(self._undecided(work, touched.join(open_, "node", "left_semi").select("key", "node", "a"), open_, new)))
+            taken = taken.unionByName(self._undecided(work, work.store(touched.join(open_, "node", "left_semi").select("key", "node", "a")), open_, new))
 
         clear = keyed.where((F.col("n") == 1) & F.col("a").isNull()).select("key", F.col("first").alias("node")).join(taken, "node", "left_semi")
         kept = touched.join(taken, "node", "left_semi").select("key", "node", "a", "n")
@@ -415,13 +417,15 @@ class History:
         some = held.where(F.col("a").isNotNull()).select("key").distinct()
         # Only keys of nodes still open are looked up among the later nodes of the index.
         more = work.store(self.blocks(False).join(some.hint("shuffle_hash"), "key", "left_semi"))
-        if more.head(1):
-            gone = self._against(work, held, more, new).select(F.col("b").alias("node")).distinct()
-            open_, held = work.store(open_.join(gone, "node", "left_anti")), work.store(held.join(gone, "node", "left_anti"))
-        for _ in range(8):
-            sizes = work.store(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"))
-            if (sizes.agg(F.max("n")).first()[0] or 0) <= FEW:
+        crowd = lambda: (held.groupBy("key").count().agg(F.max("count")).first()[0] or 0) > FEW
+        crowded = crowd()
+        if crowded:
+            gone = self._against(work, held, more, new, own=False).select(F.col("b").alias("node")).distinct()
+            open_, held, more = work.store(open_.join(gone, "node", "left_anti")), work.store(held.join(gone, "node", "left_anti")), more.limit(0)
+        for _ in range(8 if crowded else 0):
+            if not crowd():
                 break
+            sizes = work.store(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"))
             later = self._known_of(held.select("key", "node"), sizes).where("node > first")
             later = work.store(later.select(F.col("first").alias("a"), F.col("node").alias("b"), F.lit(False).alias("old")).distinct())
             # First in all of its keys: accepted for certain, and compared here with all it shares a key with.
@@ -430,59 +434,64 @@ class History:
             done.append(front)
             gone = front.unionByName(links.select(F.col("b").alias("node")))
             open_, held = work.store(open_.join(gone, "node", "left_anti")), work.store(held.join(gone, "node", "left_anti"))
-        links = work.store(self._against(work, held, None, new).select("a", "b").distinct())
-        crowded = held.where(F.shiftright("key", BLOCK_BITS) == TABLES).join(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW), "key", "left_semi")
-        same = work.store(crowded.select("node").distinct().join(new.select("node", "root"), "node"))
-        taken = open_
+        links = self._against(work, held, more, new)
+        settled = links.where("old").select(F.col("b").alias("node")).distinct()
+        taken, same = open_.join(settled, "node", "left_anti"), None
+        links = links.where("not old").select("a", "b")
+        links = links.join(settled.withColumnRenamed("node", "a"), "a", "left_anti").join(settled.withColumnRenamed("node", "b"), "b", "left_anti")
+        if crowded:
+            full = held.groupBy("key").count().where(F.col("count") > FEW)
+            roots = held.where(F.shiftright("key", BLOCK_BITS) == TABLES).join(full, "key", "left_semi").select("node").distinct()
+            same = work.store(roots.join(new.select("node", "root"), "node").join(settled, "node", "left_anti"))
         while True:
-            # Of one root the earliest that is left stands for the rest, so no pairs are made.
-            star = same.join(same.groupBy("root").agg(F.min("node").alias("a")), "root").where("a < node").select("a", F.col("node").alias("b"))
-            now = work.store(links.unionByName(star))
+            now = links
+            if same is not None:
+                # Of one root the earliest that is left stands for the rest, so no pairs are made.
+                star = same.join(same.groupBy("root").agg(F.min("node").alias("a")), "root").where("a < node").select("a", F.col("node").alias("b"))
+                now = links.unionByName(star)
+            now = work.store(now.distinct())
             if not now.head(1):
                 break
             heads = now.select("a").join(now.select(F.col("b").alias("a")), "a", "left_anti").distinct()
             gone = work.store(now.join(heads, "a", "left_semi").select(F.col("b").alias("node")).distinct())
-            taken, same = taken.join(gone, "node", "left_anti"), work.store(same.join(gone, "node", "left_anti"))
-            rest = links.join(heads, "a", "left_anti").join(gone.withColumnRenamed("node", "a"), "a", "left_anti")
-            links = work.store(rest.join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+            taken = taken.join(gone, "node", "left_anti")
+            rest = now.join(heads, "a", "left_anti").join(gone.withColumnRenamed("node", "a"), "a", "left_anti")
+            links = rest.join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
+            if same is not None:
+                same, links = work.store(same.join(gone, "node", "left_anti")), work.store(links)
         for d in done:
             taken = taken.unionByName(d)
-        return taken
+        return work.store(taken)
 
-    def _against(self, work: _Work, held: DataFrame, more: DataFrame | None, new: DataFrame) -> DataFrame:
-        """Links ``a, b, old`` of the nodes of ``held`` with later index nodes of their keys, or (``more`` None) among themselves."""
+    def _against(self, work: _Work, held: DataFrame, more: DataFrame, new: DataFrame, own: bool = True) -> DataFrame:
+        """Links ``a, b, old`` of the nodes of ``held`` with the later index nodes ``more`` of their keys and, if ``own``, among themselves."""
         mine = held.select("key", "node", F.lit(False).alias("old"))
-        if more is None:
-            both = mine
-        else:
-            mine = mine.join(more.select("key").distinct(), "key", "left_semi")
-            both = mine.unionByName(more.join(mine.select("key").distinct(), "key", "left_semi").select("key", F.col("a").alias("node"), F.lit(True).alias("old")))
-        both = work.store(both)
-        # ``who`` tells keys with the same nodes, which are compared once.
-        who = F.sum(F.xxhash64("node").cast("decimal(20,0)")).cast("string")
-        sizes = both.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("old")).cast("int")).alias("m"), who.alias("who")).where("n > 1 and m > 0")
-        sizes = work.store(sizes)
-        few = sizes.where(F.col("n") <= FEW).select("key")
-        right = both.where("not old").join(few, "key").select("key", F.col("node").alias("b"))
-        left = both.where("old") if more is not None else both
-        pairs = left.select("key", F.col("node").alias("a"), "old").join(right, "key").where("old or a < b").select("a", "b", "old").distinct()
+        both = mine.unionByName(more.select("key", F.col("a").alias("node"), F.lit(True).alias("old")))
+        size = both.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("old")).cast("int")).alias("m")).where("n > 1 and m > 0")
+        crowded = (size.agg(F.max("n")).first()[0] or 0) > FEW
+        if crowded:
+            # ``who`` tells keys with the same nodes, which are compared once.
+            who = F.sum(F.xxhash64("node").cast("decimal(20,0)")).cast("string")
+            size = work.store(size.join(both.groupBy("key").agg(who.alias("who")), "key"))
+        left = (both if own else both.where("old")).select("key", F.col("node").alias("a"), "old")
+        right = mine.select("key", F.col("node").alias("b"))
+        if crowded:
+            right = right.join(size.where(F.col("n") <= FEW).select("key"), "key", "left_semi")
+        pairs = left.join(right, "key").where("old or a < b").select("a", "b", "old").distinct()
         links = self._verified(work, work.store(pairs), new)
-        crowded = sizes.where(F.col("n") > FEW).groupBy("n", "who").agg(F.min("key").alias("key"))
-        if not crowded.head(1):
+        if not crowded:
             return links
+        full = size.where(F.col("n") > FEW).groupBy("n", "who").agg(F.min("key").alias("key"))
         parts = F.ceil(F.col("n") / SLICE).cast("int")
-        rows = both.join(crowded.select("key", parts.alias("parts")), "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        rows = both.join(full.select("key", parts.alias("parts")), "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         twos = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
         rows = rows.select("key", "node", "old", "mine", F.explode(twos).alias("t")).select("key", "node", "old", "mine", "t.i", "t.j")
         what = ("node", *SIGNATURE, "text")
-        full = rows.where("not old").join(new.select(*what), "node").unionByName(rows.where("old").hint("shuffle_hash").join(self.texts().select(*what), "node"))
-        # Of equal roots, those of the index settle a node at once; the batch's own are for the caller.
-        only_old = more is not None
-        met = full.where(F.col("s0").isNotNull()).groupBy("key", "i", "j").applyInArrow(lambda t: _meet(t, only_old), "a bigint, b bigint, old boolean")
-        out = links.unionByName(met.distinct())
-        if only_old:
-            roots = both.join(crowded.select("key").where(F.shiftright("key", BLOCK_BITS) == TABLES), "key")
-            first = roots.where("old").select("node").hint("shuffle_hash").join(self.texts().select("node", "root"), "node").groupBy("root").agg(F.min("node").alias("a"))
-            mine = roots.where("not old").select("node").join(new.select("node", "root"), "node")
-            out = out.unionByName(mine.join(first, "root").select("a", F.col("node").alias("b"), F.lit(True).alias("old")))
-        return work.store(out)
+        wide = rows.where("not old").join(new.select(*what), "node").unionByName(rows.where("old").hint("shuffle_hash").join(self.texts().select(*what), "node"))
+        met = wide.where(F.col("s0").isNotNull()).groupBy("key", "i", "j").applyInArrow(lambda t: _meet(t, own), "a bigint, b bigint, old boolean")
+        # Equal roots of the index settle a node at once; the batch's own are for the caller.
+        roots = both.join(full.select("key").where(F.shiftright("key", BLOCK_BITS) == TABLES), "key")
+        first = roots.where("old").select("node").hint("shuffle_hash").join(self.texts().select("node", "root"), "node").groupBy("root").agg(F.min("node").alias("a"))
+        equal = roots.where("not old").select("node").join(new.select("node", "root"), "node").join(first, "root")
+        equal = equal.select("a", F.col("node").alias("b"), F.lit(True).alias("old"))
+        return work.store(links.unionByName(met.distinct()).unionByName(equal))
