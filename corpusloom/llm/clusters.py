@@ -1,30 +1,28 @@
-"""Vectors in clusters of mutually similar ones, by bisecting k-means.
-
-The upper tree is fitted on a bounded sample: the node of largest dispersion is split
-until there are cells enough or all are compact. Every vector then goes to the cell of
-its nearest centre and, unless that is a compact one it lies well inside, to those of
-the next nearest too, as a small cluster may straddle a border. Inside the cells
-leaves are closed over all rows by exact cosines; leaves of different cells that share
-vectors are one. ``confirm`` checks at the end that any two members are within the limit.
-
-A cell too large for one task is cut into slices, and every slice also holds the same
-few leaders of the cell: members of a dominant cluster meet through them. Whatever
-no leader settles is partitioned again, at last with every slice held against every
-other.
-
-Cells and slices miss pairs that share none. ``_across`` closes what is left, exactly:
-groups found so far are balls, all other rows points, and every two of them are held
-against each other. Balls are few, so this costs the square of the rows in no group.
+"""Vectors in clusters of mutually similar ones, by bisecting k-means across the cluster.
+
+The node of largest dispersion is split in two, again and again. Splits of nodes larger
+than one task's share are made by passes over all rows: every task sends its rows down
+the tree as it is and returns counts, sums and the least cosine to the centre for each
+side of each open node, and a few rows by hash from which the next split starts; the
+sums give the centres that the split is made with. A node is a leaf once it is compact:
+all its rows lie within half the limit's angle of its centre, so that any two are within
+the limit. What fits one task is split on there by the same rule, until every leaf is
+compact. Rows and leaves are all reported, single ones too.
+
+A split can tear what belongs together. ``_across`` finds every such link, exactly:
+leaves are balls, single rows points, and every two of them are held against each other.
+Balls are few, so this costs the square of the rows in no leaf with others; no index
+gives an exact answer for less where vectors have no structure.
+
+``confirm`` checks at the end that any two members of a joined cluster are within the limit.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,174 +31,225 @@ from ..functions import vectors as V
 from ..session import cut, stored
 from . import partition
 
-#: Rows of a cell that one task takes, leaders of a larger cell, cells at most.
-CELL, LEADERS, CELLS = 4096, 64, 2048
-#: Cells aimed at hold so many rows.
-AIM = 250
-#: Cells of the nearest centres that a vector goes to.
-REACH = 4
+#: Rows that one task splits on by itself, and rows of a block that cosines are compared in.
+NODE, CELL = 16_384, 4096
+#: Nodes of the distributed tree at most; where more would be needed, tasks take larger nodes.
+NODES = 65_536
+#: Nodes split in one pass, the largest dispersions first, and rows that a split starts from.
+WAVE, SEEDS = 512, 64
+#: Rows of a node up to which its cosines are held at once.
+HELD = 1024
 #: Balls and points in a block of the closing comparison.
 UNITS = 32_768
 
 
-def leaves_of(x: np.ndarray, limit: float) -> np.ndarray:
-    """A leaf number for each row, -1 for rows with no other within ``limit``.
-
-    Splitting a cell on until every leaf is compact, and joining leaves again that a
-    split had torn across a pair within the limit, ends in the groups that such pairs
-    connect. These are found directly from the cell's exact cosines.
-    """
-    close = x @ x.T >= limit
-    np.fill_diagonal(close, True)
-    label = np.full(len(x), -1)
-    degree = close.sum(1)
-    for i in np.nonzero(degree > 1)[0]:
-        if label[i] >= 0:
+def bisect(x: np.ndarray, limit: float) -> np.ndarray:
+    """A leaf number for each row: nodes are split in two until all are compact."""
+    leaf, n = np.empty(len(x), np.int64), 0
+    half_angle = math.cos(math.acos(limit) / 2)
+    stack = [np.arange(len(x))] if len(x) else []
+    while stack:
+        rows = stack.pop()
+        y = x[rows]
+        compact = len(rows) == 1 or (y @ V.unit(y.mean(0, keepdims=True))[0]).min() >= half_angle
+        if not compact and len(rows) <= HELD:
+            close = y @ y.T >= limit
+            compact = bool(close.all())
+            if not compact:
+                # A row with no other within the limit ends alone however the node is split.
+                lone = close.sum(1) <= 1
+                leaf[rows[lone]] = np.arange(n, n + lone.sum())
+                n += int(lone.sum())
+                rows, y = rows[~lone], y[~lone]
+                if len(rows) < 2:
+                    continue
+        if compact:
+            leaf[rows] = n
+            n += 1
             continue
-        inside = close[i].copy()
-        edge = inside.copy()
-        edge[i] = False
-        while edge.any():
-            wider = close[edge].any(0)
-            edge = wider & ~inside
-            inside |= wider
-        label[inside] = i
-    return label
-
-
-def cores(x: np.ndarray, leaves: list[np.ndarray], limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centres of the leaves, which of them are those of a tight core, and the cell of each.
-
-    A core is what lies well inside the limit around a leaf's own centre, and is tight if
-    no two of it exceed the limit. Tight cores within the limit of each other are parts of
-    one cluster and share a cell.
-    """
-    well = math.cos(math.acos(limit) * 0.7)
-    centre, tight = partition.centres(x, leaves), np.zeros(len(leaves), bool)
-    for i, rows in enumerate(leaves):
-        c = centre[i]
-        for _ in range(3):
-            inside = x[rows][x[rows] @ c >= well]
-            if len(inside) < 3:
-                break
-            c = V.unit(inside.mean(0, keepdims=True))[0]
-        if len(inside) >= 3 and partition.compact(inside, limit):
-            centre[i], tight[i] = c, True
-    cell = np.arange(len(leaves))
-    at = np.nonzero(tight)[0]
-    near = leaves_of(centre[at], limit) if len(at) else at
-    for i, n in zip(at, near):
-        if n >= 0:
-            cell[i] = at[n]
-    return centre, tight, np.unique(cell, return_inverse=True)[1]
-
-
-def _route(rows: DataFrame, kind: str, coarse: np.ndarray, tight: np.ndarray, cell: np.ndarray, limit: float) -> tuple[DataFrame, dict[int, int]]:
-    """``cell, key, vec``, and the rows of each cell. Counting runs the routing once more, so that no copy is stored."""
-    reach = min(REACH, len(coarse))
-    well = math.cos(math.acos(limit) * 0.7)
-    total = int(cell.max()) + 1
-
-    def cells(x: np.ndarray) -> np.ndarray:
-        s = x @ coarse.T
-        near = np.argsort(-s, 1, kind="stable")[:, :reach] if reach == len(coarse) else np.argpartition(-s, reach - 1, 1)[:, :reach]
-        home = s.argmax(1)
-        go = np.zeros((len(x), total), bool)
-        np.put_along_axis(go, cell[near], True, 1)
-        go[tight[home] & (s.max(1) >= well)] = False
-        go[np.arange(len(x)), cell[home]] = True
-        return go
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(total, np.int64)
-        for b in batches:
-            if b.num_rows:
-                n += cells(V.matrix(b.column("vec"))).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(range(total), pa.int32()), pa.array(n)], names=["cell", "n"])
+        half = partition.two_means(y, 4)
+        if half.all() or not half.any():
+            half = np.arange(len(rows)) == (y @ y[0]).argmin()
+        stack += [rows[~half], rows[half]]
+    return leaf
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = V.matrix(b.column("vec"))
-            i, c = np.nonzero(cells(x))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), b.column("key").take(pa.array(i)), V.lists(x[i])], names=["cell", "key", "vec"])
 
-    sizes = rows.select("vec").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    return rows.mapInArrow(work, f"cell int, key {kind}, vec array<float>"), dict(sizes.where("n > 0").collect())  # at most CELLS rows
+class Tree:
+    """Splits made so far. ``child[i]`` are the two nodes below node ``i`` or -1, ``apart[i]`` the difference of their centres."""
 
+    def __init__(self, centre: np.ndarray):
+        self.child, self.apart, self.centre = [(-1, -1)], [np.zeros_like(centre)], [centre]
 
-#: ``seen`` is the size of the group that a task found, if any two of it are within the limit, else 0.
-LINKS = "key {kind}, label {kind}, crowded boolean, seen int"
+    def split(self, node: int, left: np.ndarray, right: np.ndarray) -> tuple[int, int]:
+        at = len(self.child)
+        self.child[node], self.apart[node] = (at, at + 1), right - left
+        for c in (left, right):
+            self.child.append((-1, -1))
+            self.apart.append(np.zeros_like(c))
+            self.centre.append(c)
+        return at, at + 1
 
+    def frozen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(self.child, np.int32), np.stack(self.apart).astype(np.float32), np.stack(self.centre).astype(np.float32)
 
-def _level(rows: DataFrame, kind: str, limit: float, depth: int, paired: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Links ``key, label`` found at this level, and the rows of crowded cells that no leader settled.
 
-    ``paired`` holds every slice of a crowded cell against every other instead, which
-    leaves nothing over.
-    """
-    n = rows.count()
-    x = partition.sample(rows.withColumn("_s", F.concat_ws("", F.col("key").cast("string"), F.lit(depth))), "_s")
+def _down(x: np.ndarray, child: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """The node at which each row ends."""
+    at = np.zeros(len(x), np.int64)
+    going = np.nonzero(child[at, 0] >= 0)[0]
+    while len(going):
+        side = np.einsum("ij,ij->i", x[going], apart[at[going]]) > 0
+        at[going] = child[at[going], side.astype(int)]
+        going = going[child[at[going], 0] >= 0]
+    return at
+
+
+def grow(rows: DataFrame, limit: float, n: int, node: int = NODE) -> tuple[Tree, dict[int, int], set[int]]:
+    """The distributed part of the tree, the rows of each end node, and which of these are compact already."""
     spark = rows.sparkSession
-    if n < 2:
-        return spark.createDataFrame([], LINKS.format(kind=kind)), None
-    leaves, _ = partition.bisect(x, max(1, min(CELLS, math.ceil(n / AIM))), limit)
-    placed, sizes = _route(rows, kind, *cores(x, leaves, limit), limit)
-    part = CELL // 2 if paired else CELL - LEADERS
-    crowded = {c: math.ceil(m / part) for c, m in sizes.items() if m > CELL}
-    slices = F.coalesce(F.element_at(_map(crowded), F.col("cell")), F.lit(1))
-    sliced = placed.withColumn("slices", slices).withColumn(
-        "slice", F.pmod(F.xxhash64("key", F.lit(depth)), F.col("slices")).cast("int")
-    )
-    leaders = None
-    if crowded and paired:
-        other = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: F.struct(F.least("slice", j).alias("i"), F.greatest("slice", j).alias("j")))
-        twos = F.filter(other, lambda t: (t["i"] < t["j"]) | (F.col("slices") == 1))
-        sliced = sliced.select("cell", "key", "vec", F.explode(twos).alias("slice"))
-    elif crowded:
-        # Leaders: the first rows by hash of each crowded cell, LEADERS x CELLS rows at most.
-        hot = placed.where(F.col("cell").isin(*crowded)).withColumn("h", F.xxhash64("key", F.lit(depth + 11)))
-        leaders = _leaders(hot, kind)
+    node = max(node, math.ceil(n / NODES))
+    start = partition.sample(rows, "key", 1024)
+    tree = Tree(V.unit(start.mean(0, keepdims=True))[0])
+    if n <= node:
+        return tree, {0: n}, set()
+    half_angle = math.cos(math.acos(limit) / 2)
+    seeds, waiting, counts, compact = {0: start}, [(-float(n), 0)], {}, set()
+    d = start.shape[1]
+    while waiting:
+        waiting.sort()
+        wave, waiting = [i for _, i in waiting[:WAVE]], waiting[WAVE:]
+        guess = {}
+        for i in wave:
+            h = partition.two_means(seeds[i]) if len(seeds[i]) > 1 else np.zeros(len(seeds[i]), bool)
+            if h.all() or not h.any():
+                h = np.arange(len(seeds[i])) == 0
+            s = seeds[i]
+            guess[i] = V.unit(s[h].mean(0)[None])[0] - (V.unit(s[~h].mean(0)[None])[0] if (~h).any() else 0)
+        slot = np.full(len(tree.child), -1)
+        slot[wave] = range(len(wave))
+        held = spark.sparkContext.broadcast((*tree.frozen(), slot, np.stack([guess[i] for i in wave]).astype(np.float32)))
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            child, apart, centre, slot, guess = held.value
+            k = 2 * len(guess)
+            count, total, low = np.zeros(k, np.int64), np.zeros((k, d)), np.ones(k)
+            some: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(k)]
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = V.matrix(b.column("vec"))
+                at = _down(x, child, apart)
+                mine = np.nonzero(slot[at] >= 0)[0]
+                x, at, h = x[mine], at[mine], b.column("h").to_numpy()[mine]
+                s = 2 * slot[at] + (np.einsum("ij,ij->i", x, guess[slot[at]]) > 0)
+                np.add.at(total, s, x)
+                count += np.bincount(s, minlength=k)
+                np.minimum.at(low, s, np.einsum("ij,ij->i", x, centre[at]))
+                order = np.lexsort((h, s))
+                begin = np.searchsorted(s[order], np.arange(k + 1))
+                for j in np.nonzero(np.diff(begin))[0]:
+                    few = order[begin[j] : begin[j + 1]][:SEEDS]
+                    some[j] = sorted(some[j] + [(int(h[r]), x[r]) for r in few], key=lambda t: t[0])[:SEEDS]
+            used = np.nonzero(count)[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array(count[used]), pa.array(low[used]), pa.array(list(total[used]), pa.list_(pa.float64())),
+                 pa.array([[t[0] for t in some[j]] for j in used], pa.list_(pa.int64())), pa.array([np.concatenate([t[1] for t in some[j]]) for j in used], pa.list_(pa.float32()))],
+                names=["slot", "n", "low", "total", "hs", "some"],
+            )
+
+        def add(t: pa.Table) -> pa.Table:
+            hs = np.concatenate([np.asarray(h) for h in t.column("hs").to_pylist()])
+            xs = np.concatenate([np.asarray(v, np.float32).reshape(-1, d) for v in t.column("some").to_pylist()])
+            first = np.argsort(hs, kind="stable")[:SEEDS]
+            total = V.matrix(t.column("total"), np.float64).sum(0)
+            return pa.table({
+                "slot": t.column("slot")[:1], "n": pa.array([int(t.column("n").to_numpy().sum())]), "low": pa.array([float(t.column("low").to_numpy().min())]),
+                "total": pa.array([total], pa.list_(pa.float64())), "hs": pa.array([hs[first]], pa.list_(pa.int64())), "some": pa.array([xs[first].reshape(-1)], pa.list_(pa.float32())),
+            })
+
+        schema = "slot int, n bigint, low double, total array<double>, hs array<bigint>, some array<float>"
+        hashed = rows.select("vec", F.xxhash64("key", F.lit(len(tree.child))).alias("h"))
+        # Two rows for each node of the wave.
+        found = {r["slot"]: r for r in hashed.mapInArrow(tally, schema).groupBy("slot").applyInArrow(add, schema).collect()}
+        held.destroy()
+        for j, i in enumerate(wave):
+            sides = [found.get(2 * j + s) for s in (0, 1)]
+            there = [r for r in sides if r is not None]
+            counts[i] = sum(r["n"] for r in there)
+            if there and min(r["low"] for r in there) >= half_angle:
+                compact.add(i)
+                continue
+            if counts[i] <= node:
+                continue
+            some = np.concatenate([np.asarray(r["some"], np.float32).reshape(-1, d) for r in there])
+            if len(there) < 2:  # the guess split nothing: its seeds lie on one side, others are at hand now
+                seeds[i] = some
+                waiting.append((-float(counts[i]), i))
+                continue
+            centres = [V.unit(np.asarray(r["total"])[None])[0].astype(np.float32) for r in sides]
+            left, right = tree.split(i, *centres)
+            half = some @ (centres[1] - centres[0]) > 0
+            for c, r, mask in ((left, sides[0], ~half), (right, sides[1], half)):
+                seeds[c] = some[mask] if mask.any() else some[:1]
+                waiting.append((float(np.linalg.norm(r["total"]) - r["n"]), c))
+            del seeds[i], counts[i]
+    return tree, counts, compact
 
-    def work(t: pa.Table) -> pa.Table:
-        cell = t.column("cell")[0].as_py()
-        keys, m = t.column("key").to_pylist(), V.matrix(t.column("vec"))
-        extra = leaders.get(cell) if leaders else None
-        if extra:
-            held = set(keys)
-            more = [i for i, k in enumerate(extra[0]) if k not in held]
-            keys = keys + [extra[0][i] for i in more]
-            m = np.vstack([m, extra[1][more]])
-        label = leaves_of(m, limit)
-        ks = np.array(keys)
-        out_k, out_l, out_c, out_n = [], [], [], []
-        lead = set(extra[0]) if extra else set()
-        for c in np.unique(label[label >= 0]):
-            members = ks[label == c]
-            n = int((label == c).sum())
-            close = m[label == c]
-            whole = n if all((close[i : i + 512] @ close.T).min() >= limit for i in range(0, n, 512)) else 0
-            name = min(members.tolist())
-            settled = not lead or any(k in lead for k in members.tolist())
-            out_k += members.tolist()
-            out_l += [name] * len(members)
-            out_c += [not settled] * len(members)
-            out_n += [whole] * len(members)
-        if lead:
-            alone = [k for k in ks[label < 0].tolist() if k not in lead]
-            out_k += alone
-            out_l += alone
-            out_c += [True] * len(alone)
-            out_n += [0] * len(alone)
+
+def divide(rows: DataFrame, limit: float = 0.75, node: int = NODE) -> DataFrame:
+    """``key, leaf, seen`` of every row: its leaf, named by the leaf's smallest key, and the rows of that leaf.
+
+    ``rows`` are ``units``. Any two rows of a leaf are within ``limit``. No row is dropped
+    for reasons of size; an empty table gives no rows.
+    """
+    kind = dict(rows.dtypes)["key"]
+    n = rows.count()
+    if not n:
+        return rows.select("key", F.col("key").alias("leaf"), F.lit(0).cast("bigint").alias("seen"))
+    tree, counts, compact = grow(rows, limit, n, node)
+    share = max(node, math.ceil(n / NODES))
+    # Nodes that lie together share a task as long as they fit.
+    task, room, number = {}, share, 0
+    for i in sorted(counts):
+        if i in compact:
+            continue
+        if counts[i] > room:
+            number, room = number + 1, share
+        task[i], room = number, room - counts[i]
+    child, apart, _ = tree.frozen()
+    of = np.full(len(child), -1)
+    for i, t in task.items():
+        of[i] = t
+    held = rows.sparkSession.sparkContext.broadcast((child, apart, of))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        child, apart, of = held.value
+        for b in batches:
+            if b.num_rows:
+                at = _down(V.matrix(b.column("vec")), child, apart)
+                yield pa.RecordBatch.from_arrays([pa.array(of[at], pa.int32()), pa.array(at, pa.int32()), b.column("key"), b.column("vec")], names=["task", "node", "key", "vec"])
+
+    def finish(t: pa.Table) -> pa.Table:
+        at, x = t.column("node").to_numpy(), V.matrix(t.column("vec"))
+        keys = np.array(t.column("key").to_pylist())
+        leaf, n = np.empty(len(x), np.int64), 0
+        for i in np.unique(at):
+            here = np.nonzero(at == i)[0]
+            leaf[here] = bisect(x[here], limit) + n
+            n = int(leaf[here].max()) + 1
+        order = np.lexsort((keys, leaf))
+        first = np.searchsorted(leaf[order], np.arange(n))
+        name = keys[order[first]]
         at = t.column("key").type
-        return pa.table({"key": pa.array(out_k, at), "label": pa.array(out_l, at), "crowded": pa.array(out_c, pa.bool_()), "seen": pa.array(out_n, pa.int32())})
+        return pa.table({"key": t.column("key"), "leaf": pa.array(name[leaf].tolist(), at), "seen": pa.array(np.bincount(leaf, minlength=n)[leaf], pa.int64())})
 
-    links = stored(sliced.groupBy("cell", "slice").applyInArrow(work, LINKS.format(kind=kind)), "links")
-    if not leaders:
-        return links, None
-    left = stored(links.where("crowded").select("key").distinct(), "left")
-    return links, rows.join(_small(left), "key", "left_semi")
+    routed = rows.mapInArrow(route, f"task int, node int, key {kind}, vec array<float>")
+    out = routed.where(F.col("task") >= 0).groupBy("task").applyInArrow(finish, f"key {kind}, leaf {kind}, seen bigint")
+    if compact:
+        whole = routed.where(F.col("task") < 0).select("node", "key")
+        names = whole.groupBy("node").agg(F.min("key").alias("leaf"), F.count(F.lit(1)).alias("seen"))
+        out = out.unionByName(whole.join(F.broadcast(names), "node").select("key", "leaf", "seen"))  # one row a node
+    return stored(out, "leaves")
 
 
 def _small(keys: DataFrame, most: int = 100_000) -> DataFrame:
@@ -208,29 +257,6 @@ def _small(keys: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
-def _map(d: dict[int, int]):
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>"))
-
-
-def _leaders(hot: DataFrame, kind: str) -> dict[int, tuple[list, np.ndarray]]:
-    """The ``LEADERS`` rows of each crowded cell with the smallest hash: each task keeps its own, then the rest is dropped."""
-
-    def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}
-        for pdf in batches:
-            for c, part in pdf.groupby("cell"):
-                both = pd.concat([best[c], part]) if c in best else part
-                best[c] = both.nsmallest(LEADERS, "h")
-        yield from best.values()
-
-    rows = hot.select("cell", "h", "key", "vec").mapInPandas(few, f"cell int, h bigint, key {kind}, vec array<float>").toPandas()
-    out = {}
-    for c, part in rows.groupby("cell"):
-        part = part.nsmallest(LEADERS, "h")
-        out[int(c)] = (part["key"].tolist(), np.stack(part["vec"].to_numpy()).astype(np.float32))
-    return out
-
-
 def _merge(links: DataFrame) -> DataFrame:
     """``key, label``: the smallest label reachable through shared keys and labels."""
     state = cut(links.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_")).select("key", "label", F.col("label").alias("low")))
@@ -380,32 +406,27 @@ def units(items: DataFrame, key: str = "key") -> DataFrame:
     return stored(items.select(F.col(key).alias("key"), "vec").mapInArrow(work, f"key {kind}, vec array<float>"), "units")
 
 
-def assign(rows: DataFrame, limit: float = 0.75) -> DataFrame:
+def assign(leaves: DataFrame, rows: DataFrame, limit: float = 0.75) -> DataFrame:
     """``key, cluster, seen`` of every row that is in a cluster of two or more; ``cluster`` is its smallest key.
 
-    ``seen`` is the largest group around the item that one task found to be mutually
-    within the limit; where it equals the cluster's size the cluster is confirmed already.
-
-    ``rows`` are ``units``: unique keys, vectors of unit length. Rows without any other
-    within the limit are in no cluster. No row is dropped for reasons of size, and no link between clusters: see ``_across``.
+    ``leaves`` are those of ``divide``, joined where a split tore them. ``seen`` is the size
+    of the row's leaf; where it equals the cluster's, the cluster is confirmed already. Rows
+    without any other within the limit are in no cluster.
     """
-    kind = dict(rows.dtypes)["key"]
-    links, seen, rest, depth = [], [], rows, 0
-    while rest is not None:
-        found, left = _level(rest, kind, limit, depth, paired=depth >= 2)
-        pairs = found.where(F.col("key") != F.col("label")).select("key", "label")
-        links.append(pairs.unionByName(pairs.select(F.col("label").alias("key"), "label").distinct()))
-        seen.append(found.select("key", "seen"))
-        rest, depth = stored(left, "crowded") if left is not None else None, depth + 1
-    merged = cut(_merge(reduce(DataFrame.unionByName, links)))
+    merged = leaves.where(F.col("seen") > 1).select("key", F.col("leaf").alias("label"))
     across = _across(merged, rows, limit)
     if across is not None:
         wider = cut(_merge(across))
         lone = wider.join(merged.select("key"), "key", "left_anti")
         moved = merged.join(wider.select(F.col("key").alias("label"), F.col("label").alias("to")), "label", "left")
         merged = moved.select("key", F.coalesce("to", "label").alias("label")).unionByName(lone)
-    best = reduce(DataFrame.unionByName, seen).groupBy("key").agg(F.max("seen").alias("seen"))
-    return merged.join(best, "key", "left").select("key", F.col("label").alias("cluster"), F.coalesce("seen", F.lit(0)).alias("seen"))
+    return merged.join(leaves.select("key", "seen"), "key").select("key", F.col("label").alias("cluster"), "seen")
+
+
+def divided(leaves: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """``key, cluster`` of every row: its confirmed cluster, or else its leaf, which is one by itself."""
+    both = leaves.select("key", "leaf").join(confirmed.select("key", "cluster"), "key", "left")
+    return both.select("key", F.coalesce("cluster", "leaf").alias("cluster"))
 
 
 def confirm(assigned: DataFrame, rows: DataFrame, limit: float = 0.75) -> DataFrame:

@@ -1,13 +1,18 @@
 """The most similar vectors of every vector.
 
-An inverted file of coarse centroids with product-quantised residuals. Coarse
-centroids and codebooks are fitted on a bounded sample; every vector is put into its
-list and coded. Lists that lie together form shards of bounded size. A vector asks the
-shards that hold its nearest lists. There asymmetric distances, the query as it is
-against decoded codes, choose candidates, and these are ranked by their exact cosine.
-The sums of table entries that make up an asymmetric distance are evaluated as one
+An inverted file of coarse centroids with product-quantised residuals. Coarse centroids
+and codebooks are fitted on a bounded sample; every vector is put into the list of its
+nearest centroid and coded. There are about twice as many lists as the square root of
+the vectors. A query visits the lists of its nearest centroids and no others: asymmetric
+distances, the query as it is against decoded codes, choose candidates among their rows,
+and these are ranked by their exact cosine. A pair that either side finds counts for
+both. The sums of table entries that make up an asymmetric distance are evaluated as one
 matrix product of queries with decoded codes; the figures are the same and processors
 are much faster at it than at looking up 32 table entries for each pair.
+
+Lists that lie together share a bin, which is what one task holds; a list above a bin's
+size is spread over several. A row travels once to its own bin, and once to each other
+bin of which it asks a list.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -25,10 +30,30 @@ from ..session import stored
 from . import partition
 
 SUBSPACES, CODEWORDS = 32, 256
-#: Rows of a shard at most, and queries that meet them in one task at most.
-SHARD, QUERIES = 32_768, 32_768
-#: Candidates kept by asymmetric distance for each query and shard.
-CANDIDATES = 256
+#: Vectors that fitting looks at: at least so many, eight for each list, and at most so many.
+SAMPLE, MOST_SAMPLE = 16_384, 131_072
+#: Rows of a bin, and queries that meet them in one task at most.
+BIN, QUERIES = 8192, 32_768
+#: Lists that a query visits.
+PROBES = 36
+#: Rows kept by asymmetric distance for each query and bin.
+CANDIDATES = 128
+
+
+def coarse_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """``k`` unit centroids by k-means; those that stay empty start anew. In an order in which neighbours lie together."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        near = np.concatenate([(x[i : i + 8192] @ c.T).argmax(1) for i in range(0, len(x), 8192)])
+        order = np.argsort(near, kind="stable")
+        at = np.searchsorted(near[order], np.arange(k))
+        sums = np.add.reduceat(x[order], np.minimum(at, len(x) - 1), 0)
+        empty = np.bincount(near, minlength=k) == 0
+        sums[empty] = x[rng.choice(len(x), int(empty.sum()))]
+        c = V.unit(sums)
+    leaves, _ = partition.bisect(c, k, least=2)
+    return c[np.concatenate(leaves)]
 
 
 def codebooks(residuals: np.ndarray, rounds: int = 6, seed: int = 7) -> np.ndarray:
@@ -64,128 +89,170 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.concatenate([books[m][codes[:, m]] for m in range(SUBSPACES)], 1)
 
 
-def nearest(items: DataFrame, key: str = "key", k: int = 5, probes: float = 0.05, lists: int | None = None) -> DataFrame:
+class Index:
+    """Centroids, codebooks and the lists that each vector is in and asks."""
+
+    def __init__(self, rows: DataFrame, n: int, lists: int | None, probes: int):
+        lists = lists or max(1, int(2 * math.sqrt(n)))
+        fit = partition.sample(rows, "key", min(MOST_SAMPLE, max(SAMPLE, 8 * lists)))
+        lists = max(1, min(lists, len(fit) // 4))
+        self.coarse = coarse = coarse_centroids(fit, lists)
+        self.books = books = codebooks(fit - coarse[(fit @ coarse.T).argmax(1)])
+        ask = min(probes, lists)
+        kind = dict(rows.dtypes)["key"]
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = V.unit(V.matrix(b.column("vec")))
+                s = x @ coarse.T
+                home = s.argmax(1)
+                near = np.sort(np.argpartition(-s, ask - 1, 1)[:, :ask], 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("key"), V.lists(x), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in encode(x - coarse[home], books)], pa.binary()),
+                     pa.array([r.tobytes() for r in near], pa.binary())],
+                    names=["key", "vec", "list", "codes", "asks"],
+                )
+
+        self.placed = stored(rows.mapInArrow(place, f"key {kind}, vec array<float>, list int, codes binary, asks binary"), "ivf")
+        self.sizes = np.zeros(lists, np.int64)
+        for r in self.placed.groupBy("list").count().collect():  # one row a list
+            self.sizes[r["list"]] = r["count"]
+
+    def asked(self) -> np.ndarray:
+        """How many queries ask each list."""
+        lists = len(self.coarse)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(lists, np.int64)
+            for b in batches:
+                n += np.bincount(np.frombuffer(b"".join(b.column("asks").to_pylist()), np.int32), minlength=lists)
+            yield pa.RecordBatch.from_arrays([pa.array(range(lists), pa.int32()), pa.array(n)], names=["list", "n"])
+
+        out = np.zeros(lists, np.int64)
+        for r in self.placed.select("asks").mapInArrow(count, "list int, n bigint").groupBy("list").agg(F.sum("n").alias("n")).collect():
+            out[r["list"]] = r["n"]
+        return out
+
+    def scored_share(self) -> float:
+        """The share of all pairs that is scored at all."""
+        n = self.sizes.sum()
+        return float((self.asked() * self.sizes).sum() / n / n)
+
+
+def nearest(items: DataFrame, key: str = "key", k: int = 5, probes: int = PROBES, lists: int | None = None) -> DataFrame:
     """``key, other, rank, cosine``: the ``k`` most similar others of each item.
 
     ``items`` has unique keys and usable vectors ``vec`` of one length, a multiple of 32.
-    ``probes`` is the share of lists that a query asks; a share of neighbours is missed,
-    see the README for what was measured. Ties by key. A list that holds a third of all
-    rows is spread over several shards; fewer than two items give no rows.
+    ``probes`` is the number of lists that a query asks; a share of neighbours is missed,
+    see the README for what was measured. Ties by key. Fewer than two items give no rows.
     """
     spark = items.sparkSession
     rows = items.select(F.col(key).alias("key"), F.col("vec").alias("vec"))
     kind = dict(rows.dtypes)["key"]
     n = rows.count()
-    fit = partition.sample(rows, "key")
     if n < 2:
         return spark.createDataFrame([], f"key {kind}, other {kind}, rank int, cosine double")
-    leaves, _ = partition.bisect(fit, lists or max(1, min(1024, int(math.sqrt(n)))))
-    coarse = partition.centres(fit, leaves)
-    books = codebooks(fit - coarse[(fit @ coarse.T).argmax(1)])
-    ask = max(1, math.ceil(probes * len(coarse)))
+    index = Index(rows, n, lists, probes)
+    coarse, books, sizes = index.coarse, index.books, index.sizes
+    # Bins in the order of the lists; a list above a bin's size takes several of its own.
+    first, parts, b, room = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, BIN
+    for c, m in enumerate(sizes):
+        if m > room and room < BIN:
+            b, room = b + 1, BIN
+        first[c], parts[c] = b, max(1, -(-m // BIN))
+        b, room = (b + parts[c], BIN) if parts[c] > 1 else (b, room - m)
+    bins = int(b + 1)
+    of_list = np.zeros((len(sizes), bins), bool)
+    for c in range(len(sizes)):
+        of_list[c, first[c] : first[c] + parts[c]] = True
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wanted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        asks = np.frombuffer(b"".join(b.column("asks").to_pylist()), np.int32).reshape(b.num_rows, -1)
+        want = np.zeros((b.num_rows, bins), bool)
+        for j in range(asks.shape[1]):
+            want |= of_list[asks[:, j]]
+        return asks, want
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(bins, np.int64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = V.unit(V.matrix(b.column("vec")))
-            s = x @ coarse.T
-            home = s.argmax(1)
-            codes = encode(x - coarse[home], books)
-            near = np.argpartition(-s, ask - 1, 1)[:, :ask] if ask < len(coarse) else np.tile(np.arange(len(coarse)), (len(x), 1))
-            bits = np.zeros((len(x), len(coarse)), bool)
-            np.put_along_axis(bits, near, True, 1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), V.lists(x), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()),
-                 pa.array([r.tobytes() for r in np.packbits(bits, 1)], pa.binary())],
-                names=["key", "vec", "list", "codes", "asks"],
-            )
+            n += wanted(b)[1].sum(0) if b.num_rows else 0
+        yield pa.RecordBatch.from_arrays([pa.array(range(bins), pa.int32()), pa.array(n)], names=["bin", "n"])
 
-    placed = stored(rows.mapInArrow(place, f"key {kind}, vec array<float>, list int, codes binary, asks binary"), "ivf")
-    sizes = dict(placed.groupBy("list").count().collect())  # one row a list, at most 1024
-    # Shards in tree order; a list above the limit takes several shards of its own.
-    first, parts, shard, room = {}, {}, 0, SHARD
-    for c in range(len(coarse)):
-        m = sizes.get(c, 0)
-        if m > room and room < SHARD:
-            shard, room = shard + 1, SHARD
-        first[c], parts[c] = shard, max(1, math.ceil(m / SHARD))
-        if parts[c] > 1:
-            shard, room = shard + parts[c], SHARD
-        else:
-            room -= m
-    shards = shard + 1
-    of_list = np.zeros((len(coarse), shards), bool)
-    for c in range(len(coarse)):
-        of_list[c, first[c] : first[c] + parts[c]] = True
-    starts, spread = np.array([first[c] for c in range(len(coarse))]), np.array([parts[c] for c in range(len(coarse))])
+    asking = dict(index.placed.select("asks").mapInArrow(load, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect())  # one row a bin
+    blocks = np.array([max(1, math.ceil(asking.get(i, 0) / QUERIES)) for i in range(bins)])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            bits = np.frombuffer(b"".join(b.column("asks").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            asks = np.unpackbits(bits, axis=1, count=len(coarse)).astype(np.float32)
-            want = asks @ of_list.astype(np.float32) > 0
-            home = b.column("list").to_numpy()
-            mine = starts[home] + (b.column("h").to_numpy() % spread[home])
+            home, h = b.column("list").to_numpy(), b.column("h").to_numpy()
+            mine = first[home] + h % parts[home]
+            asks, want = wanted(b)
+            # A query goes to one block of each bin it asks, a row of the bin to all.
             i, s = np.nonzero(want)
+            block = h[i] // 7 % blocks[s]
+            j = np.repeat(np.arange(len(home)), blocks[mine])
+            all_ = np.concatenate([np.arange(x) for x in blocks[mine]])
+            both = np.unique(np.stack([np.concatenate([i, j]), np.concatenate([s, mine[j]]), np.concatenate([block, all_])]), axis=1)
+            i, s, block = both
+            here = s == mine[i]
+            query = want[i, s] & (block == h[i] // 7 % blocks[s])
+            take = pa.array(i)
+            codes = b.column("codes").take(take)
             yield pa.RecordBatch.from_arrays(
-                [b.column("key").take(pa.array(i)), pa.array(s, pa.int32()), pa.array(s == mine[i])], names=["key", "shard", "here"]
-            )
-            own = np.nonzero(~want[np.arange(len(mine)), mine])[0]
-            if len(own):
-                raise AssertionError("an item always asks the shard it lies in")
-
-    hashed = placed.withColumn("h", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)).cast("int"))
-    table = stored(hashed.select("key", "list", "asks", "h").mapInArrow(route, f"key {kind}, shard int, here boolean"), "asks")
-    load = dict(table.groupBy("shard").count().collect())  # one row a shard
-    blocks = np.array([max(1, math.ceil(load.get(s, 0) / QUERIES)) for s in range(shards)])
-    n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("shard") + 1)
-    mine = F.pmod(F.xxhash64("key", F.lit(5)), F.col("nb")).cast("int")
-    tasks = table.withColumn("nb", n_blocks).withColumn("mine", mine)
-    where = F.when(F.col("here"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("mine"))
-    tasks = tasks.select("key", "shard", "here", "mine", F.explode(where).alias("block"))
-    fed = tasks.select("key", "shard", "block", "here", (F.col("mine") == F.col("block")).alias("query")).join(placed.select("key", "vec", "list", "codes"), "key")
+                [pa.array(s, pa.int32()), pa.array(block, pa.int32()), b.column("key").take(take), b.column("vec").take(take), b.column("list").take(take),
+                 pa.array(here), pa.array(query), pa.array([c if k else None for c, k in zip(codes.to_pylist(), here)], pa.binary()), b.column("asks").take(take)],
+                names=["bin", "block", "key", "vec", "list", "here", "query", "codes", "asks"],
+            )
 
     def search(t: pa.Table) -> pa.Table:
         keys = np.array(t.column("key").to_pylist())
         x = V.matrix(t.column("vec"))
-        here, query = t.column("here").to_numpy(), t.column("query").to_numpy()
-        members, asking = np.nonzero(here)[0], np.nonzero(query)[0]
+        home, here, query = t.column("list").to_numpy(), t.column("here").to_numpy(), t.column("query").to_numpy()
         out = []
+        members = np.nonzero(here)[0]
+        members = members[np.argsort(home[members], kind="stable")]
         if len(members):
-            own = t.filter(pa.array(here))
-            codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(len(members), -1)
-            approx = coarse[own.column("list").to_numpy()] + decode(codes, books)
-            exact = x[members]
+            codes = np.frombuffer(b"".join(t.column("codes").take(pa.array(members)).to_pylist()), np.uint8).reshape(len(members), -1)
+            approx = coarse[home[members]] + decode(codes, books)
+            held, begin = np.unique(home[members], return_index=True)
+            ends = np.append(begin[1:], len(members))
+            asking = np.nonzero(query)[0]
+            asks = np.frombuffer(b"".join(t.column("asks").take(pa.array(asking)).to_pylist()), np.int32).reshape(len(asking), -1)
+            visits = np.zeros((len(asking), len(coarse)), bool)
+            np.put_along_axis(visits, asks, True, 1)
             take = min(CANDIDATES, len(members))
             for i in range(0, len(asking), 512):
                 q = asking[i : i + 512]
-                s = x[q] @ approx.T
-                if len(members) <= 8 * take:
-                    r, c = np.nonzero(np.ones_like(s, bool))
-                else:
-                    # The bound comes from every eighth column; it keeps about CANDIDATES of them all.
-                    some = s[:, ::8]
-                    bound = np.partition(some, some.shape[1] - max(1, take // 8 - 1), 1)[:, some.shape[1] - max(1, take // 8 - 1)]
-                    r, c = np.nonzero(s >= bound[:, None])
-                keep = members[c] != q[r]
+                s = np.full((len(q), len(members)), -np.inf, np.float32)
+                for c, u, v in zip(held, begin, ends):
+                    r = np.nonzero(visits[i : i + 512, c])[0]
+                    if len(r):
+                        s[r, u:v] = x[q[r]] @ approx[u:v].T
+                best = np.argpartition(-s, take - 1, 1)[:, :take]
+                r, c = np.repeat(np.arange(len(q)), take), best.ravel()
+                keep = np.isfinite(s[r, c]) & (members[c] != q[r])
                 r, c = r[keep], c[keep]
-                cos = np.einsum("ij,ij->i", x[q[r]].astype(np.float64), exact[c].astype(np.float64))
+                cos = np.einsum("ij,ij->i", x[q[r]].astype(np.float64), x[members[c]].astype(np.float64))
                 order = np.lexsort((keys[members[c]], -cos, r))
                 r, c, cos = r[order], c[order], cos[order]
-                begin = np.searchsorted(r, r)
-                best = np.arange(len(r)) - begin < k
-                out.append((keys[q[r[best]]], keys[members[c[best]]], cos[best]))
+                top = np.arange(len(r)) - np.searchsorted(r, r) < k
+                out.append((keys[q[r[top]]], keys[members[c[top]]], cos[top]))
         cat = lambda j: np.concatenate([o[j] for o in out]) if out else np.array([])
         kinds = t.column("key").type
         return pa.table({"key": pa.array(cat(0).tolist(), kinds), "other": pa.array(cat(1).tolist(), kinds), "cosine": pa.array(cat(2), pa.float64())})
 
-    found = fed.groupBy("shard", "block").applyInArrow(search, f"key {kind}, other {kind}, cosine double")
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other"))), 1, k)
-    # At most k rows a shard come together for each key.
-    return found.groupBy("key").agg(top.alias("top")).select("key", F.posexplode("top").alias("rank", "t")).select(
+    hashed = index.placed.withColumn("h", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)))
+    sent = hashed.mapInArrow(route, f"bin int, block int, key {kind}, vec array<float>, list int, here boolean, query boolean, codes binary, asks binary")
+    found = stored(sent.groupBy("bin", "block").applyInArrow(search, f"key {kind}, other {kind}, cosine double"), "found")
+    # Found by either side; a pair comes twice at most, so 2k rows hold the best k.
+    both = found.unionByName(found.select(F.col("other").alias("key"), F.col("key").alias("other"), "cosine"))
+    ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= 2 * k)
+    top = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "other"))), 1, k)
+    return ranked.groupBy("key").agg(top.alias("top")).select("key", F.posexplode("top").alias("rank", "t")).select(
         "key", F.col("t.other").alias("other"), F.col("rank") + 1, (-F.col("t.c")).alias("cosine")
     ).toDF("key", "other", "rank", "cosine")
 

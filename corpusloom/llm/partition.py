@@ -42,26 +42,18 @@ def dispersion(x: np.ndarray) -> float:
     return float(len(x) - np.linalg.norm(x.sum(0)))
 
 
-def compact(x: np.ndarray, limit: float, look: int = 512) -> bool:
-    """No two rows with a cosine below ``limit``, by up to ``look`` of them."""
-    y = x[:: max(1, len(x) // look)]
-    return bool((y @ y.T).min() >= limit)
+def bisect(x: np.ndarray, most: int, least: int = 8) -> tuple[list[np.ndarray], list[float]]:
+    """Leaves of bisecting k-means as row numbers, and the dispersion of each.
 
-
-def bisect(x: np.ndarray, most: int, limit: float | None = None, least: int = 8) -> tuple[list[np.ndarray], list[bool]]:
-    """Leaves of bisecting k-means as row numbers, and which of them are compact.
-
-    The node of largest dispersion is split until there are ``most`` leaves. A node
-    that is compact by ``limit`` is never split, nor one with fewer than ``least`` rows.
-    Neighbouring leaves in the list are neighbours in the tree.
+    The node of largest dispersion is split until there are ``most`` leaves; a node with
+    fewer than ``least`` rows is not. Neighbouring leaves in the list are neighbours in
+    the tree.
     """
-    order, done, heap = {(): np.arange(len(x))}, {}, []
+    order, heap = {(): np.arange(len(x))}, []
 
     def offer(path):
-        rows = order[path]
-        done[path] = limit is not None and compact(x[rows], limit)
-        if not done[path] and len(rows) >= least:
-            heapq.heappush(heap, (-dispersion(x[rows]), path))
+        if len(order[path]) >= least:
+            heapq.heappush(heap, (-dispersion(x[order[path]]), path))
 
     if len(x):
         offer(())
@@ -71,13 +63,9 @@ def bisect(x: np.ndarray, most: int, limit: float | None = None, least: int = 8)
         half = two_means(x[rows])
         if half.all() or not half.any():
             continue
-        del order[path], done[path]
+        del order[path]
         for side, mask in ((0, ~half), (1, half)):
             order[(*path, side)] = rows[mask]
             offer((*path, side))
-    paths = sorted(order) if len(x) else []
-    return [order[p] for p in paths], [done[p] for p in paths]
-
-
-def centres(x: np.ndarray, leaves: list[np.ndarray]) -> np.ndarray:
-    return np.stack([V.unit(x[rows].mean(0, keepdims=True))[0] for rows in leaves])
+    leaves = [order[p] for p in sorted(order)] if len(x) else []
+    return leaves, [dispersion(x[rows]) for rows in leaves]

@@ -66,9 +66,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("key", "other").alias("a_key"), F.greatest("key", "other").alias("b_key")).distinct()
 
 
-def _p5(spark, d) -> tuple[DataFrame, DataFrame]:
+def _p5(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = clusters.units(_vectors(spark, d, "paragraph"))
-    return clusters.confirm(stored(clusters.assign(rows), "clusters"), rows), rows
+    leaves = clusters.divide(rows)
+    return clusters.confirm(stored(clusters.assign(leaves, rows), "clusters"), rows), leaves, rows
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,8 +78,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
-    found, rows = _p5(spark, d)
-    return clusters.describe(stored(found.join(rows, "key"), "members"), DIM)
+    """All usable vectors, each in one cluster; those with no other within the limit are clusters of one."""
+    found, leaves, rows = _p5(spark, d)
+    return clusters.describe(stored(clusters.divided(leaves, found).join(rows, "key"), "members"), DIM)
 
 
 def _texts(spark, d) -> DataFrame:

@@ -9,9 +9,11 @@ def frame(spark, x, keys=None):
     return spark.createDataFrame([(k, v.tolist(), 0) for k, v in zip(keys, x)], "key string, vec array<float>, cell int")
 
 
-def found(spark, x):
+def found(spark, x, node=100):
+    """Nodes above ``node`` rows are split by passes over all rows, smaller ones in a task."""
     rows = clusters.units(frame(spark, x))
-    return clusters.confirm(clusters.assign(rows).cache(), rows), rows
+    leaves = clusters.divide(rows, node=node)
+    return clusters.confirm(clusters.assign(leaves, rows).cache(), rows), rows
 
 
 def blobs(rng, sizes, dim=32, noise=0.04):
@@ -40,8 +42,9 @@ def components(x, limit):
 @pytest.fixture
 def small_cells(monkeypatch):
     monkeypatch.setattr(clusters, "CELL", 120)
-    monkeypatch.setattr(clusters, "LEADERS", 12)
-    monkeypatch.setattr(clusters, "AIM", 60)
+    monkeypatch.setattr(clusters, "HELD", 32)
+    monkeypatch.setattr(clusters, "WAVE", 3)
+    monkeypatch.setattr(clusters, "SEEDS", 8)
 
 
 def test_clusters_equal_components(spark, small_cells):
@@ -86,19 +89,57 @@ def test_bisect_splits_what_is_not_compact():
     rng = np.random.default_rng(3)
     x = blobs(rng, [50, 50, 50])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    leaves, tight = partition.bisect(x, 100, 0.75, least=2)
-    assert sorted(len(l) for l in leaves) == [50, 50, 50] and all(tight)
+    leaves, spread = partition.bisect(x, 3, least=2)
+    assert sorted(len(l) for l in leaves) == [50, 50, 50] and max(spread) < 5
     assert partition.bisect(x[:0], 5) == ([], [])
+    y = np.vstack([x, rng.normal(size=(300, 32))]).astype(np.float32)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    leaf = clusters.bisect(y, 0.75)
+    close = y @ y.T
+    assert all(close[np.ix_(leaf == i, leaf == i)].min() >= 0.75 for i in np.unique(leaf))
+    assert sorted(np.bincount(leaf))[-3:] == [50, 50, 50]
+    assert len(clusters.bisect(y[:0], 0.75)) == 0
+
+
+@pytest.mark.parametrize("wave", [1, 512])
+def test_the_tree_holds_every_row(spark, monkeypatch, wave):
+    monkeypatch.setattr(clusters, "WAVE", wave)
+    rng = np.random.default_rng(6)
+    x = np.vstack([blobs(rng, [500, 90]), rng.normal(size=(400, 32)).astype(np.float32)])
+    rows = clusters.units(frame(spark, x))
+    tree, counts, compact = clusters.grow(rows, 0.75, len(x), 100)
+    child, _, _ = tree.frozen()
+    ends = {i for i in range(len(child)) if child[i, 0] < 0}
+    assert set(counts) == ends and sum(counts.values()) == len(x)
+    assert all(n <= 100 for i, n in counts.items() if i not in compact)
+    leaves = {r["key"]: (r["leaf"], r["seen"]) for r in clusters.divide(rows, node=100).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups = {}
+    for k, (leaf, _) in leaves.items():
+        groups.setdefault(leaf, []).append(int(k[1:]))
+    assert len(leaves) == len(x)
+    assert all(len(g) == leaves[k][1] and int(k[1:]) == min(g) and (u[g] @ u[g].T).min() >= 0.7499 for k, g in groups.items())
+
 
+def test_every_row_is_in_a_cluster(spark):
+    angle = np.radians([0, 35, 70, 200, 205, 300])
+    x = np.zeros((6, 32), np.float32)
+    x[:, 0], x[:, 1] = np.cos(angle), np.sin(angle)
+    rows = clusters.units(frame(spark, x))
+    leaves = clusters.divide(rows)
+    all_ = clusters.divided(leaves, clusters.confirm(clusters.assign(leaves, rows), rows))
+    sizes = sorted(r["size"] for r in clusters.describe(all_.join(rows, "key"), 32).collect())
+    assert sum(sizes) == 6 and sizes in ([1, 1, 2, 2], [1, 1, 1, 1, 2])
 
-@pytest.mark.parametrize("shard", [150, 32_768])
-def test_neighbours_recall(spark, monkeypatch, shard):
-    monkeypatch.setattr(neighbours, "SHARD", shard)
+
+@pytest.mark.parametrize("size", [150, 8192])
+def test_neighbours_recall(spark, monkeypatch, size):
+    monkeypatch.setattr(neighbours, "BIN", size)
     monkeypatch.setattr(neighbours, "QUERIES", 300)
     rng = np.random.default_rng(4)
     x = np.vstack([blobs(rng, [300, 60, 40], dim=64, noise=0.1), rng.normal(size=(400, 64)).astype(np.float32)])
     got = {}
-    for r in neighbours.nearest(frame(spark, x), probes=0.5).collect():
+    for r in neighbours.nearest(frame(spark, x)).collect():
         got.setdefault(r["key"], []).append((r["rank"], r["other"], r["cosine"]))
     assert all(sorted(a for a, _, _ in v) == [1, 2, 3, 4, 5] for v in got.values()) and len(got) == len(x)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -108,6 +149,22 @@ def test_neighbours_recall(spark, monkeypatch, shard):
     assert all(k not in {o for _, o, _ in v} for k, v in got.items())
 
 
+def test_neighbours_where_few_rows_are_scored(spark, monkeypatch):
+    """Families and loosely structured vectors at the shipped number of lists asked."""
+    monkeypatch.setattr(neighbours, "BIN", 1000)
+    rng = np.random.default_rng(14)
+    x = np.vstack([blobs(rng, [3000, *[12] * 700], dim=64, noise=0.08), rng.normal(size=(600, 64)).astype(np.float32) @ np.diag(0.97 ** np.arange(64))]).astype(np.float32)
+    rows = clusters.units(frame(spark, x))
+    assert neighbours.Index(rows, len(x), 400, neighbours.PROBES).scored_share() < 0.15
+    got = {}
+    for r in neighbours.nearest(rows, lists=400).collect():
+        got.setdefault(int(r["key"][1:]), set()).add(int(r["other"][1:]))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    some = np.concatenate([np.arange(0, 3000, 10), np.arange(3000, len(x), 25)])
+    exact = neighbours.brute_force(u, some)
+    assert sum(len(set(e) & got[i]) for i, e in zip(some, exact)) / exact.size >= 0.9
+
+
 def test_neighbours_of_few(spark):
     x = np.eye(32, dtype=np.float32)
     assert neighbours.nearest(frame(spark, x[:0])).count() == 0
@@ -149,13 +206,7 @@ def outsider(rng, x, r, low=0.77, high=0.8):
     raise AssertionError
 
 
-@pytest.fixture
-def small_sample(monkeypatch):
-    real = partition.sample
-    monkeypatch.setattr(partition, "sample", lambda items, key: real(items, key, 200))
-
-
-def test_an_outsider_of_one_member_in_another_slice(spark, small_cells, small_sample):
+def test_an_outsider_of_one_member_in_another_slice(spark, small_cells):
     rng = np.random.default_rng(11)
     parts = []
     for _ in range(6):
@@ -167,8 +218,7 @@ def test_an_outsider_of_one_member_in_another_slice(spark, small_cells, small_sa
     assert {r["key"]: r["cluster"] for r in found(spark, x)[0].collect()} == exact(x) == {}
 
 
-def test_links_between_rows_that_share_no_cell(spark, small_cells, small_sample, monkeypatch):
-    monkeypatch.setattr(clusters, "AIM", 10)
+def test_links_between_rows_that_share_no_cell(spark, small_cells):
     rng = np.random.default_rng(12)
     lone = rng.normal(size=(1500, 64))
     lone /= np.linalg.norm(lone, axis=1, keepdims=True)
