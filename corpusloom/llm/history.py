@@ -55,8 +55,8 @@ MOST_BITS = 100
 FEW, SLICE = 64, 1000
 #: Rows from which a key is crowded, so that its rows are not shuffled; keys that are broadcast for it at most.
 HOT, HOT_KEYS = 100_000, 10_000
-#: Values written into a query, so that it reads only their buckets.
-LITERALS = 2000
+#: Values written into a query, so that it reads only their buckets; rows of a batch that are hashed in one bucket.
+LITERALS, BUILT = 2000, 5_000_000
 
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -170,7 +170,7 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of ``a, b, a_text, b_text`` the pairs that are near by their texts."""
+    """Of ``a, b, old, same, a_text, b_text`` the pairs of the same root, or near by their texts."""
     cache: dict[str, int] = {}
     held: dict[int, np.ndarray] = {}
 
@@ -182,11 +182,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return held[node]
 
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text")]
-        keep = [near(of(p, s), of(q, t)) for p, q, s, t in zip(*cols)]
+        cols = [b.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text", "same")]
+        keep = [same or near(of(p, s), of(q, t)) for p, q, s, t, same in zip(*cols)]
         if len(cache) > 500_000:
             cache.clear()
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield b.select(["a", "b", "old"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _meet(t: pa.Table, own: bool) -> pa.Table:
@@ -302,11 +302,13 @@ class History:
         """``node`` of what was accepted from run ``since`` on."""
         return self.texts().where(F.col("run") >= since).select("node")
 
-    def _near(self, table: DataFrame, column: str, wanted: DataFrame, by: str, n: int) -> DataFrame:
-        """``table`` by itself, or only the buckets of ``wanted`` where these, at most ``n``, are few enough to be named."""
-        if n > LITERALS:
-            return table
-        return table.where(F.col(column).isin([r[0] for r in wanted.select(by).distinct().collect()]))
+    def _near(self, table: DataFrame, column: str, wanted: DataFrame, by: str, few: bool) -> DataFrame:
+        """``table`` by itself, or only the buckets of ``wanted``, if the batch is so small that these can be named."""
+        return table.where(F.col(column).isin([r[0] for r in wanted.select(by).distinct().collect()])) if few else table
+
+    def _built(self, df: DataFrame, n: int) -> DataFrame:
+        """``df`` as the side that is moved and hashed, so that the index streams past unsorted; not if a bucket would hold too many."""
+        return df.hint("shuffle_hash") if n * (TABLES + 1) / self.buckets <= BUILT else df
 
     def _commit(self, run: int, new: DataFrame, taken: DataFrame, blocks: DataFrame) -> DataFrame:
         """Writes a run: texts of ``taken`` and ``blocks`` (``key, node, lead``), and only then the run's own row."""
@@ -343,7 +345,7 @@ class History:
     def _known_of(self, mine: DataFrame, keyed: DataFrame) -> DataFrame:
         """``mine`` joined with what is known of its keys (``n`` rows each). Rows of very crowded keys stay where they lie."""
         hot = keyed.where(F.col("n") > HOT)
-        if len(hot.select("key").limit(HOT_KEYS + 1).collect()) not in range(1, HOT_KEYS + 1):
+        if not 0 < hot.count() <= HOT_KEYS:
             return mine.join(keyed, "key")
         cold = mine.join(F.broadcast(hot.select("key")), "key", "left_anti").join(keyed.where(F.col("n") <= HOT), "key")
         return cold.unionByName(mine.join(F.broadcast(hot), "key"))
@@ -352,59 +354,47 @@ class History:
         """``node`` of the batch's texts that are new, which join the index."""
         run, work, new = self._begin(rows)
         n = new.count()
+        few = n * (TABLES + 1) <= LITERALS
         mine = new.select(F.explode("keys").alias("key"), "node")
-        known = self._near(self.blocks(True), "key", mine, "key", n * (TABLES + 1))
         own = mine.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
-        # The batch's keys are the built side and move to the buckets; the index streams past them.
-        fits = n * (TABLES + 1) / self.buckets <= 5_000_000
-        keyed = work.store((own.hint("shuffle_hash") if fits and n * (TABLES + 1) > LITERALS else own).join(known, "key", "left"))
+        known = self._near(self.blocks(True), "key", mine, "key", few)
+        keyed = work.store(self._built(own, n).join(known, "key", "left"))
         touched = work.store(self._known_of(mine, keyed.where((F.col("n") > 1) | F.col("a").isNotNull())))
 
         pairs = touched.select(F.coalesce("a", "first").alias("a"), F.col("node").alias("b"), F.col("a").isNotNull().alias("old")).where("old or a != b").distinct()
-        pairs = work.store(pairs)
-        # First in all of its keys, with none in the index: new for certain.
-        leaders = new.select("node").join(pairs.select(F.col("b").alias("node")), "node", "left_anti")
-        links = self._verified(work, pairs, new)
-        sure = links.where("old").select("b").unionByName(links.where("not old").join(leaders.select(F.col("node").alias("a")), "a", "left_semi").select("b"))
-        flag = lambda df, c, name: df.select(F.col(c).alias("node")).distinct().withColumn(name, F.lit(True))
-        state = new.select("node").join(flag(pairs, "b", "held"), "node", "left").join(flag(sure, "b", "gone"), "node", "left")
-        state = work.store(state.na.fill(False, ["held", "gone"]))
+        links = self._verified(work, pairs, new, n)
+        # A node first in all of its keys, with none in the index, is new for certain.
+        after = touched.where(F.col("a").isNotNull() | (F.col("first") != F.col("node"))).select("node").distinct().withColumn("held", F.lit(True))
+        state = new.select("node").join(after, "node", "left").na.fill(False, ["held"])
+        leader = state.where("not held").select(F.col("node").alias("a"))
+        sure = links.where("old").select("b").unionByName(links.where("not old").join(leader, "a", "left_semi").select("b"))
+        sure = sure.select(F.col("b").alias("node")).distinct().withColumn("gone", F.lit(True))
+        state = work.store(state.join(sure, "node", "left").na.fill(False, ["gone"]))
         taken, open_ = state.where("not held").select("node"), state.where("held and not gone").select("node")
         if open_.head(1):
-            taken = taken.unionByName(self._undecided(work, work.store(touched.join(open_, "node", "left_semi").select("key", "node", "a")), open_, new))
+            taken = taken.unionByName(self._undecided(work, work.store(touched.join(open_, "node", "left_semi").select("key", "node", "a")), open_, new, n))
 
         clear = keyed.where((F.col("n") == 1) & F.col("a").isNull()).select("key", F.col("first").alias("node")).join(taken, "node", "left_semi")
-        kept = touched.join(taken, "node", "left_semi").select("key", "node", "a", "n")
-        lead = kept.where(F.col("a").isNull()).groupBy("key").agg(F.min("node").alias("node"))
-        tail = kept.join(lead.withColumn("lead", F.lit(True)), ["key", "node"], "left").select("key", "node", F.coalesce("lead", F.lit(False)).alias("lead"))
+        kept = touched.join(taken, "node", "left_semi").select("key", "node", "a")
+        lead = kept.where(F.col("a").isNull()).groupBy("key").agg(F.min("node").alias("_lead"))
+        tail = kept.join(lead, "key", "left").select("key", "node", F.coalesce(F.col("node") == F.col("_lead"), F.lit(False)).alias("lead"))
         out = self._commit(run, new, taken, clear.select("key", "node", F.lit(True).alias("lead")).unionByName(tail))
         remove(self.spark, work.path)
         return out
 
-    def _verified(self, work: _Work, pairs: DataFrame, new: DataFrame) -> DataFrame:
-        """Of ``a, b, old`` the pairs that are alike: signatures first, then the texts of what is left."""
-        side = lambda df, p: df.select(F.col("node").alias(p), F.col("root").alias(f"{p}_root"), *[F.col(s).alias(f"{p}_{s}") for s in SIGNATURE])
+    def _verified(self, work: _Work, pairs: DataFrame, new: DataFrame, n: int) -> DataFrame:
+        """Of ``a, b, old`` the pairs that are alike: equal roots, or signatures within the bound and then texts that are near."""
+        side = lambda df, p: df.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("root", "text", *SIGNATURE)])
         apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SIGNATURE), F.lit(0))
         same = F.col("a_root") == F.col("b_root")
-        left = pairs.join(side(new, "b"), "b")
+        old = self._built(pairs.where("old"), n)
+        hist = self._near(self.texts(), "node", old, "a", n * (TABLES + 1) <= LITERALS)
+        both = old.join(side(hist, "a"), "a").unionByName(pairs.where("not old").join(side(new, "a"), "a")).join(side(new, "b"), "b")
         # Short texts have no signature: the comparison is null, and only the root counts.
-        fit = lambda df: df.where(same | (apart <= MOST_BITS)).select("a", "b", "old", same.alias("same"))
-        n = pairs.count()
-        old = left.where("old")
-        hist = self._near(self.texts(), "node", old, "a", n)
-        close = fit(old.hint("shuffle_hash").join(side(hist, "a"), "a") if n <= HOT * self.buckets else old.join(side(hist, "a"), "a"))
-        close = work.store(close.unionByName(fit(left.where("not old").join(side(new, "a"), "a"))))
-        n = close.count()
-        ask = close.where("not same").join(new.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        old = ask.where("old")
-        hist = self._near(self.texts(), "node", old, "a", n).select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-        both = (old.hint("shuffle_hash") if n <= HOT * self.buckets else old).join(hist, "a")
-        both = both.unionByName(ask.where("not old").join(new.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a"))
-        checked = both.select("a", "b", "a_text", "b_text").mapInArrow(_compare, "a bigint, b bigint")
-        found = close.where("same").select("a", "b").unionByName(checked)
-        return work.store(close.select("a", "b", "old").join(found.distinct(), ["a", "b"]))
-
-    def _undecided(self, work: _Work, held: DataFrame, open_: DataFrame, new: DataFrame) -> DataFrame:
+        both = both.where(same | (apart <= MOST_BITS)).select("a", "b", "old", same.alias("same"), *[F.when(~same, F.col(f"{p}_text")).alias(f"{p}_text") for p in "ab"])
+        return work.store(both.mapInArrow(_compare, "a bigint, b bigint, old boolean"))
+
+    def _undecided(self, work: _Work, held: DataFrame, open_: DataFrame, new: DataFrame, n: int) -> DataFrame:
         """``node`` accepted of ``open_``, whose keys are ``held`` (``key, node, a``).
 
         Rounds of leaders first, while any key is crowded: a node that is first in all its
@@ -416,11 +406,11 @@ class History:
         done: list[DataFrame] = []
         some = held.where(F.col("a").isNotNull()).select("key").distinct()
         # Only keys of nodes still open are looked up among the later nodes of the index.
-        more = work.store(self.blocks(False).join(some.hint("shuffle_hash"), "key", "left_semi"))
+        more = work.store(self.blocks(False).join(self._built(some, n), "key", "left_semi"))
         crowd = lambda: (held.groupBy("key").count().agg(F.max("count")).first()[0] or 0) > FEW
         crowded = crowd()
         if crowded:
-            gone = self._against(work, held, more, new, own=False).select(F.col("b").alias("node")).distinct()
+            gone = self._against(work, held, more, new, n, own=False).select(F.col("b").alias("node")).distinct()
             open_, held, more = work.store(open_.join(gone, "node", "left_anti")), work.store(held.join(gone, "node", "left_anti")), more.limit(0)
         for _ in range(8 if crowded else 0):
             if not crowd():
@@ -430,11 +420,11 @@ class History:
             later = work.store(later.select(F.col("first").alias("a"), F.col("node").alias("b"), F.lit(False).alias("old")).distinct())
             # First in all of its keys: accepted for certain, and compared here with all it shares a key with.
             front = work.store(open_.join(later.select(F.col("b").alias("node")), "node", "left_anti"))
-            links = self._verified(work, later.join(front.select(F.col("node").alias("a")), "a", "left_semi"), new)
+            links = self._verified(work, later.join(front.select(F.col("node").alias("a")), "a", "left_semi"), new, n)
             done.append(front)
             gone = front.unionByName(links.select(F.col("b").alias("node")))
             open_, held = work.store(open_.join(gone, "node", "left_anti")), work.store(held.join(gone, "node", "left_anti"))
-        links = self._against(work, held, more, new)
+        links = self._against(work, held, more, new, n)
         settled = links.where("old").select(F.col("b").alias("node")).distinct()
         taken, same = open_.join(settled, "node", "left_anti"), None
         links = links.where("not old").select("a", "b")
@@ -463,7 +453,7 @@ class History:
             taken = taken.unionByName(d)
         return work.store(taken)
 
-    def _against(self, work: _Work, held: DataFrame, more: DataFrame, new: DataFrame, own: bool = True) -> DataFrame:
+    def _against(self, work: _Work, held: DataFrame, more: DataFrame, new: DataFrame, n: int, own: bool = True) -> DataFrame:
         """Links ``a, b, old`` of the nodes of ``held`` with the later index nodes ``more`` of their keys and, if ``own``, among themselves."""
         mine = held.select("key", "node", F.lit(False).alias("old"))
         both = mine.unionByName(more.select("key", F.col("a").alias("node"), F.lit(True).alias("old")))
@@ -478,7 +468,7 @@ class History:
         if crowded:
             right = right.join(size.where(F.col("n") <= FEW).select("key"), "key", "left_semi")
         pairs = left.join(right, "key").where("old or a < b").select("a", "b", "old").distinct()
-        links = self._verified(work, work.store(pairs), new)
+        links = self._verified(work, pairs, new, n)
         if not crowded:
             return links
         full = size.where(F.col("n") > FEW).groupBy("n", "who").agg(F.min("key").alias("key"))
@@ -487,11 +477,11 @@ class History:
         twos = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
         rows = rows.select("key", "node", "old", "mine", F.explode(twos).alias("t")).select("key", "node", "old", "mine", "t.i", "t.j")
         what = ("node", *SIGNATURE, "text")
-        wide = rows.where("not old").join(new.select(*what), "node").unionByName(rows.where("old").hint("shuffle_hash").join(self.texts().select(*what), "node"))
+        wide = rows.where("not old").join(new.select(*what), "node").unionByName(self._built(rows.where("old"), n).join(self.texts().select(*what), "node"))
         met = wide.where(F.col("s0").isNotNull()).groupBy("key", "i", "j").applyInArrow(lambda t: _meet(t, own), "a bigint, b bigint, old boolean")
         # Equal roots of the index settle a node at once; the batch's own are for the caller.
         roots = both.join(full.select("key").where(F.shiftright("key", BLOCK_BITS) == TABLES), "key")
-        first = roots.where("old").select("node").hint("shuffle_hash").join(self.texts().select("node", "root"), "node").groupBy("root").agg(F.min("node").alias("a"))
+        first = self._built(roots.where("old").select("node"), n).join(self.texts().select("node", "root"), "node").groupBy("root").agg(F.min("node").alias("a"))
         equal = roots.where("not old").select("node").join(new.select("node", "root"), "node").join(first, "root")
         equal = equal.select("a", F.col("node").alias("b"), F.lit(True).alias("old"))
         return work.store(links.unionByName(met.distinct()).unionByName(equal))
