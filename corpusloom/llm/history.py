@@ -234,8 +234,8 @@ class History:
     """The index of all accepted texts, in a folder of its own.
 
     ``ingest`` takes the rows ``id, text`` of one batch, which may be empty, and gives the
-    ``node`` of those that are new: the smallest id of each accepted text. Ids of later
-    batches are not among those of earlier ones, unless the text is the same too. Null ids
+    ``node`` of those that are new: the smallest id of each accepted text. Ids rise with
+    arrival within a batch, and are none of an earlier one unless the text is the same. Null ids
     and null texts count as no row; other columns are not read.
     """
 

@@ -15,20 +15,40 @@ MODEL = "emb-base-v2"
 DIM = 128
 
 
+#: Rows from which p1_found ingests what has arrived. An ingest plans some ten jobs however small it is.
+ARRIVAL = 25_000
+#: Bits of a paragraph id.
+ID_BITS = 44
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Redeliveries are resolved first; rows without a batch belong to the history. Each batch is ingested by itself, as it arrives."""
+    """Redeliveries are resolved first; rows without a batch belong to the history.
+
+    Batches are ingested as they arrive, small ones together with the next: an ingest
+    decides its rows in order of arrival (batch, then id), so the result is the same. Ids
+    of the index say both: the batch in the upper bits, the paragraph's id in the lower.
+    """
     rows = tables.deliveries(tables.table(spark, d, "paragraphs")).where(F.col("text").isNotNull())
-    rows = rows.select("id", "text", F.greatest(F.coalesce("batch", F.lit(0)), F.lit(0)).alias("batch"))
+    batch = F.greatest(F.coalesce("batch", F.lit(0)), F.lit(0)).cast("bigint")
+    fits = F.when(F.col("id").between(0, (1 << ID_BITS) - 1), F.col("id")).otherwise(F.raise_error(F.lit("paragraph id out of range")).cast("bigint"))
+    rows = rows.select((F.shiftleft(batch, ID_BITS) + fits).alias("id"), "text", batch.alias("batch"))
     # One folder a batch, so that the arrival of one reads nothing of the others.
     arrivals = scratch(spark, "arrivals")
     rows.write.partitionBy("batch").parquet(arrivals)
     rows = spark.read.schema(rows.schema).parquet(arrivals)
-    index = history.History.create(spark, scratch(spark, "history"))
-    for b in sorted(r[0] for r in rows.select("batch").distinct().collect()):  # one row a batch
-        batch = rows.where(F.col("batch") == b)
-        index.ingest(batch) if b > 0 else index.accept_all(batch)
-    later = rows.where(F.col("batch") > 0).select(F.col("id").alias("paragraph_id"))
-    found = stored(later.join(index.nodes().withColumnRenamed("node", "paragraph_id"), "paragraph_id", "left_anti"), "p1")
+    waiting: list[int] = []
+    held, index = 0, history.History.create(spark, scratch(spark, "history"))
+    sizes = sorted(rows.groupBy("batch").count().collect())  # one row a batch
+    for b, n in sizes:
+        if b == 0:
+            index.accept_all(rows.where("batch = 0"))
+            continue
+        waiting, held = [*waiting, b], held + n
+        if held >= ARRIVAL or b == sizes[-1][0]:
+            index.ingest(rows.where(F.col("batch").isin(waiting)))
+            waiting, held = [], 0
+    rejected = rows.where(F.col("batch") > 0).select("id").join(index.nodes().withColumnRenamed("node", "id"), "id", "left_anti")
+    found = stored(rejected.select(F.col("id").bitwiseAND((1 << ID_BITS) - 1).alias("paragraph_id")), "p1")
     index.delete()
     remove(spark, arrivals)
     return found
