@@ -1,7 +1,8 @@
 """Records that differ only in formatting, by hashing their structure bottom-up.
 
-A paragraph is a leaf, or a record of ``field: value`` items in some notation:
-lines, bullets, bars, semicolons, JSON. Leaves lose letter case and all but letters
+A paragraph is a leaf, or a record of ``field: value`` items in some notation: a sign,
+a tab, a bar or a dash between field and value; lines, bullets, bars, semicolons, commas,
+slashes, ampersands or full stops between items; tags, attributes or JSON. Leaves lose letter case and all but letters
 and digits. The children of a record have no order, so their digests are sorted
 before the parent is hashed; nested objects are unordered nodes in turn and JSON
 arrays ordered ones. Equal roots make a group, and the canonical forms, compared in
@@ -23,9 +24,26 @@ from ..session import stored
 
 #: Fixed value: from so many items on a paragraph of nothing else is a record.
 LEAST_ITEMS = 4
-_FIELD = re.compile(r"^\W*(?:\d{1,3}[.)]\s+\W*)?(?P<field>[^:=]*[^\W\d_][^:=]*?)\s*(?:=>|:=|[:=])(?P<value>.*[^\W_].*)$", re.S)
 _DROP = re.compile(r"[\W_]+")
-_SPLITS = (re.compile(r"[\n\r|;  ]+"), re.compile(r"[\n\r  ]+"), re.compile(r"\s\|\s|\|"), re.compile(r";"), re.compile(r"\t+"), re.compile(r","))
+_LEAD = r"^\W*?(?:\d{1,3}[.)]\s+\W*?)?"
+#: What stands between a field and its value: signs, a dash, a tab, a bar.
+_FIELDS = tuple(
+    re.compile(_LEAD + field + between + r"(?P<value>.*)$", re.S)
+    for field, between in (
+        (r"(?P<field>[^:=→>]*[^\W\d_][^:=→>]*?)", r"\s*(?:=>|:=|->|→|[:=])"),
+        (r"(?P<field>[^\t]*[^\W\d_][^\t]*)", r"\t+"),
+        (r"\|?(?P<field>[^|]*[^\W\d_][^|]*)", r"\|(?=[^|]*\|?\s*$)"),
+        (r"(?P<field>(?:(?!\s[-–—]\s).)*[^\W\d_](?:(?!\s[-–—]\s).)*?)", r"\s[-–—]\s"),
+    )
+)
+#: What stands between items. A value may hold any sign but the one chosen.
+_LINES = re.compile(r"[\n\r\u2028\u2029\v\f\x85]+")
+_SPLITS = (
+    re.compile(r"[\n\r\u2028\u2029\v\f\x85|;]+"), _LINES, re.compile(r"\|"), re.compile(r";"), re.compile(r"\t+"), re.compile(r","),
+    re.compile(r"&(?:amp;)?"), re.compile(r"\s/\s"), re.compile(r"[•·▪‣]"), re.compile(r"(?<=\S)\.(?=\s|$)"),
+)
+_TAGS = re.compile(r"<(?P<field>[^\W\d_][\w.:-]*)(?:\s[^<>]*)?>(?P<value>[^<>]*)</(?P=field)\s*>")
+_ATTRIBUTES = re.compile(r"(?P<field>[^\W\d_][\w.:-]*)\s*=\s*(?P<quote>[\"'])(?P<value>.*?)(?P=quote)", re.S)
 
 
 def reduce_text(text: str) -> str:
@@ -68,12 +86,34 @@ def _items(text: str) -> list[tuple[str, str]] | None:
         if pairs is not None:
             return [_item(k, _plain(v)) for k, v in pairs]
         bare = bare.rstrip(" ,;.!")[1:-1]
+    if bare.startswith("<"):
+        return _marked_up(bare)
+    signs = any(c in bare for c in ":=→>")
     for split in _SPLITS:
         parts = [p for p in split.split(bare) if _DROP.sub("", p)]
         if len(parts) < LEAST_ITEMS:
             continue
-        found = [_FIELD.match(p) for p in parts]
-        if all(found) and all(len(m["field"].split()) <= 6 for m in found):
+        for i, pattern in enumerate(_FIELDS):
+            # Tabs, bars and dashes part field and value only where each item is a line.
+            if (i == 0 and not signs) or (i > 0 and split is not _LINES):
+                continue
+            found = [m for p in parts if (m := pattern.match(p))]
+            # A field may be left empty, but not most of them.
+            if len(found) == len(parts) and 2 * sum(bool(_DROP.sub("", m["value"])) for m in found) > len(found):
+                return [_item(m["field"], m["value"]) for m in found]
+    return None
+
+
+def _marked_up(bare: str) -> list[tuple[str, str]] | None:
+    """Items of a record in tags, with or without one around all, or in the attributes of one tag."""
+    one = re.fullmatch(r"<\w[\w.:-]*\s+([^<>]*?)/?>(?:\s*</\w[\w.:-]*>)?", bare, re.S)
+    if one:
+        found = list(_ATTRIBUTES.finditer(one[1]))
+        return [_item(m["field"], m["value"]) for m in found] if found and not _ATTRIBUTES.sub("", one[1]).strip() else None
+    around = re.fullmatch(r"<(\w[\w.:-]*)[^<>]*>(.*)</\1\s*>", bare, re.S)
+    for inner in (bare, around[2] if around else ""):
+        found = list(_TAGS.finditer(inner))
+        if found and not _TAGS.sub("", inner).strip():
             return [_item(m["field"], m["value"]) for m in found]
     return None
 
@@ -116,8 +156,9 @@ def with_roots(rows: DataFrame, text: str = "text") -> DataFrame:
     with ``t``, so the two kinds never meet.
     """
     t = F.col(text)
-    marks = F.length(t) - F.length(F.translate(t, ":=", ""))
-    form = rows.withColumn("_form", _record_form(F.when(marks >= LEAST_ITEMS, t)))
+    marks = F.length(t) - F.length(F.translate(t, ":=\t|<→–—", ""))
+    dashes = F.length(t) - F.length(F.replace(t, F.lit(" - "), F.lit("  ")))
+    form = rows.withColumn("_form", _record_form(F.when(marks + dashes >= LEAST_ITEMS, t)))
     leaf = reduced(t)
     return form.withColumns({
         "root": F.when(F.col("_form").isNotNull(), F.concat(F.lit("r"), F.split_part("_form", F.lit(":"), F.lit(1)))).otherwise(
@@ -127,23 +168,36 @@ def with_roots(rows: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_form")
 
 
-def equal_groups(rows: DataFrame, key: str = "id", text: str = "text", salts: int = 8) -> DataFrame:
+#: Rows from which a group is crowded, so that its rows are not shuffled, and groups that are broadcast for it at most.
+HOT, HOT_GROUPS = 100_000, 10_000
+
+
+def equal_groups(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """``key, keep``: every row that shares its form with another, and the smallest key of the group.
 
     ``key`` is unique. Null texts are in no group; texts without any letter or digit
-    all equal one another. Digests find the groups: they are counted before anything
-    wide moves, and only rows of groups of two or more bring their canonical form.
-    Joins back to a group are salted, as one group may hold a third of all rows.
+    all equal one another. Digests find the groups: they are counted where they lie before
+    anything wide moves, and only rows of groups of two or more bring their canonical form.
+    Rows of a group of very many, which may be a third of all, are not shuffled at all.
     """
     formed = with_roots(rows.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")), "text")
     formed = stored(formed.select("key", "root", "canon"), "record-forms")
-    salt = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    twice = formed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("root", spread)
-    held = formed.withColumn("salt", salt).join(twice, ["root", "salt"], "left_semi")
+    twice = stored(formed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "record-groups")
+    hot = twice.where(F.col("n") > HOT).select("root")
+    split = 0 < hot.count() <= HOT_GROUPS
+    if split:
+        mine = formed.join(F.broadcast(hot), "root", "left_semi")
+        held = formed.join(F.broadcast(hot), "root", "left_anti").join(twice.where(F.col("n") <= HOT).select("root"), "root", "left_semi")
+    else:
+        held = formed.join(twice.select("root"), "root", "left_semi")
     # Grouping by the canonical form itself is the full comparison.
-    groups = held.groupBy("root", "canon").agg(F.min("key").alias("keep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return held.join(groups.select("root", "canon", "keep", spread), ["root", "canon", "salt"]).select(F.col("key").alias(key), "keep")
+    group = lambda df: df.groupBy("root", "canon").agg(F.min("key").alias("keep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    out = held.join(group(held), ["root", "canon"]).select(F.col("key").alias(key), "keep")
+    if split:
+        few = stored(group(mine), "crowded-groups")
+        few = F.broadcast(few) if few.count() <= HOT_GROUPS else few
+        out = out.unionByName(mine.join(few, ["root", "canon"]).select(F.col("key").alias(key), "keep"))
+    return out
 
 
 def collapsed(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

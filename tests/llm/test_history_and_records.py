@@ -173,10 +173,29 @@ NOTATIONS = [
     lambda p: "; ".join(f"{k} = {v}" for k, v in p) + ".",
     lambda p: "{" + ", ".join(f'"{k}": "{v}"' for k, v in p) + "}",
     lambda p: "\n".join(f"{i}. {k}: {v}" for i, (k, v) in enumerate(p, 1)),
+    lambda p: "\n".join(f"{k} - {v}" for k, v in p),
+    lambda p: "\n".join(f"{k}\t{v}" for k, v in p),
+    lambda p: "\n".join(f"| {k} | {v} |" for k, v in p),
+    lambda p: "\n".join(f"{k} | {v}" for k, v in p),
+    lambda p: "<row>" + "".join(f"<{k.replace(' ', '_')}>{v}</{k.replace(' ', '_')}>" for k, v in p) + "</row>",
+    lambda p: "<row " + " ".join(f"{k.replace(' ', '_')}='{v}'" for k, v in p) + "/>",
+    lambda p: "&".join(f"{k}={v}" for k, v in p),
+    lambda p: " / ".join(f"{k}: {v}" for k, v in p),
+    lambda p: ". ".join(f"{k}: {v.replace('.', '')}" for k, v in p) + ".",
+    lambda p: "\n".join(f"{k} -> {v}" for k, v in p),
 ]
 PAIRS = [("cost centre", "7509 Ivdumora"), ("status", "late since 2024-03-01"), ("ticket", "AUD-47063"), ("retention", "59 orders"), ("source file", "bran_679.csv")]
 
 
+def test_records_with_empty_values_and_long_fields():
+    a = "Name: Ada\nRoom:\nTeam: Red\nthe place at which she may be found on most days: North"
+    b = "team = red; name = ADA; the place at which she may be found on most days = north; room ="
+    assert records.record_form(a) == records.record_form(b) is not None
+    assert records.record_form("a:\nb:\nc:\nd: x") is None
+    assert records.record_form("We came - and saw - and left - and so on - for long") is None
+    assert records.record_form("<a>1</a> text <b>2</b><c>3</c><d>4</d>") is None
+
+
 @pytest.mark.parametrize("write", NOTATIONS)
 def test_notations_of_a_record_are_equal(write):
     shuffled = PAIRS[:]
