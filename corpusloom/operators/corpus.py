@@ -7,17 +7,22 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..sources.config import Config
 from ..sources.files import read_folder
-from .models import HashEmbedder, embed_missing
+from .models import HashEmbedder, cached_vectors
 from .packing import pack_chunks
 from .split import read_paragraphs
 
 
 class Corpus:
-    """Tables of one set of documents. Vectors are made only when a detector asks for them."""
+    """Tables of one set of documents. Vectors are made only when a detector asks for them.
 
-    def __init__(self, docs: DataFrame, config: Config | None = None, embedder=None, cache: DataFrame | None = None, separator: str = "\n\n"):
+    ``cache`` is the folder of the embedding cache: what it lacks is embedded once and
+    added to it, so a second run over unchanged text asks the embedder for nothing.
+    """
+
+    def __init__(self, docs: DataFrame, config: Config | None = None, embedder=None, cache: str | None = None, separator: str = "\n\n"):
         self.docs, self.config, self.separator = docs, config or Config(), separator
         self.embedder, self.cache = embedder or HashEmbedder(), cache
 
@@ -36,6 +41,13 @@ class Corpus:
     def paragraphs(self) -> DataFrame:
         return read_paragraphs(self.docs, self.separator)
 
+    @cached_property
+    def groups(self) -> DataFrame:
+        """Distinct texts with their counts, which several detectors read: counted once."""
+        from .signals import by_fingerprint
+
+        return stored(by_fingerprint(self.paragraphs), "groups")
+
     @cached_property
     def chunks(self) -> DataFrame:
         return pack_chunks(self.paragraphs, self.config.target_words, self.config.min_words)
@@ -50,7 +62,7 @@ class Corpus:
         return self._vectors(self.chunks)
 
     def _vectors(self, items: DataFrame) -> DataFrame:
-        return embed_missing(items, self.cache, self.embedder)
+        return cached_vectors(items, self.embedder, self.cache)
 
     def totals(self) -> DataFrame:
         """``files, paragraphs, words, chunks`` in one row."""

@@ -17,6 +17,8 @@ from .signals import select
 #: Keys a manifest may hold.
 TOP_KEYS = {"defects"}
 DEFECT_KEYS = {"id", "kinds", "snippets", "note"}
+#: Snippets too short for a run of inner words, which every paragraph is searched for.
+MOST_SHORT = 10_000
 DEFECT = "case string, id string, kinds array<string>, snippets array<string>, note string"
 
 
@@ -62,8 +64,8 @@ def resolve_snippets(paragraphs: DataFrame, snippets: DataFrame) -> DataFrame:
     ``snippets`` has ``snippet_id, snippet``. Containment has no equality to join
     on, so word runs give one: a snippet is tied to the fingerprint of its first
     complete words, and only paragraphs with the same run are searched. Snippets of
-    fewer than three complete words are few in any manifest and are broadcast.
-    Null or blank snippets match nothing.
+    fewer than three complete words are searched for in every paragraph; above
+    ``MOST_SHORT`` of them this refuses. Null or blank snippets match nothing.
     """
     run = 3
     norm = snippets.select("snippet_id", T.norm_text(F.col("snippet")).alias("snip")).where(F.col("snip") != "")
@@ -78,17 +80,25 @@ def resolve_snippets(paragraphs: DataFrame, snippets: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(F.size(w) - run + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, run), " "))
     )
     found = F.contains(F.col("norm"), F.col("snip"))
-    keys = long.select("_key").distinct()
-    hits = (
-        paras.select("paragraph_id", "norm", F.explode(F.array_distinct(grams)).alias("_key"))
-        .join(keys, "_key", "left_semi")
-        .join(long, "_key")
-        .where(found)
-    )
-    few = paras.join(short, found)
+    # Ids and keys alone are exploded; a text is fetched once for each snippet it may hold.
+    runs = paras.select("paragraph_id", F.explode(F.array_distinct(grams)).alias("_key"))
+    tied = runs.join(_bounded(long.select("_key").distinct()), "_key", "left_semi").join(_bounded(long.select("snippet_id", "snip", "_key")), "_key")
+    hits = tied.select("paragraph_id", "snippet_id", "snip").join(paras, "paragraph_id").where(found)
+    short = short.select("snippet_id", "snip")
+    n = short.count()
+    if n == 0:
+        return hits.select("snippet_id", "paragraph_id").distinct()
+    if n > MOST_SHORT:
+        raise GradingError(f"{n} snippets of fewer than five words; name at most {MOST_SHORT} of them, or longer ones")
+    few = paras.join(F.broadcast(short), found)
     return hits.select("snippet_id", "paragraph_id").unionByName(few.select("snippet_id", "paragraph_id")).distinct()
 
 
+def _bounded(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """``rows`` marked for broadcast if they are counted to be no more than ``most``."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def resolve_defects(paragraphs: DataFrame, defects: DataFrame) -> DataFrame:
     """``case, id, paragraph_id``; a snippet that matches nothing is an error."""
     one = defects.select("case", "id", F.explode("snippets").alias("snippet")).withColumn(

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+import urllib.request
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import stored
+
 
 #: Context of the chat model, the margin kept free, texts per embedding call.
 CONTEXT_TOKENS = 8192
@@ -61,6 +65,50 @@ class HashEmbedder:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+class ServiceError(RuntimeError):
+    """The model service cannot be reached or gives no usable answer."""
+
+
+class HttpModels:
+    """Embeddings and chat from a model service with a JSON interface, such as a local one.
+
+    ``embed`` posts ``{model, input}`` to ``/api/embed``, ``answer`` posts messages to
+    ``/api/chat``; ``ready`` says whether both models are listed by ``/api/tags``.
+    """
+
+    def __init__(self, url: str = "http://localhost:11434", embed_model: str = "", chat_model: str = "", timeout: float = 300.0):
+        self.url, self.name, self.chat_model, self.timeout = url.rstrip("/"), embed_model, chat_model, timeout
+
+    def _call(self, path: str, body: dict | None = None) -> dict:
+        request = urllib.request.Request(
+            self.url + path, data=None if body is None else json.dumps(body).encode(), headers={"Content-Type": "application/json"}
+        )
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as r:
+                return json.load(r)
+        except (OSError, ValueError) as why:
+            raise ServiceError(f"{self.url}{path}: {why}") from None
+
+    def ready(self) -> bool:
+        try:
+            there = {m.get("name", "") for m in self._call("/api/tags").get("models", [])}
+        except ServiceError:
+            return False
+        want = [m for m in (self.name, self.chat_model) if m]
+        return all(any(t == m or t.split(":")[0] == m for t in there) for m in want)
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        got = self._call("/api/embed", {"model": self.name, "input": texts}).get("embeddings", [])
+        if len(got) != len(texts):
+            raise ServiceError(f"{len(texts)} texts sent, {len(got)} vectors received")
+        return np.asarray(got, np.float32)
+
+    def answer(self, prompt: str, system: str = "", temperature: float = 0.0, max_tokens: int = 200) -> str:
+        messages = [{"role": "system", "content": system}] * bool(system) + [{"role": "user", "content": prompt}]
+        options = {"temperature": temperature, "num_predict": max_tokens, "num_ctx": CONTEXT_TOKENS}
+        return self._call("/api/chat", {"model": self.chat_model, "messages": messages, "stream": False, "options": options}).get("message", {}).get("content", "")
+
+
 def cache_misses(items: DataFrame, cache: DataFrame | None) -> DataFrame:
     """``fp, text`` of each distinct item that the cache lacks; of equal items the first by id."""
     want = items.where(F.col("fp").isNotNull())
@@ -85,14 +133,37 @@ def embed_missing(items: DataFrame, cache: DataFrame | None, embedder: Embedder)
     return known.unionByName(fresh)
 
 
+def cached_vectors(items: DataFrame, embedder: Embedder, path: str | None = None) -> DataFrame:
+    """``fp, vec`` for every distinct ``fp`` of ``items``, made once and stored.
+
+    What the cache at ``path`` holds of the embedder's model is taken from there; the
+    rest is embedded and added to it. Without a path the vectors last as long as the session.
+    """
+    spark = items.sparkSession
+    if path is None:
+        return stored(embed_missing(items, None, embedder), "vectors")
+    known = read_cache(spark, path, embedder.name)
+    missing = stored(cache_misses(items, known), "misses")
+    if missing.head(1):
+        write_cache(embed_missing(missing.withColumn("id", F.lit(0)), None, embedder), path, embedder.name)
+    wanted = items.select("fp").distinct()
+    return stored(read_cache(spark, path, embedder.name).join(wanted, "fp", "left_semi").groupBy("fp").agg(F.max("vec").alias("vec")), "vectors")
+
+
 def write_cache(vectors: DataFrame, path: str, model: str) -> None:
     """Appends new vectors; a reader takes those of its own model only."""
     vectors.withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(path)
 
 
 def read_cache(spark, path: str, model: str) -> DataFrame:
-    """``fp, vec`` of ``model``; other models' partitions are not opened."""
-    return spark.read.parquet(path).where(F.col("model") == model).select("fp", "vec")
+    """``fp, vec`` of ``model``; other models' partitions are not opened. No rows where there is no cache yet."""
+    try:
+        cache = spark.read.schema("fp string, vec array<float>, model string").parquet(path)
+    except AnalysisException as why:
+        if "PATH_NOT_FOUND" not in str(why):
+            raise
+        return spark.createDataFrame([], "fp string, vec array<float>")
+    return cache.where(F.col("model") == model).select("fp", "vec")
 
 
 def estimate_tokens(text: str) -> int:

@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
+from ..session import stored
 from .ids import dense_ids
 
 
@@ -41,15 +41,57 @@ def assign_chunks(paragraphs: DataFrame, target_words: int = 180, block: int = 2
     order of ``position`` (ties: by ``id`` if there is one). A null ``source`` is a
     source of its own; a null ``position`` comes first; null ``words`` count 0. A
     paragraph above the target makes a chunk by itself, unless empty ones precede.
+
+    The rows are stored once, with a number each; only these numbers and the words
+    travel through Python, and texts are joined again by the number.
     """
     if target_words < 1:
         raise ValueError("target_words must be at least 1")
     tie = ["id"] if "id" in paragraphs.columns else []
-    rows = paragraphs.withColumn("_block", F.floor(F.coalesce("position", F.lit(-1)) / F.lit(block)).cast("long"))
+    in_block = F.floor(F.coalesce("position", F.lit(-1)) / F.lit(block)).cast("long")
+    rows = stored(paragraphs.withColumn("_block", in_block).withColumn("_row", F.monotonically_increasing_id()), "to-pack")
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))
+
+    fed = rows.select("source", "_block", "position", *tie, F.coalesce("words", F.lit(0)).cast("long").alias("words"), "_row")
+    blocks = rows.groupBy("source", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    long_files = stored(blocks.groupBy("source").agg(F.count(F.lit(1)).alias("_blocks")).where(F.col("_blocks") > 1).select(F.col("source").alias("_s")), "long-files")
+    several = bool(long_files.head(1))
+    if several:
+        inflows = _inflows(fed.join(long_files, F.col("source").eqNullSafe(F.col("_s")), "left_semi"), tie, target_words)
+        fed = fed.join(inflows, same, "left").drop("_s", "_b").withColumn("_inflow", F.coalesce("_inflow", F.lit(0).cast("long")))
+    else:
+        fed = fed.withColumn("_inflow", F.lit(0).cast("long"))
+    fed = fed.repartition("source", "_block").sortWithinPartitions("source", "_block", "position", *tie)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, starts = None, 0, 0
+        for b in batches:
+            out = np.empty(b.num_rows, np.int64)
+            cols = [b.column(c).to_pylist() for c in ("source", "_block", "words", "_inflow")]
+            for i, (source, block_no, w, inflow) in enumerate(zip(*cols)):
+                if (source, block_no) != key:
+                    key, state, starts = (source, block_no), inflow, 0
+                if state > 0 and state + w > target_words:
+                    state, starts = w, starts + 1
+                else:
+                    state += w
+                out[i] = starts
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(out)] + [b.column(c) for c in ("source", "_block")] * several, names=["_row", "_starts"] + ["_s", "_b"] * several)
+
+    packed = fed.select("source", "_block", "words", "_inflow", "_row").mapInArrow(pack, "_row long, _starts long" + ", _s string, _b long" * several)
+    if not several:
+        return rows.join(packed.withColumnRenamed("_starts", "chunk"), "_row").drop("_row", "_block")
+    packed = stored(packed, "packed")
+    ends = packed.groupBy("_s", "_b").agg(F.max("_starts").alias("_last"))
+    before = (F.sum("_last").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_last")).alias("_before")
+    before = ends.select("_s", "_b", before).where(F.col("_before") > 0)
+    # Only long files have blocks with anything before them; the rest join nothing.
+    both = rows.join(packed.select("_row", "_starts"), "_row").join(before, same, "left")
+    return both.withColumn("chunk", F.coalesce("_before", F.lit(0)) + F.col("_starts")).drop("_s", "_b", "_block", "_row", "_starts", "_before")
 
-    sizes = rows.groupBy("source", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    first = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("_blocks"))
-    long_files = first.where(F.col("_blocks") > 1).select(F.col("source").alias("_s"))
+
+def _inflows(need: DataFrame, tie: list[str], target_words: int) -> DataFrame:
+    """``_s, _b, _inflow``: the words that each block of a long file starts with."""
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -64,14 +106,12 @@ def assign_chunks(paragraphs: DataFrame, target_words: int = 180, block: int = 2
                     if key is not None:
                         yield flush()
                     key, held = k, []
-                held.append(w or 0)
+                held.append(w)
         if key is not None:
             yield flush()
 
-    need = rows.join(long_files, F.col("source").eqNullSafe(F.col("_s")), "left_semi")
     flows = (
-        need.select("source", "_block", "position", *tie, "words")
-        .repartition("source", "_block")
+        need.repartition("source", "_block")
         .sortWithinPartitions("source", "_block", "position", *tie)
         .select("source", "_block", "words")
         .mapInArrow(tables, "source string, _block long, flow array<long>")
@@ -85,48 +125,12 @@ def assign_chunks(paragraphs: DataFrame, target_words: int = 180, block: int = 2
             F.concat(s["log"], F.array(F.struct(x["_block"].alias("b"), s["at"].alias("inflow")))).alias("log"),
         ),
     )
-    inflows = (
+    return (
         flows.groupBy("source")
         .agg(chain.alias("c"))
         .select(F.col("source").alias("_s"), F.explode("c.log").alias("e"))
         .select("_s", F.col("e.b").alias("_b"), F.col("e.inflow").alias("_inflow"))
     )
-    fed = rows.join(
-        inflows, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left"
-    ).drop("_s", "_b")
-    fed = fed.withColumn("_inflow", F.coalesce("_inflow", F.lit(0).cast("long")))
-    fed = fed.repartition("source", "_block").sortWithinPartitions("source", "_block", "position", *tie)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, starts = None, 0, 0
-        for b in batches:
-            out = np.empty(b.num_rows, np.int64)
-            cols = [b.column(c).to_pylist() for c in ("source", "_block", "words", "_inflow")]
-            for i, (source, block_no, w, inflow) in enumerate(zip(*cols)):
-                w = w or 0
-                if (source, block_no) != key:
-                    key, state, starts = (source, block_no), inflow, 0
-                if state > 0 and state + w > target_words:
-                    state, starts = w, starts + 1
-                else:
-                    state += w
-                out[i] = starts
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "_starts"])
-
-    schema = StructType([*fed.schema.fields, StructField("_starts", LongType())])
-    packed = fed.mapInArrow(pack, schema)
-    ends = packed.groupBy("source", "_block").agg(F.max("_starts").alias("_last"))
-    before = ends.select(
-        F.col("source").alias("_s"),
-        F.col("_block").alias("_b"),
-        (F.sum("_last").over(Window.partitionBy("source").orderBy("_block")) - F.col("_last")).alias("_before"),
-    ).where(F.col("_before") > 0)
-    # Only long files have blocks with anything before them; the rest join nothing.
-    return (
-        packed.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
-        .withColumn("chunk", F.coalesce("_before", F.lit(0)) + F.col("_starts"))
-        .drop("_s", "_b", "_block", "_inflow", "_starts", "_before")
-    )
 
 
 def chunk_rows(paragraphs: DataFrame, target_words: int = 180, min_words: int = 20, block: int = 20_000) -> DataFrame:

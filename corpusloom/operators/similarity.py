@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import stored
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int = 5, vec: str = "vec") -> DataFrame:
@@ -31,6 +32,47 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5, vec: str = "vec")
     ]).limit(k)
 
 
+def top_k_of_many(vectors: DataFrame, queries: DataFrame, key: str, k: int = 5, vec: str = "vec", block: int = 16_384) -> DataFrame:
+    """``query, key, rank, score``: for each row of ``queries`` the ``k`` rows of ``vectors`` with the highest cosine. Exact.
+
+    Both have unique ``key`` and ``vec``; a query that is among the rows finds itself.
+    Rows and queries are cut into blocks that meet in one task each, which keeps the best
+    ``k`` of its rows for each query; ties go to the smaller key. Unusable vectors never
+    match, and ask nothing.
+    """
+    fit = lambda df: stored(df.where(V.usable(F.col(vec))).select(F.col(key).alias("key"), F.col(vec).alias("vec")), "units")
+    rows, asks = fit(vectors), fit(queries)
+    kind = dict(rows.dtypes)["key"]
+    nr, nq = (max(1, math.ceil(df.count() / block)) for df in (rows, asks))
+    cut_ = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = rows.select("key", "vec", F.lit(False).alias("ask"), cut_(nr).alias("i"), every(nq).alias("j")).unionByName(
+        asks.select("key", "vec", F.lit(True).alias("ask"), every(nr).alias("i"), cut_(nq).alias("j"))
+    )
+
+    def meet(t: pa.Table) -> pa.Table:
+        ask = np.array(t.column("ask").to_pylist(), bool)
+        keys, x = np.array(t.column("key").to_pylist()), V.matrix(t.column("vec"), np.float64)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        q, r, out = np.nonzero(ask)[0], np.nonzero(~ask)[0], []
+        for at in range(0, len(q) if len(r) else 0, 512):
+            part = q[at : at + 512]
+            s = x[part] @ x[r].T
+            least = np.partition(s, max(len(r) - k, 0), 1)[:, max(len(r) - k, 0)]
+            i, j = np.nonzero(s >= least[:, None])
+            order = np.lexsort((keys[r[j]], -s[i, j], i))
+            i, j = i[order], j[order]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append((keys[part[i[top]]], keys[r[j[top]]], s[i[top], j[top]]))
+        cat = lambda c: np.concatenate([o[c] for o in out]).tolist() if out else []
+        at = t.column("key").type
+        return pa.table({"query": pa.array(cat(0), at), "key": pa.array(cat(1), at), "score": pa.array(cat(2), pa.float64())})
+
+    found = both.groupBy("i", "j").applyInArrow(meet, f"query {kind}, key {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key")).alias("rank")
+    return found.select("query", "key", rank, "score").where(F.col("rank") <= k)
+
+
 def classes(vectors: DataFrame, key: str, vec: str) -> tuple[DataFrame, DataFrame]:
     """Identical vectors as one class.
 
@@ -44,7 +86,16 @@ def classes(vectors: DataFrame, key: str, vec: str) -> tuple[DataFrame, DataFram
     return reps.select("class_id", "vec"), members
 
 
-def cosine_pairs(reps: DataFrame, key: str, vec: str, threshold: float, block: int = 2000, most_cells: int = 256) -> DataFrame:
+def _far_apart(x: np.ndarray, k: int) -> np.ndarray:
+    """``k`` of the rows, each the farthest from those before it."""
+    at, near = [0], x @ x[0]
+    while len(at) < min(k, len(x)):
+        at.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[at[-1]])
+    return x[at]
+
+
+def cosine_pairs(reps: DataFrame, key: str, vec: str, threshold: float, block: int = 2000, most_cells: int = 4096) -> DataFrame:
     """``a, b, score`` for every pair ``a < b`` with a cosine of at least ``threshold``. Exact.
 
     Angles obey the triangle inequality. Rows go to the cell of their nearest
@@ -58,14 +109,15 @@ def cosine_pairs(reps: DataFrame, key: str, vec: str, threshold: float, block: i
     ``key`` must be unique and ``vec`` usable and of one length; see ``classes``.
     """
     spark = reps.sparkSession
-    rows = reps.select(F.col(key).alias("key"), F.col(vec).alias("vec"))
+    # Read several times below, so worked out once.
+    rows = stored(reps.select(F.col(key).alias("key"), F.col(vec).alias("vec")), "reps")
     kind = dict(rows.dtypes)["key"]
     n = rows.count()
     cells = max(1, min(most_cells, math.ceil(n / block)))
-    pivots = rows.orderBy(F.xxhash64("key"), "key").limit(cells).collect()  # at most most_cells rows
-    if not pivots:
+    some = rows.orderBy(F.xxhash64("key"), "key").limit(4 * cells).collect()  # at most 4 * most_cells rows
+    if not some:
         return spark.createDataFrame([], f"a {kind}, b {kind}, score double")
-    p = V.unit(np.array([r["vec"] for r in pivots], np.float64))
+    p = _far_apart(V.unit(np.array([r["vec"] for r in some], np.float64)), cells)
     reach = 2 * math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

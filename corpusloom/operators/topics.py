@@ -3,8 +3,7 @@
 Centroid linkage with renormalised means is sequential: two merged centroids may
 be closer than any two members were, so neither components nor reciprocal merges
 give the same result. It is one kernel with a stated limit on its input and fails
-above it. For larger collections see the divisive clustering of the ``llm`` part,
-a different operator with a different result.
+above it.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 
-#: Most vectors the agglomerative kernel takes: its similarity matrix is then 100 MB.
+#: Most vectors the agglomerative kernel takes: its similarity matrix is then 200 MB.
 MOST_VECTORS = 5000
 #: Fixed value: below so many words a paragraph is not embedded.
 LEAST_WORDS = 10
@@ -42,24 +41,38 @@ def merge_closest(x: np.ndarray, least: float, most: int) -> list[list[int]]:
     x = x.astype(np.float64)
 
     def run(groups: list[list[int]], enough) -> list[list[int]]:
+        # One matrix that stays in place: a merged cluster takes over a slot of its parts, the
+        # other is dead. ``rank`` keeps the order of rows, in which later merges lie behind.
+        n = len(groups)
+        groups, rank, alive, count = list(groups), np.arange(n), np.ones(n, bool), n
         c = np.array([V.unit(x[g].mean(0, keepdims=True))[0] for g in groups])
         s = c @ c.T
         np.fill_diagonal(s, -np.inf)
-        s[np.tril_indices(len(s))] = -np.inf
-        while len(groups) > 1:
-            at = int(s.argmax())
-            i, j = divmod(at, len(groups))
-            if enough(len(groups), s[i, j]):
+        best = s.max(1) if n else np.zeros(0)
+        while count > 1:
+            top = best.max()
+            if enough(count, top):
                 break
-            joined = groups[i] + groups[j]
-            keep = [k for k in range(len(groups)) if k not in (i, j)]
-            centre = V.unit(x[joined].mean(0, keepdims=True))
-            c = np.vstack([c[keep], centre])
-            s = s[np.ix_(keep, keep)]
-            s = np.pad(s, ((0, 1), (0, 1)), constant_values=-np.inf)
-            s[:-1, -1] = c[:-1] @ centre[0]
-            groups = [groups[k] for k in keep] + [joined]
-        return groups
+            rows = np.nonzero(best == top)[0]
+            i = rows[rank[rows].argmin()]
+            cols = np.nonzero(s[i] == top)[0]
+            j = cols[rank[cols].argmin()]
+            groups[i] = groups[i] + groups[j]
+            centre = V.unit(x[groups[i]].mean(0, keepdims=True))[0]
+            # Rows whose best was one of the two parts look again; others have one more to compare.
+            lost = (best == s[:, i]) | (best == s[:, j])
+            alive[j], rank[i], c[i] = False, n + len(groups) - count, centre
+            count -= 1
+            s[j] = s[:, j] = best[j] = -np.inf
+            new = np.where(alive, c @ centre, -np.inf)
+            new[i] = -np.inf
+            s[i] = s[:, i] = new
+            best = np.where(alive, np.maximum(best, new), -np.inf)
+            again = np.nonzero(lost & alive)[0]
+            best[again] = s[again].max(1)
+            best[i] = new.max()
+        left = np.nonzero(alive)[0]
+        return [groups[k] for k in left[np.argsort(rank[left])]]
 
     if not len(x):
         return []
@@ -133,7 +146,7 @@ def inventory(corpus) -> tuple[DataFrame, DataFrame]:
     return members, corpus.paragraphs.join(found.select(F.col("key").alias("id")), "id", "left_anti")
 
 
-def snapshot(corpus, names: dict[str, str] | None = None, created: str | None = None) -> dict:
+def snapshot(corpus, names: dict[str, str] | None = None, created: str | None = None, chat_model: str = "") -> dict:
     """The inventory as one document. Gathers fingerprints, at most ``MOST_VECTORS`` of them clustered."""
     members, rest = inventory(corpus)
     members = members.cache()
@@ -154,7 +167,7 @@ def snapshot(corpus, names: dict[str, str] | None = None, created: str | None =
     loose_words = sum(r["words"] for r in loose)
     return {
         "created": created or time.strftime("%Y-%m-%d %H:%M"),
-        "embed_model": corpus.embedder.name,
+        "chat_model": chat_model, "embed_model": corpus.embedder.name,
         "params": {"topic_similarity": corpus.config.topic_similarity, "max_topics": corpus.config.max_topics},
         "totals": {"files": total["files"], "paragraphs": total["paragraphs"], "words": total["words"]},
         "clusters": clusters,
