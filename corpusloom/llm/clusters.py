@@ -289,10 +289,11 @@ def _across(merged: DataFrame, rows: DataFrame, limit: float) -> DataFrame | Non
     """``key, label``: links of labels (a row in no group is its own) between which any pair is within ``limit``. Exact.
 
     The rows of a group well inside the limit around its centre are a ball with the
-    radius of the farthest; any other row is a point. A pair within the limit needs two
-    points within it, or centres no further apart than the limit's angle and both radii;
-    for such balls, which are few, the rows themselves are compared. No task holds more
-    than two blocks. None if there is no link.
+    radius of the farthest, and the row nearest the centre stands for it; any other row is
+    a point. Standing rows and points within the limit are links at once. A further pair
+    needs centres no further apart than the limit's angle and both radii; where that leaves
+    a doubt about two labels that nothing joins yet, the rows themselves are compared. No
+    task holds more than two blocks. None if there is no link.
     """
     kind = dict(rows.dtypes)["key"]
     one = rows.select("vec").head(1)
@@ -306,58 +307,64 @@ def _across(merged: DataFrame, rows: DataFrame, limit: float) -> DataFrame | Non
     near = labelled.join(_small(centre, 10_000), "label", "left").select("key", F.coalesce("label", "key").alias("label"), cos.alias("cos"))
     ball = F.coalesce(F.col("cos") >= math.cos(angle * 0.7), F.lit(False))
     placed = stored(near.withColumn("ball", ball).withColumn("unit", F.when(F.col("ball"), F.col("label")).otherwise(F.col("key"))), "placed")
-    balls = placed.where("ball").groupBy("label").agg(F.acos(F.least(F.min("cos"), F.lit(1.0))).alias("r"), F.count(F.lit(1)).alias("n")).join(centre, "label")
+    balls = placed.where("ball").groupBy("label").agg(
+        F.acos(F.least(F.min("cos"), F.lit(1.0))).alias("r"), F.count(F.lit(1)).alias("n"), F.max_by("key", F.struct("cos", "key")).alias("key")
+    )
+    balls = stored(balls.join(centre, "label"), "balls")
+    standing = rows.join(_small(balls.select("key", "label", "r", "n", "centroid"), 10_000), "key")
     points = rows.join(_small(placed.where("not ball").select("key", "label")), "key")
-    all_ = points.select(F.col("key").alias("unit"), "label", F.lit(-1.0).alias("r"), F.lit(1).cast("bigint").alias("n"), "vec").unionByName(
-        balls.select(F.col("label").alias("unit"), "label", "r", "n", F.transform("centroid", lambda x: x.cast("float")).alias("vec"))
+    all_ = points.select(F.col("key").alias("unit"), "label", F.lit(-1.0).alias("r"), F.lit(1).cast("bigint").alias("n"), "vec", F.lit(None).cast("array<float>").alias("centre")).unionByName(
+        standing.select(F.col("label").alias("unit"), "label", "r", "n", "vec", F.transform("centroid", lambda x: x.cast("float")).alias("centre"))
     )
     count = placed.select(F.count_distinct("unit", "ball")).first()[0]
     nb = max(1, math.ceil(count / UNITS))
     mine = F.pmod(F.xxhash64("unit", "r"), F.lit(nb)).cast("int")
     other = F.transform(F.sequence(F.lit(0), F.lit(nb - 1)), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
-    spread = all_.withColumn("mine", mine).withColumn("t", F.explode(other)).select("unit", "label", "r", "n", "vec", "mine", "t.i", "t.j")
+    spread = all_.withColumn("mine", mine).withColumn("t", F.explode(other)).select("unit", "label", "r", "n", "vec", "centre", "mine", "t.i", "t.j")
 
     def meet(t: pa.Table) -> pa.Table:
         x, r, n, mine = V.matrix(t.column("vec")), t.column("r").to_numpy(), t.column("n").to_numpy(), t.column("mine").to_numpy()
         names, label = np.unique(np.array(t.column("label").to_pylist()), return_inverse=True)
         root, host, guest = np.arange(len(names)), [], []
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        for left_ball in (False, True):
-            left = np.nonzero((mine == i) & ((r >= 0) == left_ball))[0]
-            for right_ball in (False, True):
-                right = np.nonzero((mine == j) & ((r >= 0) == right_ball))[0]
-                if not len(right) or i == j and left_ball > right_ball:
-                    continue
-                y = x[right]
-                for at in range(0, len(left), 512):
-                    rows_ = left[at : at + 512]
-                    s = x[rows_] @ y.T
-                    if left_ball or right_ball:
-                        wide = np.maximum(r[rows_], 0)[:, None] + np.maximum(r[right], 0)[None] + angle + 1e-3
-                        p, q = np.nonzero(s >= np.cos(np.minimum(wide, math.pi)) - 1e-6)
-                    else:
-                        p, q = np.nonzero(s >= limit)
-                    p, q = rows_[p], right[q]
-                    if not (left_ball or right_ball):
-                        _join(root, label[p], label[q])
-                        continue
-                    apart = label[p] != label[q]
-                    p, q = p[apart], q[apart]
-                    # The host is a ball, of two the larger.
-                    swap = (r[q] >= 0) & ((r[p] < 0) | (n[q] > n[p]) | ((n[q] == n[p]) & (q > p)))
-                    host.append(np.where(swap, q, p))
-                    guest.append(np.where(swap, p, q))
+        left, right = np.nonzero(mine == t.column("i")[0].as_py())[0], np.nonzero(mine == t.column("j")[0].as_py())[0]
+        y = x[right]
+        for at in range(0, len(left), 512):
+            p, q = np.nonzero(x[left[at : at + 512]] @ y.T >= limit)
+            _join(root, label[left[at + p]], label[right[q]])
+        middle = x.copy()
+        if (r >= 0).any():
+            middle[r >= 0] = V.matrix(t.column("centre").filter(pa.array(r >= 0)))
+        for l, g in ((left[r[left] >= 0], right), (left[r[left] < 0], right[r[right] >= 0])):
+            y = middle[g]
+            for at in range(0, len(l) if len(g) else 0, 512):
+                p = l[at : at + 512]
+                wide = np.maximum(r[p], 0)[:, None] + np.maximum(r[g], 0)[None] + angle + 1e-3
+                i, j = np.nonzero(middle[p] @ y.T >= np.cos(np.minimum(wide, math.pi)) - 1e-6)
+                p, q = p[i], g[j]
+                apart = root[label[p]] != root[label[q]]
+                p, q = p[apart], q[apart]
+                # The host is a ball, of two the larger.
+                swap = (r[q] >= 0) & ((r[p] < 0) | (n[q] > n[p]) | ((n[q] == n[p]) & (q > p)))
+                host.append(np.where(swap, q, p))
+                guest.append(np.where(swap, p, q))
         moved = np.nonzero(root != np.arange(len(root)))[0]
         pairs = np.unique(np.stack([np.concatenate(host), np.concatenate(guest)]), axis=1) if host else np.zeros((2, 0), int)
         unit, at = t.column("unit"), t.column("label").type
         a = pa.concat_arrays([pa.array(names[root[moved]].tolist(), at), unit.take(pa.array(pairs[0])).combine_chunks()])
         b = pa.concat_arrays([pa.array(names[moved].tolist(), at), unit.take(pa.array(pairs[1])).combine_chunks()])
+        own = pa.array(names[np.concatenate([moved, label[pairs[1]]])].tolist(), at)
         link = pa.array([True] * len(moved) + [False] * pairs.shape[1], pa.bool_())
-        return pa.table({"link": link, "a": a, "b": b, "ball": pa.array([False] * len(moved) + (r[pairs[1]] >= 0).tolist(), pa.bool_())})
+        return pa.table({"link": link, "a": a, "b": b, "b_label": own, "ball": pa.array([False] * len(moved) + (r[pairs[1]] >= 0).tolist(), pa.bool_())})
 
-    met = stored(spread.groupBy("i", "j").applyInArrow(meet, f"link boolean, a {kind}, b {kind}, ball boolean"), "met")
-    links = met.where("link").select("a", "b")
-    doubt = met.where("not link").select(F.col("a").alias("host"), F.col("b").alias("unit"), "ball").distinct()
+    met = stored(spread.groupBy("i", "j").applyInArrow(meet, f"link boolean, a {kind}, b {kind}, b_label {kind}, ball boolean"), "met")
+    links = met.where("link").select("a", "b").distinct()
+    doubt = met.where("not link").select(F.col("a").alias("host"), F.col("b").alias("unit"), "b_label", "ball").distinct()
+    if doubt.head(1):
+        # What links of other tasks have joined meanwhile is in doubt no more.
+        low = cut(_merge(_both_ways(links)))
+        to = lambda c: low.select(F.col("key").alias(c), F.col("label").alias(f"{c}_low"))
+        doubt = doubt.join(to("host"), "host", "left").join(to("b_label"), "b_label", "left")
+        doubt = stored(doubt.where(F.coalesce("host_low", "host") != F.coalesce("b_label_low", "b_label")).select("host", "unit", "ball"), "doubt")
     if doubt.head(1):
         guests = placed.join(doubt, ["unit", "ball"]).select("host", "key", "label", F.lit(False).alias("home"))
         homes = placed.where("ball").join(doubt.select(F.col("host").alias("label")).distinct(), "label").select(F.col("label").alias("host"), "key", "label", F.lit(True).alias("home"))
@@ -390,6 +397,11 @@ def _across(merged: DataFrame, rows: DataFrame, limit: float) -> DataFrame | Non
     links = stored(links.distinct(), "across")
     if not links.head(1):
         return None
+    return _both_ways(links)
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    """``a, b`` as ``key, label`` with each label its own key too, as ``_merge`` takes them."""
     low = links.select(F.least("a", "b").alias("label"), F.greatest("a", "b").alias("key"))
     return low.select("key", "label").unionByName(low.select(F.col("label").alias("key"), "label").distinct())
 
