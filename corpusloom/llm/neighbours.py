@@ -2,17 +2,18 @@
 
 An inverted file of coarse centroids with product-quantised residuals. Coarse centroids
 and codebooks are fitted on a bounded sample; every vector is put into the list of its
-nearest centroid and coded. There are about twice as many lists as the square root of
+nearest centroid and coded. There are three times as many lists as the square root of
 the vectors. A query visits the lists of its nearest centroids and no others: asymmetric
 distances, the query as it is against decoded codes, choose candidates among their rows,
 and these are ranked by their exact cosine. A pair that either side finds counts for
 both. The sums of table entries that make up an asymmetric distance are evaluated as one
 matrix product of queries with decoded codes; the figures are the same and processors
-are much faster at it than at looking up 32 table entries for each pair.
+are much faster at it than at looking up 64 table entries for each pair.
 
 Lists that lie together share a bin, which is what one task holds; a list above a bin's
 size is spread over several. A row travels once to its own bin, and once to each other
-bin of which it asks a list.
+bin of which it asks a list, there as a query only, with its numbers rounded to 24 bits:
+cosines then differ by less than a millionth.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,15 +31,16 @@ from ..functions import vectors as V
 from ..session import stored
 from . import partition
 
-SUBSPACES, CODEWORDS = 32, 256
+#: Numbers of a subspace, words of its codebook, and residuals that a codebook is fitted on.
+SUB, CODEWORDS, BOOK_SAMPLE = 2, 256, 8192
 #: Vectors that fitting looks at: at least so many, eight for each list, and at most so many.
-SAMPLE, MOST_SAMPLE = 16_384, 131_072
+SAMPLE, MOST_SAMPLE = 65_536, 131_072
 #: Rows of a bin, and queries that meet them in one task at most.
-BIN, QUERIES = 8192, 32_768
+BIN, QUERIES = 16_384, 65_536
 #: Lists that a query visits.
-PROBES = 36
+PROBES = 56
 #: Rows kept by asymmetric distance for each query and bin.
-CANDIDATES = 128
+CANDIDATES = 48
 
 
 def coarse_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -56,20 +59,21 @@ def coarse_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> n
     return c[np.concatenate(leaves)]
 
 
-def codebooks(residuals: np.ndarray, rounds: int = 6, seed: int = 7) -> np.ndarray:
-    """``SUBSPACES x CODEWORDS x d`` by k-means in each subspace."""
+def codebooks(residuals: np.ndarray, rounds: int = 4, seed: int = 7) -> np.ndarray:
+    """``d / 2`` books of ``CODEWORDS`` pairs by k-means in each subspace, on at most ``BOOK_SAMPLE`` residuals."""
     rng = np.random.default_rng(seed)
     n, d = residuals.shape
-    sub = d // SUBSPACES
+    if n > BOOK_SAMPLE:
+        residuals, n = residuals[rng.choice(n, BOOK_SAMPLE, replace=False)], BOOK_SAMPLE
     k = min(CODEWORDS, n)
-    out = np.zeros((SUBSPACES, CODEWORDS, sub), np.float32)
-    for m in range(SUBSPACES):
-        x = residuals[:, m * sub : (m + 1) * sub]
+    out = np.zeros((d // SUB, CODEWORDS, SUB), np.float32)
+    for m in range(d // SUB):
+        x = residuals[:, m * SUB : (m + 1) * SUB]
         c = x[rng.choice(n, k, replace=False)].copy()
         for _ in range(rounds):
             near = ((c * c).sum(1)[None, :] - 2 * (x @ c.T)).argmin(1)
             count = np.bincount(near, minlength=k)
-            sums = np.stack([np.bincount(near, x[:, j], k) for j in range(sub)], 1)
+            sums = np.stack([np.bincount(near, x[:, j], k) for j in range(SUB)], 1)
             c[count > 0] = (sums[count > 0] / count[count > 0, None]).astype(np.float32)
         out[m, :k] = c
         out[m, k:] = c[0]
@@ -77,23 +81,22 @@ def codebooks(residuals: np.ndarray, rounds: int = 6, seed: int = 7) -> np.ndarr
 
 
 def encode(residuals: np.ndarray, books: np.ndarray) -> np.ndarray:
-    sub = books.shape[2]
-    codes = np.empty((len(residuals), SUBSPACES), np.uint8)
-    for m in range(SUBSPACES):
-        x, c = residuals[:, m * sub : (m + 1) * sub], books[m]
+    codes = np.empty((len(residuals), len(books)), np.uint8)
+    for m, c in enumerate(books):
+        x = residuals[:, m * SUB : (m + 1) * SUB]
         codes[:, m] = ((c * c).sum(1)[None, :] - 2 * (x @ c.T)).argmin(1)
     return codes
 
 
 def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
-    return np.concatenate([books[m][codes[:, m]] for m in range(SUBSPACES)], 1)
+    return np.concatenate([books[m][codes[:, m]] for m in range(len(books))], 1)
 
 
 class Index:
     """Centroids, codebooks and the lists that each vector is in and asks."""
 
     def __init__(self, rows: DataFrame, n: int, lists: int | None, probes: int):
-        lists = lists or max(1, int(2 * math.sqrt(n)))
+        lists = lists or max(1, int(3 * math.sqrt(n)))
         fit = partition.sample(rows, "key", min(MOST_SAMPLE, max(SAMPLE, 8 * lists)))
         lists = max(1, min(lists, len(fit) // 4))
         self.coarse = coarse = coarse_centroids(fit, lists)
@@ -144,7 +147,7 @@ class Index:
 def nearest(items: DataFrame, key: str = "key", k: int = 5, probes: int = PROBES, lists: int | None = None) -> DataFrame:
     """``key, other, rank, cosine``: the ``k`` most similar others of each item.
 
-    ``items`` has unique keys and usable vectors ``vec`` of one length, a multiple of 32.
+    ``items`` has unique keys and usable vectors ``vec`` of one length, an even number.
     ``probes`` is the number of lists that a query asks; a share of neighbours is missed,
     see the README for what was measured. Ties by key. Fewer than two items give no rows.
     """
@@ -202,61 +205,101 @@ def nearest(items: DataFrame, key: str = "key", k: int = 5, probes: int = PROBES
             query = want[i, s] & (block == h[i] // 7 % blocks[s])
             take = pa.array(i)
             codes = b.column("codes").take(take)
+            # Only rows of the bin bring their vector as it is, codes and list; guests bring a shorter one and what they ask.
+            far = pa.array([v.tobytes() for v in _shorter(V.matrix(b.column("vec")))], pa.binary()).take(take)
+            no = pa.array(~here)
+            vec, none = b.column("vec").take(take), lambda x: pa.scalar(None, x.type)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s, pa.int32()), pa.array(block, pa.int32()), b.column("key").take(take), b.column("vec").take(take), b.column("list").take(take),
-                 pa.array(here), pa.array(query), pa.array([c if k else None for c, k in zip(codes.to_pylist(), here)], pa.binary()), b.column("asks").take(take)],
-                names=["bin", "block", "key", "vec", "list", "here", "query", "codes", "asks"],
+                [pa.array(s, pa.int32()), pa.array(block, pa.int32()), b.column("key").take(take), _where(no, none(vec), vec), _where(no, far, none(far)), b.column("list").take(take),
+                 pa.array(query), pc.if_else(no, none(codes), codes), pa.array([a.tobytes() for a in asks.astype(np.uint16 if len(coarse) < 65_536 else np.int32)], pa.binary()).take(take)],
+                names=["bin", "block", "key", "vec", "far", "list", "query", "codes", "asks"],
             )
 
     def search(t: pa.Table) -> pa.Table:
         keys = np.array(t.column("key").to_pylist())
-        x = V.matrix(t.column("vec"))
-        home, here, query = t.column("list").to_numpy(), t.column("here").to_numpy(), t.column("query").to_numpy()
-        out = []
-        members = np.nonzero(here)[0]
+        home, query = t.column("list").to_numpy(), t.column("query").to_numpy()
+        here = np.asarray(t.column("vec").is_valid())
+        members, out = np.nonzero(here)[0], []
+        x = np.empty((len(keys), coarse.shape[1]), np.float32)
+        x[members] = V.matrix(t.column("vec").filter(pa.array(here)))
+        if not here.all():
+            x[~here] = _longer(b"".join(t.column("far").filter(pa.array(~here)).to_pylist()), x.shape[1])
         members = members[np.argsort(home[members], kind="stable")]
-        if len(members):
+        asking = np.nonzero(query)[0]
+        if len(members) and len(asking):
             codes = np.frombuffer(b"".join(t.column("codes").take(pa.array(members)).to_pylist()), np.uint8).reshape(len(members), -1)
             approx = coarse[home[members]] + decode(codes, books)
-            held, begin = np.unique(home[members], return_index=True)
-            ends = np.append(begin[1:], len(members))
-            asking = np.nonzero(query)[0]
-            asks = np.frombuffer(b"".join(t.column("asks").take(pa.array(asking)).to_pylist()), np.int32).reshape(len(asking), -1)
-            visits = np.zeros((len(asking), len(coarse)), bool)
-            np.put_along_axis(visits, asks, True, 1)
-            take = min(CANDIDATES, len(members))
-            for i in range(0, len(asking), 512):
-                q = asking[i : i + 512]
-                s = np.full((len(q), len(members)), -np.inf, np.float32)
-                for c, u, v in zip(held, begin, ends):
-                    r = np.nonzero(visits[i : i + 512, c])[0]
-                    if len(r):
-                        s[r, u:v] = x[q[r]] @ approx[u:v].T
+            held, begin, size = np.unique(home[members], return_index=True, return_counts=True)
+            asks = np.frombuffer(b"".join(t.column("asks").take(pa.array(asking)).to_pylist()), np.uint16 if len(coarse) < 65_536 else np.int32).reshape(len(asking), -1)
+            slot = np.full(len(coarse), -1)
+            slot[held] = np.arange(len(held))
+            for i in range(0, len(asking), 1024):
+                q = asking[i : i + 1024]
+                visits = np.zeros((len(q), len(held) + 1), bool)
+                np.put_along_axis(visits, slot[asks[i : i + 1024]], True, 1)
+                visits = visits[:, :-1]  # lists of other bins are in the last column
+                ends = np.cumsum(visits * size, 1)
+                at = ends - visits * size
+                # Scores of the lists a query visits lie side by side; no other row is scored.
+                s = np.full((len(q), max(1, int(ends[:, -1].max()))), -np.inf, np.float32)
+                for j in np.nonzero(visits.any(0))[0]:
+                    r = np.nonzero(visits[:, j])[0]
+                    u, m = begin[j], size[j]
+                    s[r[:, None], at[r, j][:, None] + np.arange(m)] = x[q[r]] @ approx[u : u + m].T
+                take = min(CANDIDATES, s.shape[1])
                 best = np.argpartition(-s, take - 1, 1)[:, :take]
                 r, c = np.repeat(np.arange(len(q)), take), best.ravel()
-                keep = np.isfinite(s[r, c]) & (members[c] != q[r])
+                keep = np.isfinite(s[r, c])
                 r, c = r[keep], c[keep]
-                cos = np.einsum("ij,ij->i", x[q[r]].astype(np.float64), x[members[c]].astype(np.float64))
-                order = np.lexsort((keys[members[c]], -cos, r))
-                r, c, cos = r[order], c[order], cos[order]
+                # From the place among a query's scores back to the row: which of its lists begins last before it.
+                vr, vj = np.nonzero(visits)
+                wide = s.shape[1] + 1
+                of = np.searchsorted(vr * wide + at[vr, vj], r * wide + c, "right") - 1
+                row = members[begin[vj[of]] + c - at[vr[of], vj[of]]]
+                keep = row != q[r]
+                r, row = r[keep], row[keep]
+                cos = np.einsum("ij,ij->i", x[q[r]].astype(np.float64), x[row].astype(np.float64))
+                order = np.lexsort((keys[row], -cos, r))
+                r, row, cos = r[order], row[order], cos[order]
                 top = np.arange(len(r)) - np.searchsorted(r, r) < k
-                out.append((keys[q[r[top]]], keys[members[c[top]]], cos[top]))
+                out.append((keys[q[r[top]]], keys[row[top]], cos[top]))
         cat = lambda j: np.concatenate([o[j] for o in out]) if out else np.array([])
         kinds = t.column("key").type
         return pa.table({"key": pa.array(cat(0).tolist(), kinds), "other": pa.array(cat(1).tolist(), kinds), "cosine": pa.array(cat(2), pa.float64())})
 
     hashed = index.placed.withColumn("h", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)))
-    sent = hashed.mapInArrow(route, f"bin int, block int, key {kind}, vec array<float>, list int, here boolean, query boolean, codes binary, asks binary")
+    sent = hashed.mapInArrow(route, f"bin int, block int, key {kind}, vec array<float>, far binary, list int, query boolean, codes binary, asks binary")
     found = stored(sent.groupBy("bin", "block").applyInArrow(search, f"key {kind}, other {kind}, cosine double"), "found")
     # Found by either side; a pair comes twice at most, so 2k rows hold the best k.
     both = found.unionByName(found.select(F.col("other").alias("key"), F.col("key").alias("other"), "cosine"))
     ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))).where(F.col("r") <= 2 * k)
-    top = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "other"))), 1, k)
+    ranked = ranked.groupBy("key", "other").agg(F.max("cosine").alias("cosine"))
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other"))), 1, k)
     return ranked.groupBy("key").agg(top.alias("top")).select("key", F.posexplode("top").alias("rank", "t")).select(
         "key", F.col("t.other").alias("other"), F.col("rank") + 1, (-F.col("t.c")).alias("cosine")
     ).toDF("key", "other", "rank", "cosine")
 
 
+def _shorter(x: np.ndarray) -> np.ndarray:
+    """Each number of 32 bits rounded to its upper 24."""
+    bits = x.astype("<f4").view("<u4")
+    return (bits + np.uint32(0x80)).view(np.uint8).reshape(len(x), -1, 4)[:, :, 1:]
+
+
+def _longer(short: bytes, d: int) -> np.ndarray:
+    part = np.frombuffer(short, np.uint8).reshape(-1, d, 3)
+    out = np.zeros((len(part), d, 4), np.uint8)
+    out[:, :, 1:] = part
+    return out.reshape(len(part), -1).view("<f4")
+
+
+def _where(mask: pa.Array, yes, no) -> pa.Array:
+    """``if_else`` for lists and bytes, where either side may be null."""
+    column = no if isinstance(yes, pa.Scalar) else yes
+    at = pa.array(np.where(np.asarray(mask) == isinstance(yes, pa.Scalar), -1, np.arange(len(column))))
+    return column.take(pc.if_else(pc.less(at, 0), pa.scalar(None, pa.int64()), at))
+
+
 def brute_force(x: np.ndarray, queries: np.ndarray, k: int = 5) -> np.ndarray:
     """Row numbers of the exact ``k`` nearest others of each query row, to measure recall against."""
     s = x[queries] @ x.T

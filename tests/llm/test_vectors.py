@@ -155,9 +155,9 @@ def test_neighbours_where_few_rows_are_scored(spark, monkeypatch):
     rng = np.random.default_rng(14)
     x = np.vstack([blobs(rng, [3000, *[12] * 700], dim=64, noise=0.08), rng.normal(size=(600, 64)).astype(np.float32) @ np.diag(0.97 ** np.arange(64))]).astype(np.float32)
     rows = clusters.units(frame(spark, x))
-    assert neighbours.Index(rows, len(x), 400, neighbours.PROBES).scored_share() < 0.15
+    assert neighbours.Index(rows, len(x), 600, neighbours.PROBES).scored_share() < 0.15
     got = {}
-    for r in neighbours.nearest(rows, lists=400).collect():
+    for r in neighbours.nearest(rows, lists=600).collect():
         got.setdefault(int(r["key"][1:]), set()).add(int(r["other"][1:]))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     some = np.concatenate([np.arange(0, 3000, 10), np.arange(3000, len(x), 25)])
