@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..operators.ids import rank_within
 from ..session import stored
 
+#: Ranks of a stretch, and planned runs that are broadcast at most.
+STRETCH, MOST_RUNS = 4096, 200_000
 PLAN = "capacity_id int, length bigint, rank_from bigint, rank_to bigint, first_container bigint, per bigint"
 
 
@@ -91,12 +93,18 @@ def fill(spark: SparkSession, sizes: DataFrame, capacities: DataFrame, key: str
         counts.setdefault(r["capacity_id"], {})[r["length"]] = r["n"]
     room = {r["capacity_id"]: r["max_tokens"] for r in capacities.select("capacity_id", "max_tokens").collect()}
     rows = [(c, *p) for c, by in counts.items() for p in plan(by, room[c])]
+    # Ranks are cut into stretches, and a planned run stands in each it reaches: an item meets the runs of its own stretch alone.
     slots = spark.createDataFrame(rows, PLAN)
+    stretch = F.sequence(F.floor(F.col("rank_from") / STRETCH), F.floor((F.col("rank_to") - 1) / STRETCH))
+    slots = slots.withColumn("stretch", F.explode(stretch))
     placed = rank_within(items.withColumn("_k", F.struct(key, "piece")), ["capacity_id", "length"], "_k").drop("_k")
+    placed = placed.withColumn("stretch", F.floor(F.col("rank") / STRETCH))
+    # As many as runs and stretches: of the plan, not of the items, unless these are very many.
+    if len(rows) + sum(n for by in counts.values() for n in by.values()) // STRETCH <= MOST_RUNS:
+        slots = F.broadcast(slots)
     here = (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
-    # The plan is bounded by the number of lengths, not of items.
     return (
-        placed.join(F.broadcast(slots), ["capacity_id", "length"])
+        placed.join(slots, ["capacity_id", "length", "stretch"])
         .where(here)
         .withColumn("container_id", F.col("first_container") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("per")).cast("bigint"))
         .select("capacity_id", "container_id", key, "piece", "start_token", F.col("length").alias("tokens"))

@@ -2,8 +2,9 @@
 
 Each source first contributes as many whole copies of itself as its share allows; the
 rest is a Pareto sample: documents rank by their random odds over their inclusion odds,
-and the lowest are taken until the tokens are reached. With weights, inclusion is in
-proportion to them, cut off at certainty.
+and the lowest are taken until the tokens are reached. Inclusion is in proportion to a
+weight, such as a document's size, or equal. Documents whose odds would exceed certainty are
+taken, and what they leave is shared out among the others anew, until none exceeds it.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from pyspark.sql import functions as F
 BINS = 4096
 
 
-def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
-    """``mix, source, target_share, max_repeats, have, total, need, copies, rest, reachable``.
+def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: float | str | None = None) -> DataFrame:
+    """``mix, source, target_share, max_repeats, have, total, need, short, copies, rest, reachable``.
 
-    ``total`` is ``total_tokens`` for every mix or, by default, the largest size at which
-    each source that has any documents can still give its share within ``max_repeats``.
-    A source that has none, or too little for a demanded total, gives what it can;
-    ``reachable`` says which. Negative or null shares count as 0.
+    ``total`` is ``total_tokens`` for every mix; with ``"all"``, all tokens that the mix's
+    sources have; with None, the largest size at which each source that has any documents
+    can still give its share within ``max_repeats``. A source with less than its share
+    gives what it can; ``reachable`` says which reach theirs, ``short`` how many tokens
+    are lacking. Negative or null shares count as 0.
     """
     have = sizes.where(F.col("tokens") > 0).groupBy("source").agg(F.sum("tokens").alias("have"))
     t = targets.select(
@@ -31,12 +33,18 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = N
     t = t.join(have, "source", "left").withColumn("have", F.coalesce("have", F.lit(0)).cast("bigint"))
     most = F.col("max_repeats") * F.col("have")
     # A short list of targets: the window sees one row for each.
-    reach = F.min(F.when((most > 0) & (F.col("target_share") > 0), most / F.col("target_share"))).over(Window.partitionBy("mix"))
-    total = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(reach, F.lit(0.0))
+    mix = Window.partitionBy("mix")
+    if total_tokens is None:
+        total = F.coalesce(F.min(F.when((most > 0) & (F.col("target_share") > 0), most / F.col("target_share"))).over(mix), F.lit(0.0))
+    elif total_tokens == "all":
+        total = F.sum(F.when(F.col("target_share") > 0, F.col("have")).otherwise(0)).over(mix).cast("double")
+    else:
+        total = F.lit(float(total_tokens))
     need = F.least(F.col("total") * F.col("target_share"), most.cast("double"))
     return (
         t.withColumn("total", total)
         .withColumn("need", need)
+        .withColumn("short", F.floor(F.greatest(F.col("total") * F.col("target_share") - F.col("need"), F.lit(0.0)) + 1e-6).cast("bigint"))
         .withColumn("reachable", (F.col("total") > 0) & (F.col("need") >= F.col("total") * F.col("target_share") * (1 - 1e-9)))
         .withColumn("copies", F.when(F.col("have") > 0, F.floor(F.col("need") / F.col("have") + 1e-9)).otherwise(0).cast("bigint"))
         .withColumn("rest", F.greatest(F.col("need") - F.col("copies") * F.col("have"), F.lit(0.0)))
@@ -48,24 +56,43 @@ def _uniform(*cols) -> F.Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def draw(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 1, total_tokens: float | None = None, weight: str | None = None) -> DataFrame:
+def _odds(docs: DataFrame, goal: DataFrame) -> DataFrame:
+    """``mix, source, _scale``: inclusion is ``_scale`` times the weight, and certain from 1 on.
+
+    With the documents in falling order of weight, certainty is a prefix. For each prefix
+    the tokens left over the weighted tokens of the rest is the scale; the first that
+    makes the next document less than certain is the one. Rows are one for each distinct
+    weight of a source, so the running sums are over weights, not over documents.
+    """
+    steps = docs.groupBy("source", "_w").agg(F.sum("tokens").cast("double").alias("_t"), F.sum(F.col("_w") * F.col("tokens")).alias("_wt"))
+    falling = Window.partitionBy("mix", "source").orderBy(F.desc("_w"))
+    rows = steps.join(F.broadcast(goal.where(F.col("rest") > 0).select("mix", "source", "rest")), "source")
+    rows = rows.withColumn("_sure", F.sum("_t").over(falling) - F.col("_t"))
+    rows = rows.withColumn("_tail", F.sum("_wt").over(falling.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("_scale", F.greatest(F.col("rest") - F.col("_sure"), F.lit(0.0)) / F.col("_tail"))
+    fit = rows.where(F.col("_scale") * F.col("_w") < 1)
+    return fit.groupBy("mix", "source").agg(F.max_by("_scale", "_w").alias("_scale"))
+
+
+def draw(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 1, total_tokens: float | str | None = None, weight: str | None = None) -> DataFrame:
     """``mix, source, key, copies, tokens``: the documents of each mix and how often they come.
 
     ``sizes`` has ``key, source, tokens`` and unique keys; rows without a source or without
-    tokens are in no mix. No source is ever gathered: tokens are summed by bins of the
-    ranking variable, and only the one bin in which the target is reached is ordered.
-    Repeatable: the random numbers are hashes of mix, key and seed.
+    tokens are in no mix. Inclusion odds are in proportion to the column ``weight``, equal
+    if that is None. No source is ever gathered: tokens are summed by bins of the ranking
+    variable, and only the one bin in which the target is reached is ordered. Repeatable:
+    the random numbers are hashes of mix, key and seed.
     """
     plan = budgets(sizes, targets, total_tokens)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     docs = sizes.where((F.col("tokens") > 0) & F.col("source").isNotNull()).select(
         key, "source", "tokens", F.greatest(F.coalesce(w, F.lit(0.0)), F.lit(1e-9)).alias("_w")
     )
-    weights = docs.groupBy("source").agg(F.sum(F.col("_w") * F.col("tokens")).alias("_all"))
-    goal = plan.join(weights, "source").select("mix", "source", "have", "copies", "rest", "max_repeats", "_all")
+    goal = plan.where(F.col("have") > 0).select("mix", "source", "have", "copies", "rest", "max_repeats")
+    goal = goal.join(F.broadcast(_odds(docs, goal)), ["mix", "source"], "left")
     # One row for each target that has documents.
     rows = docs.join(F.broadcast(goal), "source").where((F.col("copies") > 0) | (F.col("rest") > 0))
-    chance = F.least(F.greatest(F.col("rest") * F.col("_w") / F.col("_all"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    chance = F.least(F.greatest(F.coalesce("_scale", F.lit(1.0)) * F.col("_w"), F.lit(1e-12)), F.lit(1 - 1e-12))
     u = _uniform("mix", key, F.lit(seed))
     q = (u / (1 - u)) / (chance / (1 - chance))
     rows = rows.withColumn("_q", q).withColumn("_bin", F.floor(F.lit(BINS) * (F.col("_q") / (1 + F.col("_q")))).cast("int"))
@@ -89,14 +116,14 @@ def draw(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int =
     return both.withColumn("copies", copies).where(F.col("copies") > 0).select("mix", "source", key, F.col("copies").cast("int").alias("copies"), "tokens")
 
 
-def shares(drawn: DataFrame, sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
-    """``mix, source, target_share, reached_share, tokens, documents, most_copies, reachable`` for every target."""
-    plan = budgets(sizes, targets, total_tokens).select("mix", "source", "target_share", "max_repeats", "reachable")
+def shares(drawn: DataFrame, sizes: DataFrame, targets: DataFrame, total_tokens: float | str | None = None) -> DataFrame:
+    """``mix, source, target_share, reached_share, tokens, short, documents, most_copies, max_repeats, reachable`` for every target."""
+    plan = budgets(sizes, targets, total_tokens).select("mix", "source", "target_share", "max_repeats", "reachable", "short")
     got = drawn.groupBy("mix", "source").agg(
         F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies")
     )
     all_ = F.sum("tokens").over(Window.partitionBy("mix"))
     out = plan.join(got, ["mix", "source"], "left").na.fill(0, ["tokens", "documents", "most_copies"])
     return out.withColumn("reached_share", F.coalesce(F.try_divide("tokens", all_), F.lit(0.0))).select(
-        "mix", "source", "target_share", "reached_share", "tokens", "documents", "most_copies", "max_repeats", "reachable"
+        "mix", "source", "target_share", "reached_share", "tokens", "short", "documents", "most_copies", "max_repeats", "reachable"
     )

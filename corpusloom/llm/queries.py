@@ -129,12 +129,15 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.draw(_sizes(spark, d), tables.table(spark, d, "mix_targets"))
+    """Each mix is to have all the tokens its sources have; larger documents are likelier, in proportion to their tokens."""
+    return mixing.draw(_sizes(spark, d), tables.table(spark, d, "mix_targets"), total_tokens="all", weight="tokens")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each source of each mix was to give, gave, and lacks."""
     sizes, targets = _sizes(spark, d), tables.table(spark, d, "mix_targets")
-    return mixing.shares(mixing.draw(sizes, targets), sizes, targets)
+    drawn = stored(mixing.draw(sizes, targets, total_tokens="all", weight="tokens"), "drawn")
+    return mixing.shares(drawn, sizes, targets, "all")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

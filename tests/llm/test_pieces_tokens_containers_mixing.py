@@ -189,3 +189,36 @@ def test_weights_raise_the_odds_of_inclusion(spark):
     got = [r["doc_id"] for r in mixing.draw(sizes, targets, total_tokens=4000.0, weight="size").collect()]
     heavy = sum(i % 2 for i in got)
     assert len(got) == 400 and 270 <= heavy <= 330  # three quarters expected
+
+
+def test_certain_units_leave_the_rest_to_the_others(spark):
+    """Three giants are certain; the others are drawn by size from what is left, and the tokens come out."""
+    docs = [(i, "s", 5000) for i in range(3)] + [(10 + i, "s", 10 + 10 * (i % 4)) for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint")
+    t = spark.createDataFrame([("m", "s", 1.0, 1)], "mix string, source string, target_share double, max_repeats int")
+    rows = mixing.draw(df, t, total_tokens=40_000, weight="tokens").collect()
+    assert {0, 1, 2} <= {r["doc_id"] for r in rows} and abs(sum(r["tokens"] for r in rows) - 40_000) <= 40
+    n = {k: sum(r["tokens"] == k for r in rows) for k in (10, 20, 30, 40)}
+    # Odds in proportion to size: expected 83, 167, 250, 333 of 1,000 each.
+    assert all(abs(n[k] - 1000 * k / 120) < 45 for k in n)
+
+
+def test_a_stated_size_reports_what_is_lacking(spark):
+    df = spark.createDataFrame([(i, "a" if i % 10 else "b", 100) for i in range(1000)], "doc_id bigint, source string, tokens bigint")
+    t = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 2)], "mix string, source string, target_share double, max_repeats int")
+    got = {r["source"]: r for r in mixing.shares(mixing.draw(df, t, total_tokens="all", weight="tokens"), df, t, "all").collect()}
+    assert got["a"]["tokens"] == 50_000 and got["a"]["short"] == 0 and got["a"]["reachable"]
+    assert got["b"]["tokens"] == 20_000 and got["b"]["short"] == 30_000 and not got["b"]["reachable"] and got["b"]["most_copies"] == 2
+
+
+def test_many_items_of_one_length_find_their_runs(spark, monkeypatch):
+    monkeypatch.setattr(containers, "STRETCH", 7)
+    df = spark.createDataFrame([(i, 3 if i % 3 else 4 + i % 2) for i in range(500)], "doc_id bigint, tokens bigint")
+    caps = spark.createDataFrame([(1, "x", 10)], "capacity_id int, label string, max_tokens int")
+    for most in (0, 10**6):
+        monkeypatch.setattr(containers, "MOST_RUNS", most)
+        rows = containers.fill(spark, df, caps).collect()
+        room = {}
+        for r in rows:
+            room[r["container_id"]] = room.get(r["container_id"], 0) + r["tokens"]
+        assert sorted(r["doc_id"] for r in rows) == list(range(500)) and max(room.values()) <= 10
