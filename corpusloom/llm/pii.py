@@ -17,12 +17,16 @@ What tells a candidate from its look-alikes:
 * address: number and street name in English order, street name and number in
   German and Spanish order, with a unit before it.
 * name: given and family name in any order or with initials, or title and family name.
-  Given names and the parts of family names are learned from the directory;
-  endings and stems combine freely, so the directory need not hold the person.
+  Three things tell a name. Parts: given names, and stems and endings of family names
+  that combine freely, learned from the directory. Words: a capitalised word that the
+  documents do not also write in lower case. Place: behind a title or a given name,
+  or as a pair behind a greeting, a label for persons or a closing, or before a mailbox.
+  The directory is one sign among these; nobody has to be in it.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -51,6 +55,27 @@ SPELLED = {
 }
 #: Forms of address, in English, German and Spanish.
 TITLES = ("mr", "mrs", "ms", "mx", "miss", "dr", "prof", "professor", "herr", "herrn", "frau", "sr", "sra", "srta", "señor", "señora", "señorita", "don", "doña")
+#: Titles that are also words, which need a known family name or ending behind them.
+WEAK_TITLES = ("don", "doña", "miss", "sr", "ms", "prof")
+#: What begins and ends a letter, and labels of persons, in English, German and Spanish.
+GREETINGS = ("dear", "hello", "hi", "hallo", "liebe", "lieber", "hola", "estimado", "estimada", "querido", "querida", "guten tag")
+CLOSINGS = ("regards", "wishes", "sincerely", "yours", "thanks", "thank you", "cheers", "grüße", "grüßen", "gruß", "grüssen", "saludo", "saludos", "atentamente", "gracias")
+PERSONS = (
+    "name", "full name", "contact", "employee", "applicant", "patient", "tenant", "customer", "caller", "author", "attn", "attention", "signed", "signed by",
+    "prepared by", "reported by", "approved by", "written by", "kontakt", "ansprechpartner", "ansprechpartnerin", "antragsteller", "antragstellerin", "mitarbeiter",
+    "mitarbeiterin", "kunde", "kundin", "unterzeichnet", "nombre", "contacto", "empleado", "empleada", "solicitante", "cliente", "firmado",
+)
+#: Capitalised words that are no part of a person's name: bodies, places, roles and the calendar.
+NO_NAMES = frozenset(
+    """team group board desk hub index relay ltd limited inc gmbh ag kg corp company department division office unit section committee council
+    service services system systems portal platform centre center institute university school clinic hospital bank street road avenue lane way drive court
+    square place park room floor hall wing building house site station airport north south east west manager director officer president chair secretary
+    engineer analyst clerk supervisor coordinator assistant lead steward planner inspector captain doctor nurse
+    monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december
+    montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar märz mai juni juli oktober dezember
+    lunes martes miércoles jueves viernes sábado domingo enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre
+    leiter leiterin abteilung gruppe amt stelle gerente directora equipo the this that and for all team-lead""".split()
+)
 #: Particles before a family name.
 PARTICLES = ("van der", "van den", "van", "von der", "von", "de la", "de los", "de las", "del", "de", "di", "da", "dos", "la", "le", "ter", "ten", "zu")
 #: Labels of personal papers.
@@ -70,6 +95,7 @@ OTHER_NUMBERS = (
 STREETS = (
     "street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "way", "close", "terrace", "ter", "boulevard", "blvd", "drive", "court", "ct", "place", "pl",
     "square", "sq", "crescent", "cres", "row", "walk", "gardens", "grove", "parkway", "pkwy", "highway", "hwy", "mews", "quay",
+    "rise", "broadway", "hill", "circle", "trail", "loop", "alley", "vale", "wharf", "heights", "path", "promenade", "esplanade", "strand", "passage", "embankment", "view", "mount",
 )
 
 _S = r"(?:[^\S\n]+|[^\S\n]*\n[^\S\n]*)"  # blanks or one line end: hard-wrapped lines break anywhere
@@ -102,7 +128,7 @@ class Normal:
         return self.back[start], self.back[end - 1] + 1 if end > start else self.back[start]
 
 
-_RUN = re.compile(rf"(?i)\b(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))})(?:[\s,.-]+(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))})\b){{4,}}")
+_RUN = re.compile(rf"(?i)\b(?:plus[\s,.-]+)?(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))})(?:[\s,.-]+(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))})\b){{4,}}")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -139,7 +165,7 @@ def normalise(text: str, spelled: bool = True) -> Normal:
             places.extend(range(at, m.start()))
             words = list(_WORD.finditer(m.group()))
             for w in words:
-                parts.append(SPELLED[w.group().lower()])
+                parts.append("+" if w.group().lower() == "plus" else SPELLED[w.group().lower()])
                 # The last digit stands for the end of its word, so that spans cover all of it.
                 places.append(m.start() + (w.start() if w is not words[-1] else w.end() - 1))
             at = m.end()
@@ -151,9 +177,10 @@ def normalise(text: str, spelled: bool = True) -> Normal:
 
 
 class Lexicon:
-    """Given names, and stems and endings of family names, learned from a directory."""
+    """Given names, and stems and endings of family names, learned from a directory; ``common``, words of the documents."""
 
-    def __init__(self, given: Iterable[str], family: Iterable[str]):
+    def __init__(self, given: Iterable[str], family: Iterable[str], common: Iterable[str] = ()):
+        self.common = frozenset(common)
         self.given = {g.strip().lower() for g in given if g and g.strip()}
         bare = {re.sub(rf"^(?:(?:{_alternatives(PARTICLES)})\s+)?(?:al-|el-|[od]['’])?", "", f.strip().lower()) for f in family if f and f.strip()}
         self.family = {b for b in bare if b}
@@ -173,14 +200,17 @@ def _email_patterns():
     at = rf"(?:@|{_S}@{_S}|{_S}?[(\[{{]\s?(?:at|ät|arroba)\s?[)\]}}]{_S}?)"
     dot = rf"(?:\.|{_S}?[(\[{{]\s?(?:dot|punkt|punto)\s?[)\]}}]{_S}?|{_S}(?:dot|punkt|punto){_S})"
     spelled_dot = rf"(?:{_S}?[(\[{{]\s?(?:dot|punkt|punto)\s?[)\]}}]{_S}?|{_S}(?:dot|punkt|punto){_S})"
-    tail = rf"{label}(?:{dot}{label})*?{dot}[^\W\d_]{{2,24}}(?:{dot}(?:com|org|net|edu|example|mail|corp|[a-z]{{2}})\b)*"
     host = re.compile(rf"(?i){at}(?P<host>{label}(?:{dot}{label})*)")
     word_host = re.compile(rf"(?i){_S}at{_S}(?P<host>{label}(?:{spelled_dot}{label})+)")
-    before = re.compile(rf"(?i)(?:^|(?<=[^\w.+'-]))({local})\Z")
-    return host, word_host, before, tail
+    bracket_dot = rf"{_S}?[(\[{{]\s?(?:dot|punkt|punto)\s?[)\]}}]{_S}?"
+    before = re.compile(rf"(?i)(?:^|(?<=[^\w.+'-]))({local}(?:{bracket_dot}{local})*)\Z")
+    before_words = re.compile(rf"(?i)(?:^|(?<=[^\w.+'-]))({local}(?:(?:{bracket_dot}|{_S}(?:dot|punkt|punto){_S}){local})*)\Z")
+    return host, word_host, before, before_words, re.compile(rf"(?i){spelled_dot}")
 
 
-_HOST, _WORD_HOST, _LOCAL, _ = _email_patterns()
+_HOST, _WORD_HOST, _LOCAL, _LOCAL_WORDS, _SPELLED_DOT = _email_patterns()
+#: A mailbox name has at most 64 characters; spelled dots and look-alikes make it longer.
+_LOCAL_REACH = 160
 
 _PHONE = re.compile(
     r"""(?x)(?<![\w@.,/-])(?:
@@ -271,6 +301,21 @@ class Finder:
         any_family = rf"(?:{initial}{_S})*(?:(?:{_alternatives(PARTICLES)}){_S}(?:al-|[od]['’])?|(?:al-|[od]['’]))[^\W\d_][\w'’-]+"
         self._given_then = re.compile(rf"(?i)(?:{_S}{initial})*{_S}(?:{any_family}|(?-i:[A-ZÀ-Þ][\w'’-]*)(?:{ends}))(?![\w@])")
         self._title_then = re.compile(rf"\.?{_S}(?:{initial}{_S})*(?P<family>(?i:{lead})[A-ZÀ-Þ][^\W\d_]*(?i:{ends}))(?![\w@])")
+        # Names by their place: the words are checked one by one.
+        cap = r"[A-ZÀ-ÞŁŚŻČŠŽĀĒĪŌŪ][^\W\d_]*(?:['’-][^\W\d_]+)*"
+        blank = r"(?:[ \u00a0]+|[ \u00a0]*\n[ \u00a0]*)"
+        pair = lambda b: rf"(?:{cap}|{initial})(?:{b}(?:{initial}))*{b}(?:(?i:{_alternatives(PARTICLES)}){b})?(?i:al-|el-|[od]['’])?{cap}(?:{b}{cap})?"
+        some = pair(blank)
+        self._behind_title = re.compile(rf"\.?{_S}(?P<name>(?:{initial}{_S})*(?:(?P<first>{cap}){_S}(?={cap}|(?i:{_alternatives(PARTICLES)}){_S}))?(?:(?i:{_alternatives(PARTICLES)}){_S})?(?i:al-|el-|[od]['’])?{cap})(?![\w@])")
+        self._behind_given = re.compile(rf"(?:{_S}{initial})*{_S}(?P<family>{cap})(?![\w@]|[-.]\w)")
+        word = lambda w: _alternatives(w)
+        end = rf"(?=[^\S\n]*(?:[,;:!|()<\[\t\n]|$))"
+        self._placed = (
+            re.compile(rf"\b(?i:{word(GREETINGS)}){_S}(?P<name>{some}){end}"),
+            re.compile(rf"(?i:{word(CLOSINGS)})[,.!]?[^\S\n]*\n+[^\S\n]*(?P<name>{some})[^\S\n]*(?=\n|$)"),
+            re.compile(rf"(?i:(?<![\w-])(?:{word(PERSONS)}))[^\S\n]*[:=][^\S\n]*(?P<name>{some}){end}"),
+        )
+        self._before_mail = re.compile(rf"(?<![\w.@-])(?P<name>{pair('[ ]')})[ ][(<\[][ ]?\Z")
         words: dict[str, set[str]] = defaultdict(set)
         for what, keys in (
             ("@", ("@", "(at)", "[at]", "{at}", "( at )", "[ at ]", "(arroba)", "[arroba]")),
@@ -283,6 +328,7 @@ class Finder:
             ("stem", tuple(lexicon.stems) + tuple(lexicon.family)),
             ("given", tuple(lexicon.given)),
             ("title", tuple(f"{t}{e}" for t in TITLES for e in (".", " ", "\n"))),
+            ("placed", (*GREETINGS, *CLOSINGS, *PERSONS)),
         ):
             for k in keys:
                 words[k].add(what)
@@ -337,7 +383,9 @@ class Finder:
             if not m or m.start() < last:
                 continue
             end = self._host_end(t, m)
-            b = _LOCAL.search(t, max(0, m.start() - 80), m.start())
+            # A dot written as a word counts before the sign only if the host has one too.
+            local = _LOCAL_WORDS if _SPELLED_DOT.search(m.group("host")) else _LOCAL
+            b = local.search(t, max(0, m.start() - _LOCAL_REACH), m.start())
             if end and b:
                 s = b.start(1)
                 if low.startswith("mailto:", s):
@@ -436,6 +484,31 @@ class Finder:
             last = e
         return out
 
+    def _may_be_name(self, word: str) -> bool:
+        """A word that the documents do not use as any other, and that names no body, place, role or day."""
+        low = word.lower()
+        return len(low) > 2 and low not in self.lexicon.common and low not in NO_NAMES and not low.rstrip("s") in NO_NAMES
+
+    def _titled(self, m: re.Match, title: str) -> int:
+        """The end of a name behind a title, 0 if there is none. A second word counts if the first can be a given name."""
+        name, first = m.group("name"), m.group("first")
+        last = re.split(r"\s+", name)[-1]
+        if first is None:
+            return m.end("name") if self._may_be_name(last) else 0
+        known = first.lower() in self.lexicon.given
+        # German writes nouns with capitals too, so that a word behind a family name is often none of it.
+        two = known or (title not in ("herr", "herrn", "frau") and self._may_be_name(first)) or re.search(r"\s[a-z]", name)
+        if two and self._may_be_name(last):
+            return m.end("name")
+        return m.end("first") if self._may_be_name(first) else 0
+
+    def _pair(self, m: re.Match) -> int:
+        """The end of a given and a family name that stand where names stand, 0 if a word of them cannot be one."""
+        words = [w for w in re.split(r"\s+", m.group("name")) if len(w) > 2 and w[0].isupper()]
+        if not words or not all(map(self._may_be_name, words)):
+            return 0
+        return m.end("name")
+
     def _names(self, t: str, hits, mails: list[tuple[int, int]]) -> list[Span]:
         spans: dict[int, int] = {}
         anchored: list[tuple[int, int]] = []
@@ -475,11 +548,26 @@ class Finder:
                 continue
             if m := self._given_then.match(t, b):
                 spans.setdefault(a, m.end())
+            elif t[a].isupper() and (m := self._behind_given.match(t, b)) and self._may_be_name(m.group("family")):
+                spans.setdefault(a, m.end())
         for a, b in hits.get("title", ()):
             if a and (t[a - 1].isalnum() or t[a - 1] in "_@.+-'"):
                 continue
             if m := self._title_then.match(t, b - 1):
                 spans.setdefault(re.match(rf"\.?{_S}", t[b - 1 :]).end() + b - 1, m.end())
+            elif t[a].isupper() and t[a : b - 1].lower() not in WEAK_TITLES and (m := self._behind_title.match(t, b - 1)):
+                found = self._titled(m, t[a : b - 1].lower())
+                if found:
+                    spans.setdefault(m.start("name"), found)
+        # Pairs told by their place alone stand back behind names told by their parts.
+        told = sorted(spans.items())
+        starts = [a for a, _ in told]
+        placed = [m for pattern in self._placed for m in pattern.finditer(t)] if "placed" in hits else []
+        placed += [m for a, _ in mails if (m := self._before_mail.search(t, max(0, a - 160), a))]
+        for m in placed:
+            i = bisect.bisect_left(starts, m.end("name"))
+            if (not i or told[i - 1][1] <= m.start("name")) and (end := self._pair(m)):
+                spans.setdefault(m.start("name"), end)
         out, last, i = [], -1, 0
         for s in sorted(spans):
             e = spans[s]
@@ -505,15 +593,52 @@ def redact(text: str | None, spans: list[Span]) -> str | None:
     return "".join(out) + text[at:]
 
 
-def lexicon_of(staff: DataFrame, most: int = 200_000) -> Lexicon:
-    """The directory's names. It is a list of people, not a corpus: above ``most`` distinct names this refuses."""
+#: Words kept of the documents at most, the most frequent; documents in which a word must stand in lower case.
+MOST_WORDS, LEAST_DOCS = 200_000, 3
+_ANY_WORD = re.compile(r"[^\W\d_]{3,}(?:['’-][^\W\d_]+)*")
+
+
+def _word_counts(texts: Iterable[str | None]) -> dict[str, list[int]]:
+    """Of each word in how many texts it stands in lower case, and in how many capitalised."""
+    counts: dict[str, list[int]] = {}
+    for t in texts:
+        for w in set(_ANY_WORD.findall(t)) if t else ():
+            low = w.lower()
+            counts.setdefault(low, [0, 0])[w != low] += 1
+    return counts
+
+
+def common_words_of(texts: Iterable[str | None]) -> set[str]:
+    return {w for w, (low, high) in _word_counts(texts).items() if low >= LEAST_DOCS and low >= high / 4}
+
+
+def common_words(docs: DataFrame, text: str = "text") -> set[str]:
+    """Words that documents use in lower case, in three or more of them and not rarely against capitals.
+
+    Every task counts its own texts first; at most ``MOST_WORDS`` come to the driver, by frequency.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = _word_counts(b.column(0).to_pylist())
+            low, high = zip(*got.values()) if got else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["word", "low", "high"])
+
+    seen = docs.select(text).mapInArrow(count, "word string, low bigint, high bigint")
+    seen = seen.groupBy("word").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    rows = seen.where((F.col("low") >= LEAST_DOCS) & (F.col("low") >= F.col("high") / 4)).orderBy(F.desc("low"), "word").limit(MOST_WORDS)
+    return {r["word"] for r in rows.select("word").collect()}
+
+
+def lexicon_of(staff: DataFrame, docs: DataFrame | None = None, most: int = 200_000) -> Lexicon:
+    """The directory's names, and the words of ``docs``.
+
+    The directory is a list of people, not a corpus: above ``most`` distinct names this refuses.
+    """
     names = staff.select("given_name", "family_name").distinct().limit(most + 1).collect()
     if len(names) > most:
         raise ValueError(f"the directory has more than {most} names")
-    return Lexicon((r[0] for r in names), (r[1] for r in names))
-
-
-_FINDERS: dict[int, Finder] = {}
+    return Lexicon((r[0] for r in names), (r[1] for r in names), common_words(docs) if docs is not None else ())
 
 
 def mentions(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -141,13 +141,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    lexicon = pii.lexicon_of(tables.table(spark, d, "staff"))
-    return pii.mentions(tables.table(spark, d, "documents"), lexicon).select("doc_id", "kind", "start_at")
+    docs = tables.table(spark, d, "documents")
+    return pii.mentions(docs, pii.lexicon_of(tables.table(spark, d, "staff"), docs)).select("doc_id", "kind", "start_at")
 
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
-    lexicon = pii.lexicon_of(tables.table(spark, d, "staff"))
-    return pii.redacted(tables.table(spark, d, "documents"), lexicon)
+    docs = tables.table(spark, d, "documents")
+    return pii.redacted(docs, pii.lexicon_of(tables.table(spark, d, "staff"), docs))
 
 
 ALL = (p1_found, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_groups, p5_found, p5_clusters, p6_containers, p6_summary, p7_selection, p7_shares, p8_found, p8_redacted)

@@ -71,3 +71,86 @@ def test_frames(spark):
     with pytest.raises(ValueError):
         pii.lexicon_of(staff, most=2)
     assert pii.Finder(pii.Lexicon([], [])).find("a@b.example")[0].kind == "email"
+
+
+#: People, streets and mailboxes that share no part with the directory. ``{{kind:text}}`` marks a mention.
+STRANGERS = r"""
+Please ask Mr {{name:Kowalczyk}} about the badge.
+Dr. {{name:Nakamura}} will see you at noon.
+Herr {{name:Oberhauser}} und Frau {{name:Brandstetter}} sind informiert.
+Sra. {{name:Echeverría}} llamó ayer.
+Mrs. {{name:O'Callaghan}} signed for the parcel.
+Prof. {{name:Lindqvist-Berg}} moved the meeting? No.
+Dear {{name:Agnieszka Kowalczyk}},
+Dear {{name:Tomasz Wiśniewski}}, your badge is ready.
+Hola {{name:Itziar Echeverría}}, gracias por venir.
+Hallo {{name:Jürgen Oberhauser}}!
+Kind regards,\n{{name:Priya Raghunathan}}
+Mit freundlichen Grüßen\n{{name:Jürgen Oberhauser}}
+Un saludo,\n{{name:Begoña Urrutia}}
+Name: {{name:Oluwaseun Adebayo}}
+Contact: {{name:Kenji Nakamura}}, room 4
+Ansprechpartner: {{name:Wolfgang Hinterseer}}
+Nombre: {{name:Xabier Goikoetxea}}
+{{name:Fatima Benali}} <{{email:fatima.benali@orchard-mill.example}}> wrote:
+{{name:Dagny Kowalczyk}} and {{name:Zoë Nakamura}} met.
+Mr {{name:J. Kowalczyk}} rang.
+Mr {{name:Dagny Oberhauser}} rang.
+Frau {{name:van Houten}} kommt später.
+write to {{email:john dot smith at example dot com}} today
+or {{email:j [dot] doe [at] quiet-mill [dot] example}} please
+or {{email:kenji.nakamura@bluepost.example.org}} instead
+mail {{email:agnes_k+lab{at}stonefort{dot}example}} first
+ring {{phone:plus four four two zero seven nine four six zero zero one six}} today
+ring {{phone:+49 30 23125 456}} or {{phone:(212) 555-0143}} later
+ring {{phone:zero one six three two nine six zero zero four five}} now
+her SSN is {{id_number:666-12-3456}}, do not share
+passport no. {{id_number:ZK4471102}} expires soon
+He lives at {{address:12 Hill Rise}} now.
+She moved to {{address:12 Kestrel Broadway}} in May.
+Send it to {{address:Flat 3, 88 Juniper Crescent}} please.
+Parcels go to {{address:7 Old Tannery Lane}} only.
+Er wohnt in der {{address:Buchenhainstraße 14}} seit Mai.
+Vive en {{address:Calle del Almendro 22}} desde mayo.
+The Fleet Planner met the Wexnysol Board on Monday.
+Dear Support Team,
+Dear Customer, your order 4471102 is on its way.
+Name: Fleet Desk
+Contact: Lanrostadt Relay
+Kind regards,\nThe Fleet Desk
+Ms Excel and Dr. Board are no people.
+Herr im Haus, Frau am Steuer.
+Room 12 Hill; order no. 212-555-0143; part 4471-102
+"""
+
+
+def test_people_who_are_in_no_directory():
+    import collections
+    import re
+
+    common = "the fleet planner support team customer excel desk relay order kind people room your this met".split()
+    finder = pii.Finder(pii.Lexicon(["Dagny", "José-Mael", "Émeric", "Zoë", "Viggo"], ["Albrivaja", "Korbzuüller", "Velktsson", "Ostenkquist"], common))
+    right, found, wanted = collections.Counter(), collections.Counter(), collections.Counter()
+    wrong = []
+    for line in STRANGERS.strip().split("\n"):
+        line = line.replace("\\n", "\n")
+        text, want, at = "", set(), 0
+        for m in re.finditer(r"\{\{(\w+):(.*?)\}\}(?!\})", line, re.S):
+            text += line[at : m.start()]
+            want.add((m[1], len(text), len(text) + len(m[2])))
+            text += m[2]
+            at = m.end()
+        text += line[at:]
+        got = {(s.kind, s.start, s.end) for s in finder.find(text)}
+        wrong += [(k, text[a:b], text) for k, a, b in got ^ want]
+        for counter, spans_ in ((right, got & want), (found, got), (wanted, want)):
+            counter.update(k for k, _, _ in spans_)
+    for kind in pii.KINDS:
+        assert right[kind] >= 0.9 * wanted[kind] and right[kind] >= 0.9 * found[kind], (kind, wrong)
+
+
+def test_words_of_the_documents(spark):
+    docs = spark.createDataFrame([(i, "the wharf is Closed, Marta" if i % 2 else "marta The Wharf") for i in range(8)] + [(9, None), (10, "")], "doc_id bigint, text string")
+    assert pii.common_words(docs) == pii.common_words_of(r["text"] for r in docs.collect())
+    assert {"wharf", "the"} <= pii.common_words(docs) and "closed" not in pii.common_words(docs)
+    assert pii.common_words(docs.limit(0)) == set()
