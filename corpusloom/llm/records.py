@@ -25,17 +25,10 @@ from ..session import stored
 #: Fixed value: from so many items on a paragraph of nothing else is a record.
 LEAST_ITEMS = 4
 _DROP = re.compile(r"[\W_]+")
-_LEAD = r"^\W*?(?:\d{1,3}[.)]\s+\W*?)?"
-#: What stands between a field and its value: signs, a dash, a tab, a bar.
-_FIELDS = tuple(
-    re.compile(_LEAD + field + between + r"(?P<value>.*)$", re.S)
-    for field, between in (
-        (r"(?P<field>[^:=→>]*[^\W\d_][^:=→>]*?)", r"\s*(?:=>|:=|->|→|[:=])"),
-        (r"(?P<field>[^\t]*[^\W\d_][^\t]*)", r"\t+"),
-        (r"\|?(?P<field>[^|]*[^\W\d_][^|]*)", r"\|(?=[^|]*\|?\s*$)"),
-        (r"(?P<field>(?:(?!\s[-–—]\s).)*[^\W\d_](?:(?!\s[-–—]\s).)*?)", r"\s[-–—]\s"),
-    )
-)
+_LEAD = re.compile(r"\W*(?:\d{1,3}[.)]\s+\W*)?")
+_LETTER = re.compile(r"[^\W\d_]")
+#: What stands between a field and its value: a sign; a tab, a bar or a dash.
+_BETWEEN = (re.compile(r"=>|:=|->|→|[:=]"), re.compile(r"\t+"), re.compile(r"\|"), re.compile(r"\s[-–—]\s"))
 #: What stands between items. A value may hold any sign but the one chosen.
 _LINES = re.compile(r"[\n\r\u2028\u2029\v\f\x85]+")
 _SPLITS = (
@@ -75,6 +68,19 @@ def _item(field: str, value) -> tuple[str, str]:
     return _tree(f"{field} {'' if value is None else value}")
 
 
+def _pair(item: str, between: re.Pattern) -> tuple[str, str] | None:
+    """Field and value of an item, in one pass over it; None if it has none."""
+    start = _LEAD.match(item).end()
+    at = between.search(item, start)
+    if at is None or not _LETTER.search(item, start, at.start()):
+        return None
+    field, value = item[start : at.start()], item[at.end() :]
+    # A tab, bar or dash parts an item only if it is the only one; else it is white space, a table or prose.
+    if between is not _BETWEEN[0] and between.search(value.rstrip().removesuffix("|")):
+        return None
+    return field, value
+
+
 def _items(text: str) -> list[tuple[str, str]] | None:
     """The items of a record; None if the text is anything else."""
     bare = text.strip().strip("﻿​‌‍⁠")
@@ -93,14 +99,18 @@ def _items(text: str) -> list[tuple[str, str]] | None:
         parts = [p for p in split.split(bare) if _DROP.sub("", p)]
         if len(parts) < LEAST_ITEMS:
             continue
-        for i, pattern in enumerate(_FIELDS):
+        for i, between in enumerate(_BETWEEN):
             # Tabs, bars and dashes part field and value only where each item is a line.
             if (i == 0 and not signs) or (i > 0 and split is not _LINES):
                 continue
-            found = [m for p in parts if (m := pattern.match(p))]
+            found = []
+            for p in parts:
+                if (pair := _pair(p, between)) is None:
+                    break
+                found.append(pair)
             # A field may be left empty, but not most of them.
-            if len(found) == len(parts) and 2 * sum(bool(_DROP.sub("", m["value"])) for m in found) > len(found):
-                return [_item(m["field"], m["value"]) for m in found]
+            if len(found) == len(parts) and 2 * sum(bool(_DROP.sub("", v)) for _, v in found) > len(found):
+                return [_item(f, v) for f, v in found]
     return None
 
 
