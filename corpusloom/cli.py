@@ -6,7 +6,8 @@ import argparse
 import sys
 from pathlib import Path
 
-from .operators import grading, passport, signals, topics
+from .operators import assist, grading, passport, signals, topics
+from .operators.models import HttpModels
 from .operators.corpus import Corpus, corpus_totals
 from .operators.report import report_lines
 from .operators.tags import TagSet
@@ -19,12 +20,39 @@ STATE = ".corpusloom"
 
 def _corpus(args, **overrides) -> Corpus:
     cfg = config.load(args.folder).merged(**overrides)
-    corpus = Corpus.of_folder(local_session(), args.folder, cfg)
+    models = _models(args)
+    embedder = models if models and models.name else None
+    corpus = Corpus.of_folder(local_session(), args.folder, cfg, embedder=embedder, cache=str(Path(args.folder) / STATE / "vectors"))
     if not corpus.docs.head(1):
         raise SystemExit(f"no text files below {args.folder}")
     return corpus
 
 
+def _models(args, chat: bool = False) -> HttpModels | None:
+    """The model service that was named; None if none was. One that does not answer ends the command, as does a missing chat model where it is needed."""
+    if not getattr(args, "models", None):
+        if chat:
+            raise SystemExit("this needs a chat model: --models URL --chat MODEL")
+        return None
+    models = HttpModels(args.models, args.embed or "", args.chat or "")
+    if not models.ready():
+        raise SystemExit(f"the model service at {args.models} does not answer, or lacks the models")
+    return models
+
+
+def guess(args) -> int:
+    """Proposes tags for what the data is, and keeps them with the others."""
+    chat = _models(args, chat=True)
+    path = Path(args.folder) / STATE / "tags.json"
+    tags = TagSet.load(path)
+    found = assist.guess(_corpus(args), chat, tags)
+    for t in found:
+        print(f"{t.group:<10} {t.label}")
+    tags.replace_proposals(found, ("data_type", "use_case", "topic"))
+    tags.save(path)
+    return 0 if found else 1
+
+
 def look(args) -> int:
     enabled = tuple(args.signals.split(",")) if args.signals else None
     if not signals.select(args.tier if args.tier is not None else 2, enabled or ()):
@@ -42,7 +70,17 @@ def list_signals(_args) -> int:
 
 def inventory(args) -> int:
     corpus = _corpus(args, max_topics=args.topics)
-    data = topics.snapshot(corpus)
+    names, models = {}, None if args.no_labels else _models(args)
+    if models and models.chat_model:
+        members = topics.typical_members(corpus)
+        ids = {r["cluster"]: r["cluster_id"] for r in topics.cluster_ids(members).collect()}
+        named = {ids[c]: said for c, said in assist.name_clusters(members, models).items()}
+        path = Path(args.folder) / STATE / "tags.json"
+        tags = TagSet.load(path)
+        tags.replace_proposals(assist.topic_tags(named), ("topic",))
+        tags.save(path)
+        names = {k: label for k, (label, _) in named.items()}
+    data = topics.snapshot(corpus, names, chat_model=models.chat_model if models else "")
     topics.save_json(Path(args.folder) / STATE / "inventory.json", data)
     print("\n".join(topics.inventory_lines(data)))
     return 0
@@ -95,12 +133,12 @@ def bench(args) -> int:
             for row in grading.sweep_cases(lambda c, n, v: make(c, **{n: v}), cases, args.sweep, args.tier):
                 print("{:>10} {:<12} tp {} fp {} found {}".format(*row))
             return 0
+        rows, levels = [], []
         for case in cases:
             scores, level = grading.grade_case(make(case), case, args.tier)
-            print(case.name)
-            for r in scores.orderBy("signal").collect():
-                print(f"  {r['signal']:<12} planted {r['planted']} found {r['found']} tp {r['tp']} fp {r['fp']}")
-            print("  graded {graded} found {found} missed {missed} unclaimed {unclaimed}".format(**level.first().asDict()))
+            rows += [{"case": case.name, **r.asDict()} for r in scores.orderBy("signal").collect()]
+            levels.append({"case": case.name, **level.first().asDict()})
+        print("\n".join(grading.table_lines(rows, levels)))
     except grading.GradingError as why:
         print(why, file=sys.stderr)
         return 1
@@ -116,6 +154,9 @@ def parser() -> argparse.ArgumentParser:
         c.set_defaults(run=run)
         if folder:
             c.add_argument("folder")
+            c.add_argument("--models", help="URL of a model service")
+            c.add_argument("--embed", help="its embedding model")
+            c.add_argument("--chat", help="its chat model")
         return c
 
     c = command("look", look)
@@ -125,7 +166,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--chunk-words", type=int)
     c.add_argument("--all", action="store_true")
     command("signals", list_signals, folder=False)
+    command("guess", guess)
     c = command("inventory", inventory)
+    c.add_argument("--no-labels", action="store_true")
     c.add_argument("--topics", type=int)
     c = command("tag", tag)
     c.add_argument("--list", action="store_true")

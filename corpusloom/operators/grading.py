@@ -244,3 +244,21 @@ def sweep_cases(make_corpus, cases: list[Path], spec: str, max_tier: int = 0) ->
         rows += [(v, s, *x) for s, x in sorted(sums.items())]
     moved = {s for s in {r[1] for r in rows} if len({r[2:] for r in rows if r[1] == s}) > 1}
     return [r for r in rows if r[1] in moved]
+
+
+def table_lines(rows: list[dict], levels: list[dict]) -> list[str]:
+    """The scores of each case, of all cases by signal, and one line over everything."""
+    ratio = lambda a, b: f"{a / b:.2f}" if b else "-"
+    line = lambda name, r: (
+        f"  {name:<12} planted {r['planted']:>3}  found {r['found']:>3}  tp {r['tp']:>3}  fp {r['fp']:>3}  precision {ratio(r['tp'], r['tp'] + r['fp'])}  recall {ratio(r['found'], r['planted'])}"
+    )
+    total = lambda part: {k: sum(r[k] for r in part) for k in ("planted", "found", "tp", "fp")}
+    out = []
+    for level in levels:
+        own = [r for r in rows if r["case"] == level["case"]]
+        out += [level["case"], *[line(r["signal"], r) for r in own]]
+        out.append("  defects: graded {graded}, found {found}, missed {missed}, unclaimed {unclaimed}".format(**level))
+    out.append("all cases")
+    out += [line(s, total([r for r in rows if r["signal"] == s])) for s in sorted({r["signal"] for r in rows})]
+    sums = {k: sum(level[k] for level in levels) for k in ("graded", "found", "missed", "unclaimed")}
+    return [*out, line("OVERALL", total(rows)), "  defects: graded {graded}, found {found}, missed {missed}, unclaimed {unclaimed}".format(**sums)]

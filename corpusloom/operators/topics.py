@@ -146,6 +146,16 @@ def inventory(corpus) -> tuple[DataFrame, DataFrame]:
     return members, corpus.paragraphs.join(found.select(F.col("key").alias("id")), "id", "left_anti")
 
 
+def typical_members(corpus) -> DataFrame:
+    """Members of ``inventory`` with ``score``, their cosine to the centre of their cluster."""
+    members, _ = inventory(corpus)
+    held = members.join(corpus.paragraph_vectors, "fp").withColumn("u", V.normalise(F.col("vec")))
+    means = held.select("cluster", F.posexplode("u")).groupBy("cluster", "pos").agg(F.avg("col").alias("m"))
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"])
+    centres = means.groupBy("cluster").agg(V.normalise(mean).alias("centre"))
+    return held.join(centres, "cluster").withColumn("score", V.dot(F.col("u"), F.col("centre"))).drop("u", "centre", "vec")
+
+
 def snapshot(corpus, names: dict[str, str] | None = None, created: str | None = None, chat_model: str = "") -> dict:
     """The inventory as one document. Gathers fingerprints, at most ``MOST_VECTORS`` of them clustered."""
     members, rest = inventory(corpus)

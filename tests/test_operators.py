@@ -261,3 +261,137 @@ def test_pack_chunks_drops_small_before_numbering(spark):
     p = spark.createDataFrame(rows, "id bigint, source string, position int, text string, fp string, words int")
     got = [(r["id"], r["paragraph_ids"]) for r in pack_chunks(p, 60, 20).orderBy("id").collect()]
     assert got == [(0, [1, 2]), (1, [3])]
+
+
+def counting(path):
+    """An embedder that writes a line for each text, from whatever process; made here so that it travels by value."""
+
+    class CountingEmbedder(models.HashEmbedder):
+        def embed(self, texts):
+            with open(path, "a") as f:
+                f.writelines("x\n" for _ in texts)
+            return models.HashEmbedder.embed(self, texts)
+
+    return CountingEmbedder(32)
+
+
+def test_each_text_is_embedded_once_and_not_again(spark, tmp_path):
+    log = tmp_path / "log"
+    docs = spark.createDataFrame([(f"{i}.md", " ".join(f"w{i}x{j}" for j in range(30)) + "\n\n" + "the same closing paragraph of ten words for all of us") for i in range(8)], "source string, text string")
+    for run, want in ((1, True), (2, False)):
+        log.write_text("")
+        c = Corpus(docs, Config(near_duplicate=0.9, min_words=5), counting(str(log)), cache=str(tmp_path / "cache"))
+        assert signals.near_dupes(c, c.config).rows.count() >= 0 and signals.generic(c, c.config).rows.count() >= 0
+        distinct = {r[0] for r in c.chunks.select("fp").collect()} | {r[0] for r in c.paragraphs.where("words >= 10").select("fp").collect()}
+        assert len(log.read_text().split()) == (len(distinct) if want else 0)
+    assert models.read_cache(spark, str(tmp_path / "none"), "m").count() == 0
+
+
+def test_top_k_of_many_is_exact(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(90, 8))
+    x[40:44] = x[40]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    got = {}
+    for r in similarity.top_k_of_many(df, df.where("id % 10 = 0"), "id", 4, block=16).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = r["key"]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 90, 10):
+        s = u @ u[q]
+        assert [got[q][i] for i in range(1, 5)] == sorted(range(90), key=lambda i: (-round(s[i], 12), i))[:4]
+    assert set(got) == set(range(0, 90, 10))
+    assert similarity.top_k_of_many(df.limit(0), df, "id").count() == 0 == similarity.top_k_of_many(df, df.limit(0), "id").count()
+
+
+def test_hot_texts_lose_no_row(spark, corpus, monkeypatch):
+    want = sorted(map(tuple, signals.exact_dupes(corpus, corpus.config).members.collect()))
+    monkeypatch.setattr(signals, "HOT", 2)
+    assert sorted(map(tuple, signals.exact_dupes(corpus, corpus.config).members.collect())) == want
+    monkeypatch.setattr(signals, "HOT_TEXTS", 0)
+    assert sorted(map(tuple, signals.exact_dupes(corpus, corpus.config).members.collect())) == want
+
+
+def _planted(folder):
+    """A case in the shape of a dirty collection: a menu line on five of eight pages, a footer on three, a copy, a wall, a fragment."""
+    import json
+
+    menu = "Home > Help > Articles > You are reading page one of many pages in the public help area today"
+    footer = "All rights in these pages are held by the makers of this site and may not be sold on without leave given first"
+    copy = "The move of accounts to the new ledger has reached step four of nine and nothing is late so far, says the person in charge of it all this week and the next"
+    body = lambda i: " ".join(f"page{i}word{j}" for j in range(45))
+    pages = {f"p{i}.md": [body(i)] for i in range(8)}
+    for i in (0, 2, 4, 6, 7):
+        pages[f"p{i}.md"].insert(0, menu)
+    for i in (1, 3, 5):
+        pages[f"p{i}.md"].append(footer)
+    for i in (4, 5):
+        pages[f"p{i}.md"].append(copy)
+    pages["p6.md"].append(" ".join(f"wall{j}" for j in range(420)))
+    pages["short.md"] = ["This note of just twenty-two words was left on its own page and nobody ever came back to say more than that."]
+    for name, parts in pages.items():
+        (folder / name).write_text("\n\n".join(parts))
+    defects = [
+        {"id": "menu", "kinds": ["boilerplate", "exact_duplicate"], "snippets": ["you are reading page one of many"]},
+        {"id": "footer", "kinds": ["boilerplate", "exact_duplicate"], "snippets": ["may not be sold on without leave"]},
+        {"id": "copy", "kinds": ["exact_duplicate"], "snippets": ["has reached step four of nine"]},
+        {"id": "wall", "kinds": ["length_outlier"], "snippets": ["wall7 wall8 wall9 wall10 wall11"]},
+        {"id": "fragment", "kinds": ["length_outlier"], "snippets": ["nobody ever came back to say"]},
+        {"id": "tone", "kinds": ["off_topic"], "snippets": ["page1word3 page1word4 page1word5 page1word6"]},
+    ]
+    (folder / "manifest.json").write_text(json.dumps({"defects": defects}))
+
+
+def test_planted_cases_are_found_in_full(spark, tmp_path):
+    rows, levels = [], []
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        _planted(tmp_path / name)
+        case = Corpus.of_folder(spark, str(tmp_path / name), Config(max_tier=0))
+        scores, level = gr.grade_case(case, tmp_path / name)
+        rows += [{"case": name, **r.asDict()} for r in scores.collect()]
+        levels.append({"case": name, **level.first().asDict()})
+    got = {r["signal"]: (r["planted"], r["found"], r["tp"], r["fp"]) for r in rows if r["case"] == "one"}
+    assert got == {"boilerplate": (2, 2, 2, 0), "exact_dupes": (3, 3, 3, 0), "length": (2, 2, 2, 0)}
+    assert levels[0] == {"case": "one", "graded": 5, "found": 5, "missed": 0, "unclaimed": 1}
+    text = gr.table_lines(rows, levels)
+    assert any(x.split()[:3] == ["OVERALL", "planted", "14"] and x.endswith("recall 1.00") for x in text)
+    with pytest.raises(gr.GradingError):
+        lost = gr.defects_frame(spark, "one", [{"id": "x", "kinds": ["boilerplate"], "snippets": ["a text that no page of this case has"]}])
+        gr.resolve_defects(case.paragraphs, lost)
+
+
+def test_a_model_service(tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Service(BaseHTTPRequestHandler):
+        def _send(self, data):
+            body = json.dumps(data).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self):
+            self._send({"models": [{"name": "emb:latest"}, {"name": "chat"}]})
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self._send({"embeddings": [[1.0, 2.0] for _ in body["input"]]} if self.path == "/api/embed" else {"message": {"content": '{"a": 1}'}})
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    there = models.HttpModels(url, "emb", "chat")
+    assert there.ready() and there.embed(["a", "b"]).shape == (2, 2) and there.answer("?") == '{"a": 1}'
+    assert not models.HttpModels(url, "other").ready()
+    server.shutdown()
+    server.server_close()
+    assert not there.ready()
+    with pytest.raises(models.ServiceError):
+        there.embed(["a"])
