@@ -59,6 +59,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_items(tables.table(spark, d, "chunks"), paras).withColumnRenamed("id", "chunk_id")
 
 
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Of each oversized chunk the words its pieces hold without their overlaps, and whether each keeps the limit and its overlap."""
+    held = p2_pieces(spark, d).groupBy("chunk_id").agg(
+        F.sum(F.col("words") - F.col("overlap")).alias("words"), F.max("words").alias("most"), F.min(F.when(F.col("piece") > 0, F.col("overlap"))).alias("least"),
+    )
+    return held.select("chunk_id", "words", (F.col("most") <= 400).alias("within"), (F.col("least") > 0).alias("overlapping"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     out = pieces.split_items(tables.table(spark, d, "chunks"))
     return out.where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select(F.col("id").alias("chunk_id"))
@@ -128,6 +136,16 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
     return containers.fill_summary(p6_containers(spark, d), tables.table(spark, d, "capacities"))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of each capacity how many documents are placed whole, and how many containers hold more than they may."""
+    sizes, caps = _sizes(spark, d), tables.table(spark, d, "capacities")
+    filled = stored(containers.fill(spark, sizes, caps), "filled")
+    placed = filled.groupBy("capacity_id", "doc_id").agg(F.sum("tokens").alias("held")).join(sizes.select("doc_id", "tokens"), "doc_id")
+    whole = placed.where(F.col("held") == F.col("tokens")).groupBy("capacity_id").agg(F.count(F.lit(1)).alias("documents"))
+    full = filled.groupBy("capacity_id", "container_id").agg(F.sum("tokens").alias("t")).join(F.broadcast(caps), "capacity_id")
+    return whole.join(full.groupBy("capacity_id").agg(F.count_if(F.col("t") > F.col("max_tokens")).alias("over")), "capacity_id")
+
+
 def p7_selection(spark: SparkSession, d: str) -> DataFrame:
     """Each mix is to have all the tokens its sources have; larger documents are likelier, in proportion to their tokens."""
     return mixing.draw(_sizes(spark, d), tables.table(spark, d, "mix_targets"), total_tokens="all", weight="tokens")
@@ -150,7 +168,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(docs, pii.lexicon_of(tables.table(spark, d, "staff"), docs))
 
 
-ALL = (p1_found, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_groups, p5_found, p5_clusters, p6_containers, p6_summary, p7_selection, p7_shares, p8_found, p8_redacted)
+ALL = (p1_found, p2_found, p2_pieces, p2_coverage, p3_found, p3_neighbours, p4_found, p4_groups, p5_found, p5_clusters, p6_containers, p6_summary, p6_check, p7_selection, p7_shares, p8_found, p8_redacted)
 
 
 def queries() -> dict:
@@ -161,6 +179,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"""SELECT DISTINCT id AS chunk_id FROM chunks WHERE text IS NOT NULL
             AND len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '')) > 400""",
+        "p2_coverage": f"""WITH c AS (SELECT id, max(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY id),
+            w AS (SELECT id, len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '')) AS words FROM chunks JOIN c USING (id, text))
+            SELECT DISTINCT id AS chunk_id, CAST(words AS BIGINT) AS words, true AS within, true AS overlapping FROM w WHERE words > 400""",
+        "p6_check": "SELECT capacity_id, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0 AS over FROM capacities",
         # Members of a cluster all have the same neighbours: the cluster itself.
         "p5_found": f"""WITH v AS (SELECT fp, list_transform(any_value(vec), lambda x: x::DOUBLE) AS v FROM vectors
               WHERE model = '{MODEL}' AND kind = 'paragraph' AND fp IS NOT NULL AND len(vec) = {DIM}
