@@ -52,7 +52,7 @@ LEAST_WORDS, RUN, SHARE = 20, 3, 0.5
 #: Signature bits that may differ: 60 are expected at one half in common, the spread is 6.7.
 MOST_BITS = 100
 #: Nodes of one key that meet as single pairs; beyond it slices of so many meet in a task of their own.
-FEW, SLICE = 64, 1000
+FEW, SLICE = 256, 1000
 #: Rows from which a key is crowded, so that its rows are not shuffled; keys that are broadcast for it at most.
 HOT, HOT_KEYS = 100_000, 10_000
 #: Values written into a query, so that it reads only their buckets; rows of a batch that are hashed in one bucket.
@@ -251,7 +251,7 @@ class History:
             where = f"{path}/{'texts' if table == self._texts else 'blocks'}"
             spark.sql(
                 f"CREATE TABLE {table} ({columns}) USING PARQUET PARTITIONED BY ({parts}) CLUSTERED BY ({by}) SORTED BY ({by}) "
-                f"INTO {buckets} BUCKETS LOCATION '{where}'"
+                f"INTO {buckets} BUCKETS OPTIONS ('compression'='zstd') LOCATION '{where}'"
             )
             if done:
                 spark.sql(f"MSCK REPAIR TABLE {table}")
@@ -310,13 +310,16 @@ class History:
         """``df`` as the side that is moved and hashed, so that the index streams past unsorted; not if a bucket would hold too many."""
         return df.hint("shuffle_hash") if n * (TABLES + 1) / self.buckets <= BUILT else df
 
-    def _commit(self, run: int, new: DataFrame, taken: DataFrame, blocks: DataFrame) -> DataFrame:
-        """Writes a run: texts of ``taken`` and ``blocks`` (``key, node, lead``), and only then the run's own row."""
+    def _commit(self, run: int, new: DataFrame, taken: DataFrame, lead: DataFrame, later: DataFrame) -> DataFrame:
+        """Writes a run: texts of ``taken``, the ``key, node`` of leads and of later nodes, and only then the run's own row."""
         view = f"history_run_{uuid.uuid4().hex[:12]}"
-        texts = new.drop("keys").join(taken, "node", "left_semi")
-        for table, df, part, by in ((self._texts, texts, f"run={run}", "node"), (self._blocks, blocks, f"run={run}, lead", "key")):
+        parts = (
+            (self._texts, new.drop("keys").join(taken, "node", "left_semi"), f"run={run}", "node", "node, root, text, s0, s1, s2, s3"),
+            (self._blocks, lead, f"run={run}, lead=true", "key", "key, node"),
+            (self._blocks, later, f"run={run}, lead=false", "key", "key, node"),
+        )
+        for table, df, part, by, cols in parts:
             df.repartition(self.buckets, by).createOrReplaceTempView(view)
-            cols = "node, root, text, s0, s1, s2, s3" if table == self._texts else "key, node, lead"
             self.spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({part}) SELECT {cols} FROM {view}")
         self.spark.catalog.dropTempView(view)
         self.spark.range(run, run + 1).select(F.col("id").cast("int").alias("run")).coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
@@ -337,8 +340,8 @@ class History:
         mine = new.select(F.explode("keys").alias("key"), "node")
         # Counted where the rows lie first, so a family is no hot key.
         keyed = work.store(mine.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
-        later = self._known_of(mine, keyed.where(F.col("n") > 1)).where(F.col("node") != F.col("first")).select("key", "node", F.lit(False).alias("lead"))
-        out = self._commit(run, new, new.select("node"), keyed.select("key", F.col("first").alias("node"), F.lit(True).alias("lead")).unionByName(later))
+        later = self._known_of(mine, keyed.where(F.col("n") > 1)).where(F.col("node") != F.col("first")).select("key", "node")
+        out = self._commit(run, new, new.select("node"), keyed.select("key", F.col("first").alias("node")), later)
         remove(self.spark, work.path)
         return out
 
@@ -376,9 +379,9 @@ class History:
 
         clear = keyed.where((F.col("n") == 1) & F.col("a").isNull()).select("key", F.col("first").alias("node")).join(taken, "node", "left_semi")
         kept = touched.join(taken, "node", "left_semi").select("key", "node", "a")
-        lead = kept.where(F.col("a").isNull()).groupBy("key").agg(F.min("node").alias("_lead"))
-        tail = kept.join(lead, "key", "left").select("key", "node", F.coalesce(F.col("node") == F.col("_lead"), F.lit(False)).alias("lead"))
-        out = self._commit(run, new, taken, clear.select("key", "node", F.lit(True).alias("lead")).unionByName(tail))
+        lead = work.store(kept.where(F.col("a").isNull()).groupBy("key").agg(F.min("node").alias("node")))
+        later = kept.select("key", "node").join(lead, ["key", "node"], "left_anti")
+        out = self._commit(run, new, taken, clear.select("key", "node").unionByName(lead), later)
         remove(self.spark, work.path)
         return out
 
