@@ -308,13 +308,12 @@ class Finder:
         some = pair(blank)
         self._behind_title = re.compile(rf"\.?{_S}(?P<name>(?:{initial}{_S})*(?:(?P<first>{cap}){_S}(?={cap}|(?i:{_alternatives(PARTICLES)}){_S}))?(?:(?i:{_alternatives(PARTICLES)}){_S})?(?i:al-|el-|[od]['’])?{cap})(?![\w@])")
         self._behind_given = re.compile(rf"(?:{_S}{initial})*{_S}(?P<family>{cap})(?![\w@]|[-.]\w)")
-        word = lambda w: _alternatives(w)
-        end = rf"(?=[^\S\n]*(?:[,;:!|()<\[\t\n]|$))"
-        self._placed = (
-            re.compile(rf"\b(?i:{word(GREETINGS)}){_S}(?P<name>{some}){end}"),
-            re.compile(rf"(?i:{word(CLOSINGS)})[,.!]?[^\S\n]*\n+[^\S\n]*(?P<name>{some})[^\S\n]*(?=\n|$)"),
-            re.compile(rf"(?i:(?<![\w-])(?:{word(PERSONS)}))[^\S\n]*[:=][^\S\n]*(?P<name>{some}){end}"),
-        )
+        end = r"(?=[^\S\n]*(?:[,;:!|()<\[\t\n]|$))"
+        self._placed = {
+            "greeting": re.compile(rf"{_S}(?P<name>{some}){end}"),
+            "closing": re.compile(rf"[,.!]?[^\S\n]*\n+[^\S\n]*(?P<name>{some})[^\S\n]*(?=\n|$)"),
+            "person": re.compile(rf"[^\S\n]*[:=][^\S\n]*(?P<name>{some}){end}"),
+        }
         self._before_mail = re.compile(rf"(?<![\w.@-])(?P<name>{pair('[ ]')})[ ][(<\[][ ]?\Z")
         words: dict[str, set[str]] = defaultdict(set)
         for what, keys in (
@@ -328,7 +327,9 @@ class Finder:
             ("stem", tuple(lexicon.stems) + tuple(lexicon.family)),
             ("given", tuple(lexicon.given)),
             ("title", tuple(f"{t}{e}" for t in TITLES for e in (".", " ", "\n"))),
-            ("placed", (*GREETINGS, *CLOSINGS, *PERSONS)),
+            ("greeting", GREETINGS),
+            ("closing", CLOSINGS),
+            ("person", PERSONS),
         ):
             for k in keys:
                 words[k].add(what)
@@ -562,7 +563,11 @@ class Finder:
         # Pairs told by their place alone stand back behind names told by their parts.
         told = sorted(spans.items())
         starts = [a for a, _ in told]
-        placed = [m for pattern in self._placed for m in pattern.finditer(t)] if "placed" in hits else []
+        placed = []
+        for kind, pattern in self._placed.items():
+            for a, b in hits.get(kind, ()):
+                if not (a and (t[a - 1].isalnum() or t[a - 1] in "_-@")) and b < len(t) and not t[b].isalnum() and (m := pattern.match(t, b)):
+                    placed.append(m)
         placed += [m for a, _ in mails if (m := self._before_mail.search(t, max(0, a - 160), a))]
         for m in placed:
             i = bisect.bisect_left(starts, m.end("name"))
