@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import sentence_quote
+
 #: Severities by rank, and what each kind of evidence is worth.
 SEVERITIES = ("high", "medium", "low", "info")
 CONFIDENCE = {
@@ -123,3 +125,19 @@ def flagged_paragraphs(findings: Findings) -> DataFrame:
         .select(F.col("item_id").alias("paragraph_id"))
         .distinct()
     )
+
+
+#: What a kind of finding means for someone who does not know the terms; ``%s`` is the text it is about.
+PLAIN = {
+    "boilerplate": "Many pages carry this same text, so a search may bring it up instead of an answer: %s",
+    "exact_duplicate": "This text is there more than once: %s",
+    "near_duplicate": "Two parts say nearly the same in other words: %s",
+    "length_outlier": "This part is too short or too long to be found well: %s",
+    "generic": "This part could stand in any of the documents: %s",
+}
+
+
+def in_plain_words(rows: DataFrame) -> DataFrame:
+    """Adds ``plain``: what the finding means, with the text it quotes. A kind without words of its own keeps its message."""
+    said = F.create_map(*[F.lit(x) for kv in PLAIN.items() for x in kv])[F.col("kind")]
+    return rows.withColumn("plain", F.coalesce(F.replace(said, F.lit("%s"), sentence_quote(F.col("message"))), F.col("message")))

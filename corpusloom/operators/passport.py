@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources.config import Profile
 from .signals import boilerplate_groups, duplicate_groups, select
 
@@ -72,7 +73,7 @@ def size_checks(profile: Profile, totals: DataFrame, repeated: DataFrame) -> Dat
 
 def matches(want, have):
     """Either label contains the other, without regard to case and outer blanks."""
-    w, h = F.lower(F.trim(want)), F.lower(F.trim(have))
+    w, h = F.lower(T.strip(want)), F.lower(T.strip(have))
     return F.contains(h, w) | F.contains(w, h)
 
 

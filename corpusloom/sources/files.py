@@ -50,3 +50,23 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
         .where(F.is_valid_utf8(text))
         .select(name.alias("source"), T.newlines(text).alias("text"))
     )
+
+
+#: What an upload may hold: files, bytes of one, bytes of all.
+MOST_FILES, MOST_BYTES, MOST_TOTAL = 8, 100_000, 250_000
+
+
+def upload_problems(files: dict[str, bytes]) -> list[str]:
+    """Why a set of uploaded files cannot be taken; empty if it can. Names are checked for their ending."""
+    out = [] if files else ["no files"]
+    if len(files) > MOST_FILES:
+        out.append(f"{len(files)} files; at most {MOST_FILES}")
+    for name, data in files.items():
+        if not name.lower().endswith(SUFFIXES):
+            out.append(f"{name}: no text file ({', '.join(SUFFIXES)})")
+        if len(data) > MOST_BYTES:
+            out.append(f"{name}: {len(data)} bytes; at most {MOST_BYTES}")
+    total = sum(map(len, files.values()))
+    if total > MOST_TOTAL:
+        out.append(f"{total} bytes in all; at most {MOST_TOTAL}")
+    return out

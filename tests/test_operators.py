@@ -395,3 +395,17 @@ def test_a_model_service(tmp_path):
     assert not there.ready()
     with pytest.raises(models.ServiceError):
         there.embed(["a"])
+
+
+def test_plain_words(spark):
+    rows = spark.createDataFrame([("boilerplate", 'in 3/4 files (75%): "the menu..."'), ("odd", "as it is")], "kind string, message string")
+    got = {r["kind"]: r["plain"] for r in fd.in_plain_words(rows).collect()}
+    assert got["boilerplate"].endswith(": the menu...") and "Many pages" in got["boilerplate"] and got["odd"] == "as it is"
+
+
+def test_upload_limits():
+    from corpusloom.sources.files import upload_problems
+
+    assert upload_problems({"a.md": b"x"}) == [] and upload_problems({}) == ["no files"]
+    assert len(upload_problems({f"{i}.md": b"x" for i in range(9)})) == 1
+    assert len(upload_problems({"a.exe": b"x", "b.TXT": b"x" * 100_001, "c.md": b"x" * 100_000, "d.md": b"x" * 60_000})) == 3
