@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stored
 from ..sources.config import Config
 from .findings import Findings
 from .signals import select
@@ -71,10 +72,11 @@ def resolve_snippets(paragraphs: DataFrame, snippets: DataFrame) -> DataFrame:
     norm = snippets.select("snippet_id", T.norm_text(F.col("snippet")).alias("snip")).where(F.col("snip") != "")
     # The outer words may be cut inside a paragraph's word, so only inner ones are sure.
     inner = F.slice(F.split("snip", " "), 2, F.greatest(F.size(F.split("snip", " ")) - 2, F.lit(0)))
-    keyed = norm.withColumn("_inner", inner)
+    # Both tables are read several times below, so they are worked out once.
+    keyed = stored(norm.withColumn("_inner", inner), "snippets")
     long = keyed.where(F.size("_inner") >= run).withColumn("_key", F.xxhash64(F.array_join(F.slice("_inner", 1, run), " ")))
     short = keyed.where(F.size("_inner") < run)
-    paras = paragraphs.select(F.col("id").alias("paragraph_id"), T.norm_text(F.col("text")).alias("norm"))
+    paras = stored(paragraphs.select(F.col("id").alias("paragraph_id"), T.norm_text(F.col("text")).alias("norm")), "normalised")
     w = F.split("norm", " ")
     grams = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(w) - run + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, run), " "))
